@@ -99,11 +99,11 @@ def word_ngram_ids(hashes: Column, n: int, buckets=K.HASH_BUCKETS) -> Column:
     A run's hash is h * prime + next in unsigned 64-bit arithmetic, where 32-bit word hashes are
     read as signed; decimals hold the products exactly.
     """
-    wrap = F.lit(2**64).cast("decimal(20,0)")
+    wrap = F.lit(str(2**64)).cast("decimal(20,0)")
     prime = F.lit(K.NGRAM_PRIME).cast("decimal(9,0)")
 
     def unsigned(h):
-        wide = F.when(h >= 2**31, F.lit(2**64 - 2**32).cast("decimal(20,0)")).otherwise(0)
+        wide = F.when(h >= 2**31, F.lit(str(2**64 - 2**32)).cast("decimal(20,0)")).otherwise(0)
         return (h.cast("decimal(10,0)") + wide).cast("decimal(20,0)")
 
     def of_length(length):
