@@ -66,16 +66,26 @@ def _grams(tokens, n, sep):
 
 
 def char_ngrams(word: Column, low: int, high: int) -> Column:
-    """Substrings with low <= length <= high, by length then position."""
+    """Substrings with low <= length <= high, by length then position.
 
-    def of_length(n):
-        n = F.lit(n) if isinstance(n, int) else n
-        starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - n + 1))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.substr(word, i, n)), F.array().cast("array<string>")
-        )
+    Characters are cut once and each length extends the one before it by the next character, so
+    the cost grows with the text and not with its square.
+    """
+    chars = F.filter(F.split(word, ""), lambda c: c != "")
+
+    def extend(grams, c, n):
+        shifted = F.slice(c, n, F.greatest(F.size(c) - n + 1, F.lit(0)))
+        return F.zip_with(F.slice(grams, 1, F.size(shifted)), shifted, lambda a, b: F.concat(a, b))
+
+    def all_lengths(c):
+        grams, out = c, [c] if low == 1 else []
+        for n in range(2, high + 1):
+            grams = extend(grams, c, n)
+            if n >= low:
+                out.append(grams)
+        return F.flatten(F.array(*out))
 
-    return F.flatten(F.array(*[of_length(n) for n in range(low, high + 1)]))
+    return F.get(F.transform(F.array(chars), all_lengths), F.lit(0))
 
 
 def subwords(word: Column, low=3, high=6) -> Column:

@@ -14,48 +14,53 @@ from pyspark.sql import functions as F
 from textloom.session import checkpoint
 
 
-def running_total(
-    df: DataFrame, by, order, value, name, total=None, part=None, inclusive=True
-) -> DataFrame:
-    """Add `name`: the running sum of `value` per group in the given order.
+def running_totals(df: DataFrame, by, order, values: dict, totals=None, part=None) -> DataFrame:
+    """Add, per entry of `values`, the running sum of that column per group in the given order.
 
-    `part` may name a column that grows with the order (such as the leading digits of a hash);
+    `part` may be a column that grows with the order (such as the leading digits of a hash);
     without one, rows are range-partitioned and kept in reliable storage, because the sampled
-    ranges must be the same for both uses below. `total` adds the group's whole sum.
+    ranges must be the same for both uses below. `totals` maps entries of `values` to columns that
+    get the group's whole sum.
     """
-    by, order = list(by), list(order)
+    by, order, totals = list(by), list(order), totals or {}
     if part is None:
         cut = df.repartitionByRange(*[F.col(c) for c in by], *order)
         cut = checkpoint(cut.withColumn("_part", F.spark_partition_id()))
     else:
         cut = df.withColumn("_part", part)
-    cut = cut.withColumn("_value", value)
+    names = list(values)
+    cut = cut.withColumns({f"_v_{n}": values[n] for n in names})
     inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    local = cut.withColumn("_run", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    group = Window.partitionBy(*by) if by else Window.partitionBy()
-    sizes = cut.groupBy("_part", *by).agg(F.sum("_value").alias("_size"))
-    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        Window.unboundedPreceding, 0)
+    local = cut.withColumns({f"_run_{n}": F.sum(f"_v_{n}").over(inside) for n in names})
+    sizes = cut.groupBy(F.col("_part").alias("_of_part"), *[F.col(c).alias(f"_by_{c}") for c in by])
+    sizes = sizes.agg(*[F.sum(f"_v_{n}").alias(f"_size_{n}") for n in names])
+    group = Window.partitionBy(*[f"_by_{c}" for c in by])
+    earlier = group.orderBy("_of_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
-        F.col("_part").alias("_of_part"),
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(group).alias("_total"),
+        "_of_part",
+        *[f"_by_{c}" for c in by],
+        *[F.coalesce(F.sum(f"_size_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}")
+          for n in names],
+        *[F.sum(f"_size_{n}").over(group).alias(f"_total_{n}") for n in names],
     )
     same = reduce(
         lambda a, b: a & b,
         [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by],
         F.col("_part") == F.col("_of_part"),
     )
-    out = local.join(sizes, same).withColumn(name, F.col("_run") + F.col("_before"))
-    if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.select(*df.columns, name, *([total] if total else []))
+    joined = local.join(sizes, same)
+    return joined.select(
+        *[F.col(c) for c in df.columns],
+        *[(F.col(f"_run_{n}") + F.col(f"_before_{n}")).alias(n) for n in names],
+        *[F.col(f"_total_{n}").alias(out) for n, out in totals.items()],
+    )
 
 
 def ranked(df: DataFrame, by, order, name="rank", total=None, part=None) -> DataFrame:
     """Row number from 1 per group; `total` adds the group's row count."""
-    return running_total(df, by, order, F.lit(1).cast("long"), name, total, part)
+    totals = {name: total} if total else None
+    return running_totals(df, by, order, {name: F.lit(1).cast("long")}, totals, part)
 
 
 def shuffle_key(*ids, seed=""):
