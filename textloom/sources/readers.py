@@ -140,11 +140,13 @@ def element(html: Column, tag: str) -> Column:
 
 
 def read_records(df: DataFrame, text: str, record: str, fields: dict, keys=()) -> DataFrame:
-    """One row per record element. `fields` maps a prefix to the element whose <d> entries (or
-    whole text) become prefixed categories."""
+    """One row per record element. `fields` maps a prefix to the element whose
+    text becomes a prefixed category."""
     rec = df.select(*keys, F.posexplode(element(F.col(text), record)).alias("record", "_body"))
-    cats = F.flatten(F.array(*[
-        F.transform(element(F.col("_body"), tag),
-                    lambda x, p=prefix: F.concat(F.lit(p), clean.strip(clean.strip_tags(x))))
-        for prefix, tag in fields.items()]))
+
+    def prefixed(prefix, tag):
+        plain = lambda x: F.concat(F.lit(prefix), clean.strip(clean.strip_tags(x)))
+        return F.transform(element(F.col("_body"), tag), plain)
+
+    cats = F.flatten(F.array(*[prefixed(p, t) for p, t in fields.items()]))
     return rec.withColumn("categories", cats)
