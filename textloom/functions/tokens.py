@@ -50,42 +50,37 @@ def sentence_tokens(sentence: Column) -> Column:
     )
 
 
-def ngrams(tokens: Column, low: int, high: int, sep=" ") -> Column:
-    """All word n-grams with low <= n <= high, in order of n then position."""
-    return F.flatten(
-        F.array(*[_grams(tokens, n, sep) for n in range(low, high + 1)])
-    )
+def _bind(value: Column, fn) -> Column:
+    """fn(value) with the value computed once, as a lambda variable."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def _grams(tokens, n, sep):
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), sep))
-    return F.coalesce(grams, F.array().cast("array<string>"))
+def _shifted(items: Column, n: int) -> Column:
+    """The items from the n-th on."""
+    return F.slice(items, n, F.greatest(F.size(items) - n + 1, F.lit(0)))
 
 
-def char_ngrams(word: Column, low: int, high: int) -> Column:
-    """Substrings with low <= length <= high, by length then position.
+def _runs(items: Column, high: int, start, join):
+    """Lists for runs of length 1..high. Each length extends the one before it by the next item,
+    so the cost grows with the text and not with its square."""
+    runs = [start]
+    for n in range(2, high + 1):
+        following = _shifted(items, n)
+        runs.append(F.zip_with(F.slice(runs[-1], 1, F.size(following)), following, join))
+    return runs
 
-    Characters are cut once and each length extends the one before it by the next character, so
-    the cost grows with the text and not with its square.
-    """
-    chars = F.filter(F.split(word, ""), lambda c: c != "")
 
-    def extend(grams, c, n):
-        shifted = F.slice(c, n, F.greatest(F.size(c) - n + 1, F.lit(0)))
-        return F.zip_with(F.slice(grams, 1, F.size(shifted)), shifted, lambda a, b: F.concat(a, b))
+def ngrams(tokens: Column, low: int, high: int, sep=" ") -> Column:
+    """All word n-grams with low <= n <= high, in order of n then position."""
+    if (low, high) == (1, 1):
+        return tokens
+    join = lambda a, b: F.concat(a, F.lit(sep), b)
+    return _bind(tokens, lambda t: F.flatten(F.array(*_runs(t, high, t, join)[low - 1:])))
 
-    def all_lengths(c):
-        grams, out = c, [c] if low == 1 else []
-        for n in range(2, high + 1):
-            grams = extend(grams, c, n)
-            if n >= low:
-                out.append(grams)
-        return F.flatten(F.array(*out))
 
-    return F.get(F.transform(F.array(chars), all_lengths), F.lit(0))
+def char_ngrams(word: Column, low: int, high: int) -> Column:
+    """Substrings with low <= length <= high, by length then position."""
+    return ngrams(F.filter(F.split(word, ""), lambda c: c != ""), low, high, sep="")
 
 
 def subwords(word: Column, low=3, high=6) -> Column:
@@ -116,20 +111,10 @@ def word_ngram_ids(hashes: Column, n: int, buckets=K.HASH_BUCKETS) -> Column:
         wide = F.when(h >= 2**31, F.lit(str(2**64 - 2**32)).cast("decimal(20,0)")).otherwise(0)
         return (h.cast("decimal(10,0)") + wide).cast("decimal(20,0)")
 
-    def of_length(length):
-        starts = F.when(F.size(hashes) >= length, F.sequence(F.lit(0), F.size(hashes) - length))
-
-        def fold(i):
-            return F.aggregate(
-                F.slice(hashes, i + 2, length - 1),
-                unsigned(F.get(hashes, i)),
-                lambda h, x: F.pmod(h * prime + unsigned(x), wrap).cast("decimal(20,0)"),
-            )
-
-        ids = F.transform(starts, lambda i: F.pmod(fold(i), F.lit(buckets)).cast("long"))
-        return F.coalesce(ids, F.array().cast("array<bigint>"))
-
-    return F.flatten(F.array(*[of_length(k) for k in range(2, n + 1)]))
+    step = lambda h, x: F.pmod(h * prime + x, wrap).cast("decimal(20,0)")
+    words = F.transform(hashes, unsigned)
+    wide = _bind(words, lambda w: F.flatten(F.array(*_runs(w, n, w, step)[1:])))
+    return F.transform(wide, lambda h: F.pmod(h, F.lit(buckets)).cast("long"))
 
 
 def pad_left(ids: Column, width: int) -> Column:

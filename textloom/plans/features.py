@@ -272,7 +272,7 @@ def v19(spark, sf):
 WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM (
   SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)),
 m AS (SELECT i, avg(v) AS mean, stddev_pop(v) AS dev FROM x GROUP BY i)
-SELECT vec_id, i AS dim, round((v - mean) / dev, 4) AS value FROM x JOIN m USING (i)""")
+SELECT vec_id, i AS dim, round((v - mean) / dev, 4) + 0.0 AS value FROM x JOIN m USING (i)""")
 def v22(spark, sf):
     s = V.standardise(table(spark, sf, "embeddings"), "embedding", DIM)
     s = s.select("vec_id", F.posexplode("scaled").alias("dim", "value"))
