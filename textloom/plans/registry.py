@@ -1,8 +1,12 @@
 """Registered queries with the SQL each must agree with."""
 
+import importlib
+import pkgutil
 from functools import cache
 
+from textloom import plans
 from textloom.functions import constants as K
+from textloom.session import spread
 
 QUERIES = {}
 ORACLES = {}
@@ -20,8 +24,13 @@ def query(name, sql=None):
     return register
 
 
+# Tables with long text per row, and the key their rows are spread by.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def lit(text):
@@ -63,10 +72,6 @@ TF = TOK + """, tf AS (
 @cache
 def load():
     """Import every plan module once so that it registers its queries."""
-    from textloom import plans
-    import importlib
-    import pkgutil
-
     for module in pkgutil.iter_modules(plans.__path__):
         importlib.import_module(f"textloom.plans.{module.name}")
     return QUERIES, ORACLES

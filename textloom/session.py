@@ -42,3 +42,14 @@ def checkpoint(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df, *keys):
+    """Split an input of few files over the cluster by row key.
+
+    Text work is heavy per row, so fewer input splits than cores would leave cores idle. An input
+    of many splits (any large table) is left alone. Rows that are spread by key keep that
+    partitioning, so grouping by the key or by (key, term) later needs no other shuffle.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
