@@ -1,11 +1,24 @@
 """Tokenising and annotating as native column expressions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 
 
+def unnest(df: DataFrame, keys, items: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per array item, without rows for empty arrays.
+
+    The outer form with a null test is used because for a plain explode Spark adds a filter on the
+    array's size below it, which would compute the tokens a second time.
+    """
+    if pos:
+        rows = df.select(*keys, F.posexplode_outer(items).alias(pos, name))
+    else:
+        rows = df.select(*keys, F.explode_outer(items).alias(name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def sentences(text: Column) -> Column:
     """Cut after a run of . ! ? that white space follows."""
     marked = F.regexp_replace(text, K.SENTENCE_END, "$1" + K.SENTENCE_MARK)
@@ -84,7 +97,16 @@ def char_ngrams(word: Column, low: int, high: int) -> Column:
 
 
 def subwords(word: Column, low=3, high=6) -> Column:
-    return char_ngrams(F.concat(F.lit("<"), word, F.lit(">")), low, high)
+    """N-grams of <word>, by length then position. Words are short, so each n-gram is cut straight
+    from the word; for whole texts see `char_ngrams`."""
+    marked = F.concat(F.lit("<"), word, F.lit(">"))
+
+    def of_length(n):
+        starts = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - n + 1))
+        starts = F.coalesce(starts, F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(marked, i, n))
+
+    return F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), of_length))
 
 
 def fnv1a(word: Column) -> Column:

@@ -8,22 +8,21 @@ from textloom.functions import tokens as T
 
 def sentences(df: DataFrame, keys, text="text") -> DataFrame:
     """One row per sentence, numbered from 1."""
-    out = df.select(*keys, F.posexplode(T.sentences(F.col(text))).alias("_i", "sentence"))
+    out = T.unnest(df, keys, T.sentences(F.col(text)), "sentence", "_i")
     return out.select(*keys, (F.col("_i") + 1).cast("long").alias("sentence_id"), "sentence")
 
 
 def sentence_arrays(df: DataFrame, keys, text="text") -> DataFrame:
     """One row per non-empty sentence with its token structs; nothing is shuffled."""
-    out = sentences(df, keys, text).withColumn("tokens", T.sentence_tokens(F.col("sentence")))
-    return out.filter(F.size("tokens") > 0)
+    out = sentences(df, keys, text).filter(F.col("sentence").rlike(r"\S"))
+    return out.withColumn("tokens", T.sentence_tokens(F.col("sentence")))
 
 
 def annotate(df: DataFrame, keys, text="text") -> DataFrame:
     """Long token table: sentence, place in the sentence, token and its flags."""
     s = sentence_arrays(df, keys, text)
-    t = s.select(
-        *keys, "sentence_id", F.size("tokens").alias("_n"),
-        F.posexplode("tokens").alias("_i", "_t"))
+    s = s.select(*keys, "sentence_id", F.size("tokens").alias("_n"), "tokens")
+    t = T.unnest(s, [*keys, "sentence_id", "_n"], F.col("tokens"), "_t", "_i")
     token = F.col("_t.token")
     return t.select(
         *keys,

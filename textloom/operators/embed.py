@@ -54,17 +54,16 @@ def mean_vectors(tf: DataFrame, vectors: DataFrame, dim: int, key="doc_id", weig
     words = vectors.select(F.col("word").alias("term"), F.col("vec"))
     if l2:
         words = words.withColumn("vec", unit(F.col("vec")))
-    known = tf.join(words, "term")
+    # A left join keeps documents without any known word, so nothing is read a second time.
+    rows = tf.join(words, "term", "left")
+    known = F.col("vec").isNotNull()
     w = F.col("tf") * weight if weight is not None else F.col("tf").cast("double")
-    known = known.withColumn("_w", w)
-    sums = weighted_sum(known, key, "vec", F.col("_w"), dim, [
-        F.sum("tf" if by_count else "_w").cast("double").alias("_by")])
+    rows = rows.withColumn("_w", F.when(known, w))
+    by = F.when(known, F.col("tf")) if by_count else F.col("_w")
+    sums = weighted_sum(rows, key, "vec", F.col("_w"), dim, [F.sum(by).cast("double").alias("_by")])
     mean = F.when(F.col("_by") != 0, scale(F.col("_sum"), F.lit(1.0) / F.col("_by"))).otherwise(
-        F.col("_sum"))
-    sums = sums.select(key, (unit(mean) if l2 == "both" else mean).alias("_mean"))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return tf.select(key).distinct().join(sums, key, "left").select(
-        key, F.coalesce("_mean", zeros).alias("vec"))
+        F.array_repeat(F.lit(0.0), dim))
+    return sums.select(key, (unit(mean) if l2 == "both" else mean).alias("vec"))
 
 
 def subword_vectors(words: DataFrame, grams: DataFrame, dim: int, low=3, high=6) -> DataFrame:
@@ -72,7 +71,7 @@ def subword_vectors(words: DataFrame, grams: DataFrame, dim: int, low=3, high=6)
 
     `words` is (word); `grams` is (gram, vec). Words without a known n-gram are left out; see
     `missing_words`."""
-    cut = words.select("word", F.explode(T.subwords(F.col("word"), low, high)).alias("gram"))
+    cut = T.unnest(words, ["word"], T.subwords(F.col("word"), low, high), "gram")
     n = cut.groupBy("word", "gram").agg(F.count("*").alias("_n"))
     sums = weighted_sum(n.join(grams, "gram"), "word", "vec", F.col("_n"), dim,
                         [F.sum("_n").alias("_by")])

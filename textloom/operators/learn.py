@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import LDA, KMeans
@@ -114,6 +115,9 @@ def learning_curve(df: DataFrame, stages_for: dict, sizes, repeats, key="doc_id"
     return each.groupBy("model", "train_size").agg(F.avg("accuracy").alias("accuracy"))
 
 
+GRAM_COLS = 4096  # the driver holds cols^2 numbers up to here
+
+
 def truncated_svd(vectors: DataFrame, k: int, key="doc_id", features="features") -> DataFrame:
     """Project rows on the top k right singular vectors, without centring.
 
@@ -121,9 +125,15 @@ def truncated_svd(vectors: DataFrame, k: int, key="doc_id", features="features")
     feature index and one partial sum per component.
     """
     spark = vectors.sparkSession
+    vectors = checkpoint(vectors.select(key, features))  # the solver reads the rows many times
     rows = MLUtils.convertVectorColumnsFromML(vectors.select(features), features)
-    svd = RowMatrix(rows.rdd.map(lambda r: r[0])).computeSVD(k)
-    v = svd.V.toArray()
+    matrix = RowMatrix(rows)
+    if matrix.numCols() <= GRAM_COLS:
+        # One pass sums the small feature-by-feature product; its eigenvectors are the answer.
+        _, vectors_up = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        v = vectors_up[:, ::-1][:, :k]
+    else:
+        v = matrix.computeSVD(k).V.toArray()
     basis = spark.createDataFrame(
         [(i, [float(x) for x in v[i]]) for i in range(v.shape[0])], "i int, axis array<double>")
     cells = vectors.select(key, F.posexplode(vector_to_array(features)).alias("i", "x"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import clean
+from textloom.functions.tokens import unnest
 from textloom.operators import order
 
 
@@ -57,7 +58,7 @@ def corpus_size(df: DataFrame, text="text") -> DataFrame:
 
 def joint_vocabulary(corpora, text="text") -> DataFrame:
     """Distinct lower-cased words of several corpora."""
-    parts = [c.select(F.explode(clean.words(F.lower(text))).alias("term")) for c in corpora]
+    parts = [unnest(c, [], clean.words(F.lower(text)), "term") for c in corpora]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,7 +13,7 @@ def sentence_ngrams(sentences: DataFrame, keys, n: int, tokens="tokens", stopwor
     if stopwords:
         gram = F.filter(gram, lambda g: ~F.exists(
             F.split(g, " "), lambda t: t.isin(list(stopwords))))
-    return sentences.select(*keys, F.explode(gram).alias("term"))
+    return T.unnest(sentences, keys, gram, "term")
 
 
 def term_counts(terms: DataFrame, keys, term="term") -> DataFrame:
@@ -56,7 +56,8 @@ def weigh(tf: DataFrame, idf: DataFrame, key="doc_id", term="term", sublinear=Fa
 def order_weights(docs: DataFrame, key, tokens, alpha=0.99) -> DataFrame:
     """Fixed-size order encoding: a term weighs the sum of alpha^(words that follow it). Words
     outside a vocabulary still hold their place, so restrict the result afterwards."""
-    t = docs.select(key, F.size(tokens).alias("_n"), F.posexplode(tokens).alias("_i", "term"))
+    sized = docs.select(key, F.col(tokens), F.size(tokens).alias("_n"))
+    t = T.unnest(sized, [key, "_n"], F.col(tokens), "term", "_i")
     return t.groupBy(key, "term").agg(
         F.sum(F.pow(F.lit(float(alpha)), F.col("_n") - F.col("_i") - 1)).alias("weight"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import clean
 from textloom.functions import constants as K
+from textloom.functions import tokens
 from textloom.plans.registry import (
     STOP_CASE, lit, query, rewrite, sql_list, table, words)
 
@@ -103,10 +104,7 @@ WITH s AS (SELECT page_id, {_SENTS} AS html FROM pages),
 w AS (SELECT page_id, array_to_string({HTML_WORDS}, ' ') AS sentence FROM s)
 SELECT page_id, sentence, count(*) AS n FROM w WHERE sentence <> '' GROUP BY ALL""")
 def c7(spark, sf):
-    from textloom.functions import tokens
-
-    s = table(spark, sf, "pages").select(
-        "page_id", F.explode(tokens.sentences(F.col("html"))).alias("s"))
+    s = tokens.unnest(table(spark, sf, "pages"), ["page_id"], tokens.sentences(F.col("html")), "s")
     w = s.select("page_id", F.array_join(clean.html_words(F.col("s")), " ").alias("sentence"))
     return w.filter("sentence <> ''").groupBy("page_id", "sentence").agg(F.count("*").alias("n"))
 
@@ -155,7 +153,7 @@ SELECT doc_id, i AS sentence_id, s[i] AS sentence FROM (
       '[().*\n]+\z', ''), '.') AS s FROM documents))""")
 def c12(spark, sf):
     d = table(spark, sf, "documents")
-    s = d.select("doc_id", F.posexplode(clean.split_on_stops(F.col("text"))).alias("i", "sentence"))
+    s = tokens.unnest(d, ["doc_id"], clean.split_on_stops(F.col("text")), "sentence", "i")
     return s.select("doc_id", (F.col("i") + 1).cast("long").alias("sentence_id"), "sentence")
 
 

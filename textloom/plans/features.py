@@ -18,7 +18,7 @@ N_DOCS = "(SELECT count(*) FROM documents)"
 
 
 def n_docs(spark, sf):
-    return docs(spark, sf).agg(F.count("*")).scalar()
+    return spark.read.parquet(f"{sf}/documents.parquet").agg(F.count("*")).scalar()
 
 
 # Word n-grams of a sentence: positions are numbered and runs are joined.
@@ -92,13 +92,11 @@ WITH c AS (SELECT doc_id, unnest(list_zip(string_split(lower(text), ''),
     string_split(lower(text), '')[4:], string_split(lower(text), '')[5:])) AS z FROM documents),
 g AS (SELECT doc_id, unnest([z[1] || z[2], z[1] || z[2] || z[3], z[1] || z[2] || z[3] || z[4],
     z[1] || z[2] || z[3] || z[4] || z[5]]) AS gram FROM c)
-SELECT gram, count(DISTINCT doc_id) AS df, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram
+SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram
 ORDER BY n DESC, gram LIMIT 3000""")
 def v7(spark, sf):
-    g = docs(spark, sf).select(
-        "doc_id", F.explode(T.char_ngrams(F.lower("text"), 2, 5)).alias("gram"))
-    tf = V.term_counts(g, ["doc_id"], "gram")
-    return V.vocabulary(tf, n_docs(spark, sf), max_features=3000, term="gram")
+    g = T.unnest(docs(spark, sf), [], T.char_ngrams(F.lower("text"), 2, 5), "gram")
+    return A.vocabulary(g, "gram").orderBy(F.desc("n"), "gram").limit(3000)
 
 
 IDF = TF + f""", idf AS (SELECT term, count(*) AS df,
@@ -147,8 +145,7 @@ SELECT item_id, term, tf, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id))
 FROM w""")
 def v11(spark, sf):
     model = V.idf_table(term_counts(spark, sf), n_docs(spark, sf))
-    new = table(spark, sf, "benchmark").select(
-        "item_id", F.explode(T.word_tokens(F.col("text"))).alias("term"))
+    new = T.unnest(table(spark, sf, "benchmark"), ["item_id"], T.word_tokens(F.col("text")), "term")
     return _rounded(V.weigh(V.term_counts(new, ["item_id"]), model, key="item_id"))
 
 

@@ -24,8 +24,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, ter
 def top_terms(spark, sf):
     d = table(spark, sf, "documents")
     cleaned = clean.remove_special_characters(F.col("text"))
-    tf = V.term_counts(
-        d.select("doc_id", F.explode(T.word_tokens(cleaned)).alias("term")), ["doc_id"])
+    tf = V.term_counts(T.unnest(d, ["doc_id"], T.word_tokens(cleaned), "term"), ["doc_id"])
     n = d.agg(F.count("*")).scalar()
     w = V.weigh(tf, V.idf_table(tf, n)).withColumn("weight", F.round("weight", 6))
     best = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")

@@ -246,7 +246,7 @@ def model_comparison(spark, sf):
             stages = [*learn.text_stages(SIZE, use_idf), learn.CLASSIFIERS[name]("y")]
             runs.append((name, kind, stages, d))
     for kind, m in means.items():
-        x = d.join(m, "doc_id").withColumn("features", array_to_vector("vec"))
+        x = checkpoint(d.join(m, "doc_id").withColumn("features", array_to_vector("vec")))
         runs.append(("svm", kind, [learn.CLASSIFIERS["svm"]("y")], x))
     parts = []
     for name, kind, stages, data in runs:

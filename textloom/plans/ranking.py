@@ -32,7 +32,7 @@ SELECT lang, count(DISTINCT term) AS n_terms, count(DISTINCT source) AS n_source
 FROM t GROUP BY lang""")
 def a2(spark, sf):
     d = docs(spark, sf)
-    t = d.select("lang", F.explode(T.word_tokens(F.col("text"))).alias("term")).distinct()
+    t = T.unnest(d, ["lang"], T.word_tokens(F.col("text")), "term").distinct()
     terms = t.groupBy("lang").agg(F.count("*").alias("n_terms"))
     sources = d.select("lang", "source").distinct().groupBy("lang").agg(
         F.count("*").alias("n_sources"))
@@ -172,7 +172,7 @@ def u1(spark, sf):
 
 
 def _terms(spark, sf, name):
-    return table(spark, sf, name).select(F.explode(T.word_tokens(F.col("text"))).alias("term"))
+    return T.unnest(table(spark, sf, name), [], T.word_tokens(F.col("text")), "term")
 
 
 @query("u2_vocabulary_sets", f"""

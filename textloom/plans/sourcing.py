@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from textloom.functions import clean
+from textloom.functions import tokens as T
 from textloom.operators import order, select
 from textloom.plans.registry import query, table, words
 from textloom.plans.tokenizing import DIM, LEXICON, TF, TOK, docs
@@ -79,7 +80,7 @@ def s6(spark, sf):
     tsv = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(
         x.rlike("[^ ]"), F.concat(sentence(x), F.lit("\n"))).otherwise("")), "\n")
     d = docs(spark, sf).select("doc_id", tsv.alias("file"))
-    t = d.select("doc_id", F.explode(readers.parse_annotated(F.col("file"))).alias("t"))
+    t = T.unnest(d, ["doc_id"], readers.parse_annotated(F.col("file")), "t")
     return t.groupBy("doc_id", "t.sentence_id", "t.lemma").agg(F.count("*").alias("n"))
 
 

@@ -7,7 +7,6 @@ from textloom.plans.cleaning import special
 from textloom.plans.probability import COUNTS, count_model
 from textloom.plans.registry import TF, query, table
 from textloom.plans.sourcing import scratch
-from textloom.session import checkpoint
 from textloom.streaming import score
 
 
@@ -23,7 +22,6 @@ SELECT doc_id, arg_max(cls, (round(s, 6), -cls)) AS pred, round(max(round(s, 6))
 FROM s GROUP BY doc_id""")
 def x1(spark, sf):
     model, _, _ = count_model(spark, sf)
-    model.table = checkpoint(model.table)
     schema = table(spark, sf, "documents").schema
     stream = score.read_documents(spark, sf, schema, "documents.parquet")
     out = scratch(spark, "scored")

@@ -34,8 +34,7 @@ def docs(spark, sf):
 
 def corpus_tokens(spark, sf):
     """Lower-cased corpus words of two or more characters with their places."""
-    d = docs(spark, sf).select("doc_id", T.word_tokens(F.col("text")).alias("t"))
-    return d.select("doc_id", F.posexplode("t").alias("pos", "term"))
+    return T.unnest(docs(spark, sf), ["doc_id"], T.word_tokens(F.col("text")), "term", "pos")
 
 
 def term_counts(spark, sf):
@@ -134,7 +133,7 @@ FROM (SELECT doc_id, sentence_id, regexp_extract_all(sentence, '{K.WORD_2PLUS}')
 WHERE len(w) > 0""")
 def t3(spark, sf):
     s = A.sentences(docs(spark, sf), ["doc_id"])
-    w = s.withColumn("w", T.word_tokens(F.col("sentence"), lower=False)).filter(F.size("w") > 0)
+    w = s.withColumn("w", T.word_tokens(F.col("sentence"), lower=False)).filter(F.col("sentence").rlike(K.WORD_2PLUS))
     return w.select("doc_id", "sentence_id", F.array_join("w", " ").alias("words"),
                     F.size("w").cast("long").alias("n_words"))
 
@@ -191,8 +190,8 @@ first AS (SELECT form, arg_min(lemma, analysis) AS lemma FROM lexicon GROUP BY f
 SELECT doc_id, coalesce(lemma, term) AS lemma, count(*) AS n FROM kept
 LEFT JOIN first ON form = term GROUP BY ALL"""]))
 def t4(spark, sf):
-    words_ = docs(spark, sf).select(
-        "doc_id", F.explode(T.find_all(F.lower("text"), K.LETTERS_APOSTROPHE)).alias("form"))
+    words_ = T.unnest(docs(spark, sf), ["doc_id"],
+                      T.find_all(F.lower("text"), K.LETTERS_APOSTROPHE), "form")
     kept = words_.filter(~clean.is_stopword(F.col("form")))
     kept = kept.groupBy("doc_id", "form").agg(F.count("*").alias("n"))
     first = A.first_analysis(lexicon(vocab_of(spark, sf)))
@@ -219,7 +218,7 @@ def t5(spark, sf):
 
 @query("t6_stemmed_terms")
 def t6(spark, sf):
-    t = docs(spark, sf).select("doc_id", F.explode(clean.words(F.lower("text"))).alias("term"))
+    t = T.unnest(docs(spark, sf), ["doc_id"], clean.words(F.lower("text")), "term")
     t = t.filter(~clean.is_stopword(F.col("term"))).groupBy("doc_id", "term").agg(
         F.count("*").alias("tf"))
     s = stem.stem_tokens(t).filter(F.col("stem").rlike("^[a-zA-Z]+") & (F.length("stem") >= 3))
@@ -362,7 +361,7 @@ SUBWORDS = VOCAB + f""", sub AS (
 WITH {SUBWORDS} SELECT gram, count(*) AS n FROM sub GROUP BY gram""")
 def t17(spark, sf):
     v = corpus_tokens(spark, sf).select("term").distinct()
-    g = v.select(F.explode(T.subwords(F.col("term"))).alias("gram"))
+    g = T.unnest(v, [], T.subwords(F.col("term")), "gram")
     return g.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -400,7 +399,7 @@ FROM ids GROUP BY doc_id""")
 def t19(spark, sf):
     t = docs(spark, sf).select("doc_id", T.word_tokens(F.col("text")).alias("w"))
     h = t.select("doc_id", F.transform("w", T.fnv1a).alias("h"))
-    ids = h.select("doc_id", F.explode(T.word_ngram_ids(F.col("h"), 3)).alias("id"))
+    ids = T.unnest(h, ["doc_id"], T.word_ngram_ids(F.col("h"), 3), "id")
     return ids.groupBy("doc_id").agg(
         F.count("*").alias("n_ids"), F.sum("id").alias("id_sum"), F.max("id").alias("id_max"))
 

@@ -20,7 +20,7 @@ WV_TF = WV + ", " + TF[len(TOK) + 2:]
 
 def bench_words(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select(F.explode(T.word_tokens(F.col("text"))).alias("word")).distinct()
+    return T.unnest(b, [], T.word_tokens(F.col("text")), "word").distinct()
 
 
 def long_form(df, key, vec="vec", digits=4):
@@ -120,7 +120,7 @@ gv AS (SELECT gram, embedding::DOUBLE[] AS vec FROM (SELECT gram, row_number() O
 
 def gram_vectors(spark, sf):
     v = vocab_of(spark, sf).select("term")
-    n = v.select(F.explode(T.subwords(F.col("term"))).alias("gram")).groupBy("gram").agg(
+    n = T.unnest(v, [], T.subwords(F.col("term")), "gram").groupBy("gram").agg(
         F.count("*").alias("n"))
     r = order.ranked(n, [], [F.desc("n"), F.col("gram")], "r")
     e = table(spark, sf, "embeddings").select((F.col("vec_id") + 1).alias("r"),
@@ -283,7 +283,7 @@ r AS (SELECT conv_id, a, b, sum(n * d) / sum(n) AS cost FROM (SELECT conv_id, a,
 SELECT conv_id, a, b, round(greatest(l.cost, r.cost), 4) AS distance FROM l JOIN r USING (conv_id, a, b)""")
 def e15(spark, sf):
     c = table(spark, sf, "conversations")
-    t = c.select("conv_id", "turn", F.explode(T.word_tokens(F.col("text"))).alias("word"))
+    t = T.unnest(c, ["conv_id", "turn"], T.word_tokens(F.col("text")), "word")
     n = t.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
     known = n.join(word_vectors(spark, sf), "word")
     bags = known.groupBy("conv_id", "turn").agg(F.collect_list(F.struct(

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import clean
+from textloom.functions.tokens import unnest
 from textloom.operators import order
 
 LABEL_PREFIX = "__label__"
@@ -80,9 +81,8 @@ def parse_annotated(text: Column) -> Column:
 
 
 def read_annotated(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.posexplode(parse_annotated(F.col("value"))).alias("pos", "t"))
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    raw = unnest(raw, ["path"], parse_annotated(F.col("value")), "t", "pos")
     return raw.select("path", "pos", "t.*")
 
 
@@ -142,7 +142,7 @@ def element(html: Column, tag: str) -> Column:
 def read_records(df: DataFrame, text: str, record: str, fields: dict, keys=()) -> DataFrame:
     """One row per record element. `fields` maps a prefix to the element whose
     text becomes a prefixed category."""
-    rec = df.select(*keys, F.posexplode(element(F.col(text), record)).alias("record", "_body"))
+    rec = unnest(df, keys, element(F.col(text), record), "_body", "record")
 
     def prefixed(prefix, tag):
         plain = lambda x: F.concat(F.lit(prefix), clean.strip(clean.strip_tags(x)))

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from textloom.functions import clean
 from textloom.functions import tokens as T
+from textloom.session import spread
 
 
 def document_terms(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """Term counts of cleaned documents."""
     cleaned = clean.remove_special_characters(F.col(text))
-    t = docs.select(key, F.explode(T.word_tokens(cleaned)).alias("term"))
+    t = T.unnest(docs, [key], T.word_tokens(cleaned), "term")
     return t.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -26,7 +27,7 @@ def score_stream(docs: DataFrame, model, out: str, progress: str, key="doc_id"):
     """
 
     def write(batch: DataFrame, number: int):
-        scored = model.predict(document_terms(batch, key)).select(key, "pred", "score")
+        scored = model.predict(document_terms(spread(batch, key), key)).select(key, "pred", "score")
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
