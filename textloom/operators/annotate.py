@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
+from textloom.operators.joins import hot_lookup, hottest, keep_top
+
+BROADCAST_WORDS = 500000
 
 
 def sentences(df: DataFrame, keys, text="text") -> DataFrame:
@@ -89,14 +92,21 @@ def choose_lemma(candidates: DataFrame, vectors: DataFrame, dim: int) -> DataFra
 def index_vocabulary(vocab: DataFrame, num_words: int, term="term", count="n") -> DataFrame:
     """Index 1.. by falling count, then term; `num_words` is the operator's own top-k size, so
     the final numbering never holds more rows than that."""
-    top = vocab.orderBy(F.desc(count), term).limit(num_words)
+    top = keep_top(vocab, count, term, num_words)
     w = Window.orderBy(F.desc(count), term)
     return top.withColumn("idx", F.row_number().over(w).cast("long"))
 
 
-def to_sequences(tokens: DataFrame, index: DataFrame, keys, pos="pos", term="term") -> DataFrame:
-    """Ids of the known tokens of each document in order; documents without any get none."""
-    hits = tokens.join(index.select(term, "idx"), term)
+def to_sequences(tokens: DataFrame, index: DataFrame, keys, num_words, pos="pos", term="term"):
+    """Ids of the known tokens of each document in order; documents without any get none.
+
+    The index has at most `num_words` rows. Up to BROADCAST_WORDS it is broadcast; a larger one is
+    joined by shuffle with its most frequent words broadcast.
+    """
+    if num_words <= BROADCAST_WORDS:
+        hits = tokens.join(F.broadcast(index.select(term, "idx")), term)
+    else:
+        hits = hot_lookup(tokens, index, term, ["idx"], hottest(index, term, "n"), [*keys, pos])
     seq = hits.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(pos, "idx"))), lambda s: s["idx"])
         .alias("ids"))

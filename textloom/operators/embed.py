@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
 from textloom.operators import order
+from textloom.operators.joins import hot_lookup, hottest
 
 
 def dot(a, b):
@@ -44,18 +45,21 @@ def weighted_sum(rows: DataFrame, key, vec, weight, dim: int, extra=()):
 
 
 def mean_vectors(tf: DataFrame, vectors: DataFrame, dim: int, key="doc_id", weight=None,
-                 by_count=False, l2=None) -> DataFrame:
+                 by_count=False, l2=None, hot=None) -> DataFrame:
     """Mean vector of each document's known words; zeros where no word is known.
 
     `tf` is (key, term, tf[, columns used by `weight`]), one row per document and term. `weight`
     multiplies tf. The sum is divided by the weights, or with `by_count` by the number of words.
-    `l2="words"` uses unit word vectors; `l2="both"` also scales the mean to unit length.
+    `l2="words"` uses unit word vectors; `l2="both"` also scales the mean to unit length. `hot`
+    names the corpus's most frequent terms, whose vectors are broadcast.
     """
     words = vectors.select(F.col("word").alias("term"), F.col("vec"))
     if l2:
         words = words.withColumn("vec", unit(F.col("vec")))
     # A left join keeps documents without any known word, so nothing is read a second time.
-    rows = tf.join(words, "term", "left")
+    if hot is None:
+        hot = hottest(tf.groupBy("term").agg(F.count("*").alias("n")), "term", "n")
+    rows = hot_lookup(tf, words, "term", ["vec"], hot, [key], "left")
     known = F.col("vec").isNotNull()
     w = F.col("tf") * weight if weight is not None else F.col("tf").cast("double")
     rows = rows.withColumn("_w", F.when(known, w))
@@ -107,7 +111,7 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     n = df.groupBy(value).agg(F.count("*").alias("_n"))
     upto = order.running_totals(n, [], [F.col(value)], {"_upto": F.col("_n")})
     ranks = upto.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, value)
+    return hot_lookup(df, ranks, value, [name], hottest(n, value, "_n"), df.columns)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -73,7 +73,7 @@ def shuffled_rank(df, by, ids, name="rank", total=None, seed="") -> DataFrame:
     ids = [ids] if isinstance(ids, str) else list(ids)
     keyed = df.withColumn("_key", shuffle_key(*ids, seed=seed))
     order = [F.col("_key"), *[F.col(c) for c in ids]]
-    out = ranked(keyed, by, order, name, total, part=F.substring("_key", 1, 2))
+    out = ranked(keyed, by, order, name, total, part=F.substring("_key", 1, 3))
     return out.drop("_key")
 
 

@@ -33,7 +33,7 @@ def require_class_size(df: DataFrame, label: str, least=50) -> DataFrame:
 def balance(df: DataFrame, label: str, ids, seed="") -> DataFrame:
     """Keep as many rows of each class as the smallest class has, picked by shuffled rank.
 
-    The rank is counted in 256 slices of each class, so one large class is never sorted whole.
+    The rank is counted in 4096 slices of each class, so one large class is never sorted whole.
     """
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).scalar()
     kept = order.shuffled_rank(df, [label], ids, "_rank", seed=seed)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
+from textloom.operators.joins import hot_lookup, hottest, keep_top
 
 
 def sentence_ngrams(sentences: DataFrame, keys, n: int, tokens="tokens", stopwords=None):
@@ -28,7 +29,7 @@ def vocabulary(tf: DataFrame, n_docs, min_df=0.0, max_df=1.0, max_features=None,
     """Terms with their document and corpus counts, pruned by share of documents, then by count."""
     v = tf.groupBy(term).agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
     v = v.filter((F.col("df") >= min_df * n_docs) & (F.col("df") <= max_df * n_docs))
-    return v.orderBy(F.desc("n"), term).limit(max_features) if max_features else v
+    return keep_top(v, "n", term, max_features) if max_features else v
 
 
 def smooth_idf(df, n_docs):
@@ -43,10 +44,13 @@ def idf_table(tf: DataFrame, n_docs, idf=smooth_idf, term="term") -> DataFrame:
 
 def weigh(tf: DataFrame, idf: DataFrame, key="doc_id", term="term", sublinear=False,
           normalize=True, out="weight") -> DataFrame:
-    """tf * idf per document and term; terms outside the model are ignored. Counts are already
-    one row per document and term, so a frequent term adds one row per document to the join."""
+    """tf * idf per document and term; terms outside the model are ignored.
+
+    Counts are one row per document and term, and the terms that most documents hold are met by
+    broadcast, so a frequent term fills no task of its own."""
     count = F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")
-    w = tf.join(idf.select(term, "idf"), term).withColumn(out, count * F.col("idf"))
+    w = hot_lookup(tf, idf, term, ["idf"], hottest(idf, term, "df"), [key])
+    w = w.withColumn(out, count * F.col("idf"))
     if normalize:
         norm = F.sqrt(F.sum(F.col(out) * F.col(out)).over(Window.partitionBy(key)))
         w = w.withColumn(out, F.col(out) / norm)

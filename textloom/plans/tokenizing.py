@@ -309,7 +309,8 @@ seq AS (SELECT doc_id, list(idx ORDER BY i) AS ids FROM pos JOIN idx USING (term
 WITH {SEQ} SELECT doc_id, array_to_string(ids, ' ') AS ids, len(ids) AS n_ids FROM seq""")
 def t14(spark, sf):
     t = corpus_tokens(spark, sf)
-    seq = A.to_sequences(t, A.index_vocabulary(A.vocabulary(t), NUM_WORDS), ["doc_id"])
+    seq = A.to_sequences(t, A.index_vocabulary(A.vocabulary(t), NUM_WORDS), ["doc_id"],
+                         NUM_WORDS)
     return seq.select("doc_id", F.array_join("ids", " ").alias("ids"),
                       F.size("ids").cast("long").alias("n_ids"))
 
@@ -321,7 +322,8 @@ WITH {SEQ} SELECT doc_id, array_to_string(list_concat(
 FROM seq""")
 def t15(spark, sf):
     t = corpus_tokens(spark, sf)
-    seq = A.to_sequences(t, A.index_vocabulary(A.vocabulary(t), NUM_WORDS), ["doc_id"])
+    seq = A.to_sequences(t, A.index_vocabulary(A.vocabulary(t), NUM_WORDS), ["doc_id"],
+                         NUM_WORDS)
     return seq.select("doc_id", F.array_join(T.pad_left(F.col("ids"), MAX_LENGTH), " ")
                       .alias("padded"))
 

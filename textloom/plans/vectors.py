@@ -7,6 +7,7 @@ from textloom.functions import constants as K
 from textloom.functions import tokens as T
 from textloom.operators import blocks, embed, order, split
 from textloom.operators import weights as V
+from textloom.operators.joins import hot_lookup, hottest
 from textloom.plans.features import IDF, PAIRS, adjacent_pairs, n_docs
 from textloom.plans.ranking import VEC_SPLIT, split_vectors
 from textloom.plans.registry import TF, TOK, query, table
@@ -78,9 +79,10 @@ _WEIGHTED = f"""WITH {WV}, {IDF[len(TOK) + 2:]}"""
 m AS (SELECT doc_id, dim, sum(w * x) / sum(w) AS value FROM l GROUP BY ALL) {_ALL}""")
 def e5(spark, sf):
     tf = term_counts(spark, sf)
-    w = V.weigh(tf, V.idf_table(tf, n_docs(spark, sf)))
-    return long_form(embed.mean_vectors(w, word_vectors(spark, sf), DIM, weight=F.col("weight")),
-                     "doc_id")
+    idf = V.idf_table(tf, n_docs(spark, sf))
+    return long_form(embed.mean_vectors(
+        V.weigh(tf, idf), word_vectors(spark, sf), DIM, weight=F.col("weight"),
+        hot=hottest(idf, "term", "df")), "doc_id")
 
 
 @query("e6_idf_mean", f"""
@@ -90,10 +92,11 @@ def e6(spark, sf):
     tf = term_counts(spark, sf)
     idf = V.idf_table(tf, n_docs(spark, sf))
     highest = idf.agg(F.max("idf")).scalar()
-    w = tf.join(idf.select("term", "idf"), "term", "left").withColumn(
+    hot = hottest(idf, "term", "df")
+    w = hot_lookup(tf, idf, "term", ["idf"], hot, ["doc_id"], "left").withColumn(
         "idf", F.coalesce("idf", highest))
     return long_form(embed.mean_vectors(w, word_vectors(spark, sf), DIM, weight=F.col("idf"),
-                                        by_count=True), "doc_id")
+                                        by_count=True, hot=hot), "doc_id")
 
 
 _UNIT = """uv AS (SELECT word, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec
