@@ -20,7 +20,7 @@ def read_class_folders(spark: SparkSession, root: str, labels: dict | None = Non
                        skip_header=True, encoding="utf-8") -> DataFrame:
     """(path, text, label) rows from folders of text files, one folder per class."""
     raw = spark.read.format("binaryFile").load(f"{root}/*/*").select(
-        F.col("path"), F.decode("content", F.lit(encoding)).alias("text"))
+        F.col("path"), F.decode("content", encoding).alias("text"))
     text = clean.skip_first_line(F.col("text")) if skip_header else F.col("text")
     return raw.select("path", text.alias("text"), folder_label(F.col("path"), labels)
                       .alias("label"))

@@ -15,11 +15,15 @@ def document_terms(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     return t.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def read_documents(spark: SparkSession, folder: str, schema, pattern="*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_documents(spark: SparkSession, folder: str, schema, pattern="*.parquet", max_files=None):
+    """Stream of the documents in a folder's files; `max_files` limits one micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder)
 
 
-def score_stream(docs: DataFrame, model, out: str, progress: str, key="doc_id"):
+def score_stream(docs: DataFrame, model, out: str, progress: str, key="doc_id", trigger=None):
     """Score every micro-batch with the batch operators and write it under its own number.
 
     No state is kept between batches. A batch that is replayed after a failure overwrites its own
@@ -33,6 +37,6 @@ def score_stream(docs: DataFrame, model, out: str, progress: str, key="doc_id"):
     return (
         docs.writeStream.foreachBatch(write)
         .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
