@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
-from textloom.operators.joins import hot_lookup, hottest, keep_top
+from textloom.operators.joins import hot_lookup, hottest, hottest_in, keep_top
 
 BROADCAST_WORDS = 500000
 
@@ -55,10 +55,12 @@ def vocabulary(tokens: DataFrame, term="term", count="n") -> DataFrame:
     return tokens.groupBy(term).agg(F.count("*").alias(count))
 
 
-def lookup(tokens: DataFrame, lexicon: DataFrame, on: str, values, default=None) -> DataFrame:
-    """Left equi-join to a lexicon with one row per form; Spark broadcasts it while it is small,
-    and splits hot forms when it is not."""
-    out = tokens.join(lexicon.select(on, *values), on, "left")
+def lookup(tokens: DataFrame, lexicon: DataFrame, on: str, values, default=None, hot=None):
+    """Left equi-join to a lexicon with one row per form; the most frequent forms are met by
+    broadcast."""
+    others = [c for c in tokens.columns if c != on]
+    hot = hottest_in(tokens, on) if hot is None else hot
+    out = hot_lookup(tokens, lexicon, on, values, hot, others, "left")
     if default is not None:
         out = out.fillna(default, list(values))
     return out

@@ -1,12 +1,12 @@
 """Word and document vectors by joins and sums; no Python runs per row."""
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
 from textloom.operators import order
-from textloom.operators.joins import hot_lookup, hottest
+from textloom.operators.joins import hot_lookup, hottest, hottest_in
 
 
 def dot(a, b):
@@ -58,7 +58,7 @@ def mean_vectors(tf: DataFrame, vectors: DataFrame, dim: int, key="doc_id", weig
         words = words.withColumn("vec", unit(F.col("vec")))
     # A left join keeps documents without any known word, so nothing is read a second time.
     if hot is None:
-        hot = hottest(tf.groupBy("term").agg(F.count("*").alias("n")), "term", "n")
+        hot = hottest_in(tf, "term")
     rows = hot_lookup(tf, words, "term", ["vec"], hot, [key], "left")
     known = F.col("vec").isNotNull()
     w = F.col("tf") * weight if weight is not None else F.col("tf").cast("double")
@@ -77,8 +77,8 @@ def subword_vectors(words: DataFrame, grams: DataFrame, dim: int, low=3, high=6)
     `missing_words`."""
     cut = T.unnest(words, ["word"], T.subwords(F.col("word"), low, high), "gram")
     n = cut.groupBy("word", "gram").agg(F.count("*").alias("_n"))
-    sums = weighted_sum(n.join(grams, "gram"), "word", "vec", F.col("_n"), dim,
-                        [F.sum("_n").alias("_by")])
+    known = hot_lookup(n, grams, "gram", ["vec"], hottest_in(n, "gram"), ["word"])
+    sums = weighted_sum(known, "word", "vec", F.col("_n"), dim, [F.sum("_n").alias("_by")])
     return sums.select("word", scale(F.col("_sum"), F.lit(1.0) / F.col("_by")).alias("vec"))
 
 
@@ -95,11 +95,9 @@ def fixed_sequence(tokens: DataFrame, vectors: DataFrame, key, width: int, keep_
     """
     first = tokens.filter(F.col("pos") < width)
     words = vectors.select(F.col("word").alias("term"), "vec")
-    hits = first.join(words, "term")
+    hits = hot_lookup(first, words, "term", ["vec"], hottest_in(first, "term"), [key, "pos"])
     if keep_unknown:
         return hits.select(key, F.col("pos").cast("long").alias("slot"), "vec")
-    from pyspark.sql import Window
-
     # A window over one document's first `width` words: bounded by the operator's own size.
     place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     return hits.select(key, (F.lit(width) - place).cast("long").alias("slot"), "vec")

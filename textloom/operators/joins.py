@@ -1,6 +1,6 @@
 """Look-ups that stay balanced when a few keys hold most rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1000
@@ -11,6 +11,12 @@ def hottest(table: DataFrame, on: str, count: str, rows=HOT_ROWS) -> DataFrame:
     return table.orderBy(F.desc(count), on).limit(rows).select(on)
 
 
+def hottest_in(facts: DataFrame, on: str, rows=HOT_ROWS) -> DataFrame:
+    """The keys with most rows in the facts: one partial count per key."""
+    measure = "tf" if "tf" in facts.columns else "*"
+    return hottest(facts.groupBy(on).agg(F.count(measure).alias("_n")), on, "_n", rows)
+
+
 def hot_lookup(facts: DataFrame, table: DataFrame, on: str, values, hot: DataFrame, spread_by,
                how="inner") -> DataFrame:
     """Equi-join facts to a table with one row per key, with the hot keys taken out of the shuffle.
@@ -42,8 +48,6 @@ def keep_top(table: DataFrame, count: str, tie: str, k: int) -> DataFrame:
     The counts' histogram gives the count that k rows reach, so only rows at or above it are
     sorted, instead of k rows from every task.
     """
-    from pyspark.sql import Window
-
     sizes = table.groupBy(count).agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(Window.orderBy(F.desc(count)))
     reached = sizes.withColumn("_upto", upto).filter(F.col("_upto") >= k)

@@ -37,8 +37,11 @@ def smooth_idf(df, n_docs):
 
 
 def idf_table(tf: DataFrame, n_docs, idf=smooth_idf, term="term") -> DataFrame:
-    """(term, df, idf): the fitted model; one row per term."""
-    v = tf.groupBy(term).agg(F.count("*").alias("df"))
+    """(term, df, idf): the fitted model; one row per term.
+
+    Counting `tf` itself keeps the count table's columns, so its shuffle is shared with whoever
+    reads the same table."""
+    v = tf.groupBy(term).agg(F.count("tf").alias("df"))
     return v.withColumn("idf", idf(F.col("df"), n_docs))
 
 

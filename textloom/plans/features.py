@@ -158,7 +158,8 @@ FROM t SEMI JOIN pruned USING (term) GROUP BY ALL""")
 def v12(spark, sf):
     d = docs(spark, sf).select("doc_id", T.word_tokens(F.col("text")).alias("tokens"))
     vocab = pruned_vocabulary(spark, sf, term_counts(spark, sf))
-    w = V.order_weights(d, "doc_id", "tokens").join(vocab, "term", "left_semi")
+    w = V.order_weights(d, "doc_id", "tokens").join(
+        F.broadcast(vocab), "term", "left_semi")  # the vocabulary has at most 5000 rows
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

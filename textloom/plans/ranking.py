@@ -208,7 +208,8 @@ def j2(spark, sf):
     v = pruned_vocabulary(spark, sf, tf)
     stops = spark.createDataFrame([(w,) for w in K.STOPWORDS["en"]], "term string")
     n = tf.groupBy("term").agg(F.sum("tf").alias("n"))
-    return n.join(v, "term", "left_semi").join(stops, "term", "left_anti")
+    kept = n.join(F.broadcast(v), "term", "left_semi")  # the vocabulary has at most 5000 rows
+    return kept.join(F.broadcast(stops), "term", "left_anti")
 
 
 @query("j3_pair_counts", """
