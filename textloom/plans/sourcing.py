@@ -134,8 +134,8 @@ def s10(spark, sf):
 
 
 @query("s11_vector_text", """
-SELECT 'word ' || vec_id AS word, round(list_sum(embedding::DOUBLE[]), 3) AS total,
-  round(embedding[1]::DOUBLE, 5) AS first FROM embeddings""")
+SELECT 'word ' || vec_id AS word, round(list_sum(embedding::DOUBLE[]), 3) + 0.0 AS total,
+  round(embedding[1]::DOUBLE, 8) + 0.0 AS first FROM embeddings""")
 def s11(spark, sf):
     path = scratch(spark, "vec")
     e = table(spark, sf, "embeddings")
@@ -144,7 +144,7 @@ def s11(spark, sf):
     v = readers.read_vectors(spark, path, DIM)
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return v.select("word", F.round(total, 3).alias("total"),
-                    F.round(F.col("vec")[0].cast("double"), 5).alias("first"))
+                    F.round(F.col("vec")[0].cast("double"), 8).alias("first"))
 
 
 @query("s12_records", r"""

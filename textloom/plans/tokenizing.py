@@ -244,7 +244,7 @@ def t8(spark, sf):
 
 CHOSEN = LEXICON + WV[len(VOCAB):] + """, scored AS (
   SELECT form, lemma, analysis, coalesce(round(list_dot_product(a.vec, b.vec)
-    / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec)), 6), 0.0) AS score
+    / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec)), 6), 0.0) + 0.0 AS score
   FROM lexicon LEFT JOIN wv a ON a.word = form LEFT JOIN wv b ON b.word = lemma),
 chosen AS (SELECT form, lemma, score FROM scored
   QUALIFY row_number() OVER (PARTITION BY form ORDER BY score DESC, analysis DESC) = 1)"""

@@ -146,7 +146,7 @@ def e8(spark, sf):
 FIRST = """f AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (
   PARTITION BY label ORDER BY vec_id) AS k FROM embeddings)"""
 _COS = """round(list_dot_product({q}, {b}) / sqrt(list_dot_product({q}, {q}))
-  / sqrt(list_dot_product({b}, {b})), 6)"""
+  / sqrt(list_dot_product({b}, {b})), 6) + 0.0"""
 
 
 def first_vectors(spark, sf, n):
