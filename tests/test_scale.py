@@ -95,6 +95,16 @@ def test_hot_lookup_equals_join(spark):
         assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
 
 
+def test_hot_lookup_of_numbers_and_nulls(spark):
+    facts = spark.createDataFrame([(0.0, 1), (-0.0, 2), (None, 3), (2.5, 4)], "v double, id long")
+    table = spark.createDataFrame([(0.0, "a", 9), (2.5, "b", 1), (None, "c", 5)],
+                                  "v double, x string, n long")
+    for rows in (1, 2):
+        hot = joins.hottest(table, "v", "n", rows)
+        got = joins.hot_lookup(facts, table, "v", ["x"], hot, ["id"], "left").collect()
+        assert {r.id: r.x for r in got} == {1: "a", 2: "a", 3: None, 4: "b"}
+
+
 def test_hot_rows_are_spread(spark):
     facts = spark.range(20000).select(F.lit("the").alias("term"), F.col("id").alias("doc_id"))
     table = spark.createDataFrame([("the", 1.0, 9)], "term string, x double, n long")

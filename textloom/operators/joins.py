@@ -22,19 +22,23 @@ def hot_lookup(facts: DataFrame, table: DataFrame, on: str, values, hot: DataFra
     """Equi-join facts to a table with one row per key, with the hot keys taken out of the shuffle.
 
     `hot` names at most HOT_ROWS keys. Their rows of the table are broadcast (a fixed bound) and
-    met map-side. Their facts then enter the shuffle under a random key that matches nothing, so a
-    key that holds a third of all facts is spread over every task. All other keys are joined as
-    usual; no row is dropped. `values` are the table's columns to add.
+    met map-side. Their facts then enter the shuffle under the key and a random salt that matches
+    nothing, so a key that holds a third of all facts is spread over every task. All other keys
+    are joined as usual; no row is dropped. `values` are the table's columns to add.
     """
     values, spread_by = list(values), list(spread_by)
     packed = F.struct(*values)
+    table = table.filter(F.col(on).isNotNull())
     few = table.join(F.broadcast(hot), on, "left_semi").select(
         F.col(on).alias("_hot_key"), packed.alias("_hot"))
     met = facts.join(F.broadcast(few), F.col(on) == F.col("_hot_key"), "left")
-    away = F.concat(F.lit("\x01"), F.xxhash64(*spread_by).cast("string"))
-    met = met.withColumn(
-        "_key", F.when(F.col("_hot_key").isNull(), F.col(on).cast("string")).otherwise(away))
-    rest = table.select(F.col(on).cast("string").alias("_rest_key"), packed.alias("_rest"))
+    away = F.pmod(F.xxhash64(*spread_by), F.lit(2**40)) + 1
+    salt = F.when(F.col("_hot_key").isNull(), F.lit(0).cast("long")).otherwise(away)
+    # Key and salt are one struct: as two columns the constant salt would be folded away.
+    met = met.withColumn("_key", F.struct(F.col(on).alias("k"), salt.alias("s")))
+    rest = table.select(
+        F.struct(F.col(on).alias("k"), F.lit(0).cast("long").alias("s")).alias("_rest_key"),
+        packed.alias("_rest"))
     out = met.join(rest, F.col("_key") == F.col("_rest_key"), "left")
     out = out.withColumn("_found", F.coalesce("_hot", "_rest"))
     if how == "inner":

@@ -193,7 +193,7 @@ FROM tf LEFT JOIN pruned USING (term) GROUP BY doc_id""")
 def j1(spark, sf):
     tf = term_counts(spark, sf)
     v = pruned_vocabulary(spark, sf, tf)
-    j = A.lookup(tf, v, "term", ["df"])
+    j = tf.join(F.broadcast(v), "term", "left")  # the vocabulary has at most 5000 rows
     return j.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.count("df").alias("n_known"),
         F.sum(F.when(F.col("df").isNull(), 0).otherwise(F.col("tf"))).alias("known_words"))

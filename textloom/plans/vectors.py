@@ -13,6 +13,7 @@ from textloom.plans.ranking import VEC_SPLIT, split_vectors
 from textloom.plans.registry import TF, TOK, query, table
 from textloom.plans.tokenizing import (
     DIM, VOCAB, WV, _grams_sql, docs, term_counts, vocab_of, word_vectors)
+from textloom.session import checkpoint
 
 BENCH = f"""bench AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{K.WORD_2PLUS}')) AS term
   FROM benchmark), bterm AS (SELECT DISTINCT term FROM bench)"""
@@ -222,6 +223,7 @@ def e11(spark, sf):
     vb = wv.select(F.col("word").alias("w2"), F.col("vec").alias("vb"))
     j = wp.join(va, "w1", "left").join(vb, "w2", "left").select(
         "gold", F.round(embed.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
+    j = checkpoint(j)  # two numbers per pair, read by each ranking below
     share = j.agg(F.ceil(100.0 * F.count(F.when(F.col("cosine").isNull(), 1)) / F.count("*"))
                   .cast("long")).scalar()
     s = embed.spearman(j.filter("cosine IS NOT NULL"), "cosine", "gold")
