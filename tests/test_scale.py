@@ -89,10 +89,18 @@ def test_hot_lookup_equals_join(spark):
         "term string, x double, n long")
     hot = joins.hottest(table, "term", "n", 1)
     for how in ("inner", "left"):
-        got = joins.hot_lookup(facts, table, "term", ["x"], hot, ["doc_id"], how)
         want = facts.join(table.select("term", "x"), "term", how).select("term", "doc_id", "x")
         key = lambda r: (r.doc_id, r.term)
-        assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+        for stored in (False, True):
+            got = joins.hot_lookup(facts, table, "term", ["x"], hot, ["doc_id"], how, stored)
+            assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_size_check(spark, monkeypatch):
+    table = spark.createDataFrame([("abc", 1.0)] * 2, "term string, x double")
+    assert joins.fits_broadcast(table, "term")
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 133)  # 2 rows: 2 * 64 + 2 * 3 bytes
+    assert not joins.fits_broadcast(table, "term")
 
 
 def test_hot_lookup_of_numbers_and_nulls(spark):

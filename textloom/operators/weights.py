@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
 from textloom.operators.joins import hot_lookup, hottest, keep_top
+from textloom.session import checkpoint
 
 
 def sentence_ngrams(sentences: DataFrame, keys, n: int, tokens="tokens", stopwords=None):
@@ -37,12 +38,12 @@ def smooth_idf(df, n_docs):
 
 
 def idf_table(tf: DataFrame, n_docs, idf=smooth_idf, term="term") -> DataFrame:
-    """(term, df, idf): the fitted model; one row per term.
+    """(term, df, idf): the fitted model, one row per term.
 
-    Counting `tf` itself keeps the count table's columns, so its shuffle is shared with whoever
-    reads the same table."""
+    It is kept in reliable storage, since a look-up reads it for its frequent terms and for the
+    rest; the corpus is read once to fit it."""
     v = tf.groupBy(term).agg(F.count("tf").alias("df"))
-    return v.withColumn("idf", idf(F.col("df"), n_docs))
+    return checkpoint(v.withColumn("idf", idf(F.col("df"), n_docs)))
 
 
 def weigh(tf: DataFrame, idf: DataFrame, key="doc_id", term="term", sublinear=False,
@@ -52,7 +53,7 @@ def weigh(tf: DataFrame, idf: DataFrame, key="doc_id", term="term", sublinear=Fa
     Counts are one row per document and term, and the terms that most documents hold are met by
     broadcast, so a frequent term fills no task of its own."""
     count = F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")
-    w = hot_lookup(tf, idf, term, ["idf"], hottest(idf, term, "df"), [key])
+    w = hot_lookup(tf, idf, term, ["idf"], hottest(idf, term, "df"), [key], stored=True)
     w = w.withColumn(out, count * F.col("idf"))
     if normalize:
         norm = F.sqrt(F.sum(F.col(out) * F.col(out)).over(Window.partitionBy(key)))

@@ -94,7 +94,7 @@ def e6(spark, sf):
     idf = V.idf_table(tf, n_docs(spark, sf))
     highest = idf.agg(F.max("idf")).scalar()
     hot = hottest(idf, "term", "df")
-    w = hot_lookup(tf, idf, "term", ["idf"], hot, ["doc_id"], "left").withColumn(
+    w = hot_lookup(tf, idf, "term", ["idf"], hot, ["doc_id"], "left", True).withColumn(
         "idf", F.coalesce("idf", highest))
     return long_form(embed.mean_vectors(w, word_vectors(spark, sf), DIM, weight=F.col("idf"),
                                         by_count=True, hot=hot), "doc_id")
