@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from textloom.operators import stem
 
 # Published examples of the algorithm.

@@ -3,7 +3,6 @@
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
-from textloom.functions import clean
 from textloom.functions import constants as K
 from textloom.functions import tokens as T
 from textloom.operators import annotate as A
@@ -11,7 +10,7 @@ from textloom.operators import split as R
 from textloom.operators import weights as V
 from textloom.plans.registry import TF, TOK, query, sql_list, table
 from textloom.plans.tokenizing import (
-    ANN, DIM, IS_PUNCT, LEXICON, POS, SENT, corpus_tokens, docs, lexicon, term_counts,
+    ANN, DIM, IS_PUNCT, LEXICON, POS, SENT, docs, lexicon, term_counts,
     vocab_of)
 
 N_DOCS = "(SELECT count(*) FROM documents)"

@@ -3,15 +3,13 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textloom.functions import clean
 from textloom.functions import constants as K
 from textloom.functions import tokens as T
 from textloom.operators import annotate as A
 from textloom.operators import blocks, evaluate, order, pairs, split
-from textloom.operators import weights as V
 from textloom.plans.features import (
-    IDF, PAIRS, PRUNED, _u, adjacent_pairs, n_docs, pruned_vocabulary, tfidf)
-from textloom.plans.registry import TF, TOK, query, sql_list, table
+    PAIRS, PRUNED, _u, adjacent_pairs, pruned_vocabulary)
+from textloom.plans.registry import TF, query, sql_list, table
 from textloom.plans.tokenizing import SENT, corpus_tokens, docs, term_counts, vocab_of
 from textloom.sources import readers
 

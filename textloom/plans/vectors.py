@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 from textloom.functions import tokens as T
-from textloom.operators import blocks, embed, order, split
+from textloom.operators import blocks, embed, order
 from textloom.operators import weights as V
 from textloom.operators.joins import hot_lookup, hottest
 from textloom.plans.features import IDF, PAIRS, adjacent_pairs, n_docs
 from textloom.plans.ranking import VEC_SPLIT, split_vectors
 from textloom.plans.registry import TF, TOK, query, table
 from textloom.plans.tokenizing import (
-    DIM, VOCAB, WV, _grams_sql, docs, term_counts, vocab_of, word_vectors)
+    DIM, VOCAB, WV, _grams_sql, term_counts, vocab_of, word_vectors)
 from textloom.session import checkpoint
 
 BENCH = f"""bench AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{K.WORD_2PLUS}')) AS term
