@@ -1,6 +1,8 @@
 """Session settings and the shared checkpoint folder."""
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -53,3 +55,17 @@ def spread(df, *keys):
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
+
+
+def ship(spark):
+    """Send this package to the Python workers, once per session, wherever the driver started."""
+    context = spark.sparkContext
+    if getattr(context, "_textloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="textloom-")) / "textloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._textloom_shipped = True
