@@ -8,15 +8,19 @@ bucket answers each block, and the block applies the answers to its own document
 """
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from textloom.session import shared_dir
+
 ROWS_PER_BLOCK = 4096
-BLOCKS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 2
 BLOCK_BYTES = 8 << 20
 SPACE = "[^\\x20\\x09-\\x0D]+"
 U64 = np.uint64
@@ -31,18 +35,67 @@ def text_bytes(column="text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def block_count(docs) -> int:
-    """Blocks follow the row count, a few at least for each shuffle partition."""
-    least = BLOCKS_PER_PARTITION * partitions(docs.sparkSession)
+def bucket_count(docs) -> int:
+    """Buckets follow the row count, a few at least for each shuffle partition."""
+    least = BUCKETS_PER_PARTITION * partitions(docs.sparkSession)
     return max(least, -(-docs.count() // ROWS_PER_BLOCK))
 
 
-def blocked(docs, *columns, n=None):
-    """The given columns plus `_block`, a hash of id and text: the same rows meet at any retry."""
-    n = n or block_count(docs)
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    out = docs.withColumn("_block", F.pmod(key, F.lit(n)).cast("long"))
-    return out.select("_block", *columns).repartition(n, "_block")
+def blocked(docs, *columns):
+    """Blocks of the rows' doc_id, text and named columns, as `_block` and compressed `data`.
+
+    Blocks follow the scan, so `docs` should be a stored table: its tasks read the same rows again
+    after a failure, and number them alike.
+    """
+    def run(batches):
+        for k, rows in enumerate(sized(batches)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block_number(k)], pa.int64()), pa.array([to_bytes(rows)], pa.binary())],
+                names=["_block", "data"])
+
+    out = docs.select("doc_id", "text", *columns).mapInArrow(run, "_block long, data binary")
+    return out.repartition(partitions(docs.sparkSession), "_block")
+
+
+def sized(batches):
+    """Tables of bounded size from record batches."""
+    held, size, n = [], 0, 0
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part["text"])).as_py() or 0
+            n += part.num_rows
+            if size >= BLOCK_BYTES or n >= ROWS_PER_BLOCK:
+                yield pa.Table.from_batches(held)
+                held, size, n = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def to_bytes(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+        writer.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def rows_of(block: pa.Table) -> pa.Table:
+    """A block's rows by id and text, so that any reader numbers them alike; null ids last."""
+    rows = pa.ipc.open_stream(block["data"][0].as_py()).read_all()
+    return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
+def stored(df):
+    """The rows as a written table in the shared folder, with a plan that begins there.
+
+    Loops need this rather than checkpoints, whose plans keep what is known of the columns: that
+    grows with every round.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def held_out(mod, rest, column="doc_id"):
@@ -172,11 +225,6 @@ def batch(names, kinds, rows):
                                       names=list(names))
 
 
-def in_order(block: pa.Table):
-    """A block's rows by id and text, so that any retry numbers them alike; null ids last."""
-    return block.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
-
 NULL_ID = (1 << 64) - 1
 
 

@@ -9,11 +9,12 @@ The rest collapses twice: equal sets form a class, and classes with identical pr
 group. Groups that share a prefix shingle and pass the size and position filters are candidate pairs;
 they are expanded into their classes, and classes are verified on their whole sets.
 
-Components are all that is asked for, so pairs that are already connected need no verification. First
-each group is compared with one partner, the one most of its prefix shingles point to, and the
-members of a group with the group's first member; then with every such partner; and then all pairs
-that still lie in different components are listed and verified, which makes the result exact. A
-large set of near copies is connected by the first steps and never listed pair by pair.
+Components are all that is asked for, so pairs that are already connected need no verification. In
+each of at most ROUNDS rounds every group is compared with one group of another component, the one
+that most of its prefix shingles lead to (and in the first round members with their group's head).
+When a round finds no link, all pairs that pass the filters and still lie in different components are
+listed and verified, which makes the result exact. A large set of near copies is connected by the
+rounds and never listed pair by pair.
 
 Nulls: a null text, like one without words, has no shingles and links with nothing; a null id counts
 as larger than all others and is passed on. Fewer than five words are one shingle. Repeated rows link
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.session import checkpoint
 
 SIZE = 5
 PERCENT = 80
-PAIR_SCHEMA = "a string, b string"
+PAIR_SCHEMA = "a binary, b binary"
+ROUNDS = 3
 
 
 def shingles(text: bytes, hashes):
@@ -58,27 +59,41 @@ def prefix_length(n):
 
 
 def block_sets(block):
-    hashes = C.Hashes()
-    return [shingles(t, hashes) for t in block["text"].to_pylist()]
+    """A block's rows, their sets, and the keys of all shingles in it."""
+    rows, hashes = C.rows_of(block), C.Hashes()
+    return rows, [shingles(t, hashes) for t in rows["text"].to_pylist()]
 
 
-def slices(sorted_hashes, buckets):
-    """(bucket, from, to) of the parts of an ascending array; a bucket is a range of hashes."""
-    width = (1 << 64) // buckets + 1
-    bucket = (sorted_hashes // C.U64(width)).astype(np.int64)
+def key_bits(rows: int) -> int:
+    """Leading bits of a hash that frequencies are counted on: far more values than shingles.
+
+    Shingles that share them share their frequency, for every document alike, so the order of
+    shingles stays one order; some only look shared and cost a comparison.
+    """
+    return min(64, 24 + max(rows, 1).bit_length())
+
+
+def keys(sets, bits):
+    return [s >> C.U64(64 - bits) for s in sets]
+
+
+def slices(sorted_keys, buckets, bits):
+    """(bucket, from, to) of the parts of an ascending array; a bucket is a range of keys."""
+    bucket = (sorted_keys // C.U64((1 << bits) // buckets + 1)).astype(np.int64)
     starts = C.group_starts(bucket)
     return zip(bucket[starts].tolist(), starts.tolist(), np.append(starts[1:], len(bucket)).tolist())
 
 
-def ask(block, buckets):
-    """Distinct hashes of a block and in how many of its rows each stands."""
-    held, count = np.unique(np.concatenate(block_sets(block)), return_counts=True)
-    for bucket, a, b in slices(held, buckets):
+def ask(block, buckets, bits):
+    """Distinct keys of a block and in how many of its rows each stands."""
+    sets = [np.unique(k) for k in keys(block_sets(block)[1], bits)]
+    held, count = np.unique(np.concatenate(sets), return_counts=True)
+    for bucket, a, b in slices(held, buckets, bits):
         yield bucket, C.join((C.pack_sorted(held[a:b]), C.pack(count[a:b])))
 
 
 def answer(bucket):
-    """For each block the positions of its hashes that two or more rows hold, with their counts."""
+    """For each block the positions of its keys that two or more rows hold, with their counts."""
     parts = []
     for block, blob in zip(bucket["_block"].to_pylist(), bucket["payload"].to_pylist()):
         own, count = C.split(blob)
@@ -100,42 +115,48 @@ def answer(bucket):
                                  C.pack(mine[shared])))
 
 
-SET_SCHEMA = ("doc_id long, n_shingles long, class string, grp string, prefix array<long>, "
-              "hashes binary")
+SET_SCHEMA = ("doc_id long, n_shingles long, class binary, grp long, own int, "
+              "prefix array<long>, hashes binary")
+
 
+def digest(n, hashes) -> bytes:
+    return hashlib.blake2b(hashes.tobytes() + n.to_bytes(8, "little"), digest_size=12).digest()
 
-def finish(block, answers, buckets):
-    """A row per document; the first of each class in the block also carries the set."""
-    block = C.in_order(block)
-    sets = block_sets(block)
-    held = np.unique(np.concatenate(sets))
+
+def finish(block, answers, buckets, bits):
+    """A row per document; the first of each class in the block also carries the set.
+
+    `own` counts the prefix shingles that no other row holds; `prefix` lists the position and hash
+    of the others.
+    """
+    rows, sets = block_sets(block)
+    keyed = keys(sets, bits)
+    held = np.unique(np.concatenate(keyed))
     df = np.ones(len(held), np.int64)
-    where = {bucket: a for bucket, a, _ in slices(held, buckets)}
+    where = {bucket: a for bucket, a, _ in slices(held, buckets, bits)}
     for blob in answers["payload"].to_pylist():
         bucket, at, count = C.split(blob)
         first = where[int.from_bytes(bucket, "little")]
         df[first + C.unpack_sorted(at).astype(np.int64)] = C.unpack(count)
-    rows, seen = [], set()
-    for doc_id, s in zip(block["doc_id"].to_pylist(), sets):
-        n = len(s)
-        row = [doc_id, n, None, None, None, None]
+    out, seen = [], set()
+    for doc_id, s, key in zip(rows["doc_id"].to_pylist(), sets, keyed):
+        n, row = len(s), [doc_id, len(s), None, None, None, None, None]
         if n:
-            count = df[np.searchsorted(held, s)]
+            count = df[np.searchsorted(held, key)]
             prefix = np.lexsort((s, count))[:prefix_length(n)]
-            shared = prefix[count[prefix] > 1]
+            shared = np.flatnonzero(count[prefix] > 1)
             if len(shared):
-                row[2] = f"{n}:{hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()}"
+                row[2] = digest(n, s)
                 if row[2] not in seen:
                     seen.add(row[2])
-                    head = hashlib.blake2b(s[prefix].tobytes(), digest_size=16).hexdigest()
-                    row[3] = f"{n}:{head}"
-                    # Position in the prefix and hash, for the position filter.
-                    row[4] = np.stack((np.flatnonzero(count[prefix] > 1).astype(np.int64),
-                                       s[shared].view(np.int64)), 1).ravel().tolist()
-                    row[5] = C.pack_sorted(s)
-        rows.append(row)
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary())
-    return C.table(("doc_id", "n_shingles", "class", "grp", "prefix", "hashes"), kinds, rows)
+                    row[3] = int.from_bytes(digest(n, s[prefix])[:8], "little", signed=True)
+                    row[4] = len(prefix) - len(shared)
+                    row[5] = np.stack((shared, s[prefix[shared]].view(np.int64)), 1).ravel().tolist()
+                    row[6] = C.pack_sorted(s)
+        out.append(row)
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()),
+             pa.binary())
+    return C.table(("doc_id", "n_shingles", "class", "grp", "own", "prefix", "hashes"), kinds, out)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,124 +174,127 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(judged, PAIR_SCHEMA)
 
 
-def labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def labels(links: DataFrame) -> DataFrame:
     """(node, label): the least node that links reach; every round also jumps to the label's label."""
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    ends = ends.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    ends = checkpoint(ends.distinct())
-    found = checkpoint(nodes.select("node", F.col("node").alias("label")))
+    ends = C.stored(ends.unionByName(links.select(
+        F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
+    found = C.stored(ends.groupBy("node").agg(F.min("other").alias("near")).select(
+        "node", F.least("node", "near").alias("label")))
     while True:
         near = ends.join(found.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
             F.min("label").alias("near"))
-        step = found.join(near, "node", "left").select(
-            "node", "label", F.least("label", "near").alias("next"))
-        above = step.select(F.col("node").alias("next"), F.col("next").alias("above"))
-        new = checkpoint(step.join(above, "next", "left").select(
-            "node", "label", F.least("next", "above").alias("next")))
+        above = found.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        step = found.join(above, "label").join(near, "node")
+        new = C.stored(step.select("node", "label", F.least("above", "near").alias("next")))
         moved = new.filter(F.col("label") != F.col("next")).limit(1).count()
         found = new.select("node", F.col("next").alias("label"))
         if not moved:
             return found
 
 
-def unverified(pairs, found, done=None):
-    """Distinct pairs (a < b) of classes in different components, without those already judged."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if done is not None:
-        ordered = ordered.join(done, ["a", "b"], "left_anti")
-    if found is None:
-        return ordered
-    of = [found.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
-    both = ordered.join(of[0], "a").join(of[1], "b")
-    return both.filter("label_a <> label_b").select("a", "b")
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, label) after links between nodes; only labels that links touch move."""
+    a, b = (found.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
+    across = links.join(a, "a").join(b, "b").filter("_a <> _b")
+    moves = labels(across.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    moves = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return C.stored(found.join(moves, "label", "left").select(
+        "node", F.coalesce("to", "label").alias("label")))
+
+
+def ordered(pairs):
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def partners(entries, heads, found):
+    """One candidate for each group: the other component's group that most of its shingles lead to.
 
-def group_partners(entries):
-    """(grp, centre): the group most of whose prefix shingles it meets first in their buckets."""
-    order = F.hash("grp")
-    first = entries.groupBy("shingle").agg(F.min(F.struct(order.alias("o"), "grp")).alias("c"))
-    met = entries.join(first.select("shingle", F.col("c.grp").alias("centre")), "shingle")
-    return met.filter("grp <> centre").groupBy("grp", "centre").agg(F.count("*").alias("times"))
+    A shingle leads to the most central group that holds it, the one with fewest shingles of its
+    own; groups of that component are led to the most central one of another component.
+    """
+    of = heads.join(found, F.col("head") == F.col("node")).select("grp", "head", "label")
+    e = entries.join(of, "grp")
+    rank = F.struct("own", F.hash("grp").alias("o"), "grp", "head", "label")
+    top = e.groupBy("shingle").agg(F.min(rank).alias("top"))
+    e = e.join(top, "shingle")
+    other = e.filter(F.col("label") != F.col("top.label"))
+    second = other.groupBy("shingle").agg(F.min(rank).alias("second"))
+    e = e.join(second, "shingle")  # leaves only shingles that two components hold
+    to = F.when(F.col("label") == F.col("top.label"), F.col("second")).otherwise(F.col("top"))
+    met = e.select("grp", "head", to["head"].alias("to")).groupBy("grp", "head", "to").agg(
+        F.count("*").alias("times"))
+    best = met.groupBy("grp", "head").agg(F.max_by("to", F.struct("times", "to")).alias("to"))
+    return best.select(F.col("head").alias("a"), F.col("to").alias("b"))
 
 
 def components(rows: DataFrame) -> DataFrame:
-    """(class, label) of every class that has a shared prefix shingle."""
-    classes = checkpoint(rows.filter("hashes IS NOT NULL").groupBy("class").agg(
-        F.first("grp").alias("grp"), F.first("n_shingles").alias("n"),
-        F.first("prefix").alias("prefix"), F.first("hashes").alias("hashes")))
-    sets, nodes = classes.select("class", "hashes"), classes.select(F.col("class").alias("node"))
-    members = checkpoint(classes.select("grp", "class"))
-    groups = classes.groupBy("grp").agg(F.min("class").alias("head"), F.first("n").alias("n"),
-                                        F.first("prefix").alias("prefix"))
-    entries = groups.select(
-        "grp", "n", F.explode(F.expr("transform(sequence(0, size(prefix) div 2 - 1), "
-                                     "i -> struct(prefix[2*i] as pos, prefix[2*i+1] as shingle))"
-                                     )).alias("e"))
-    entries = checkpoint(entries.select("grp", "n", "e.pos", "e.shingle"))
-    heads = checkpoint(groups.select("grp", "head"))
-    partners = checkpoint(group_partners(entries))
-
-    def of_heads(pairs):
-        a = heads.select(F.col("grp"), F.col("head").alias("a"))
-        b = heads.select(F.col("grp").alias("centre"), F.col("head").alias("b"))
-        return pairs.join(a, "grp").join(b, "centre").select("a", "b")
-
-    best = partners.groupBy("grp").agg(
-        F.max_by("centre", F.struct("times", "centre")).alias("centre"))
-    inside = members.join(heads, "grp").filter("class <> head").select(
+    """(node, label) of every class that has a shared prefix shingle."""
+    classes = C.stored(rows.filter("hashes IS NOT NULL").groupBy("class").agg(
+        *[F.first(c).alias(c) for c in ("grp", "n_shingles", "own", "prefix", "hashes")]))
+    sets = classes.select("class", "hashes")
+    members = C.stored(classes.select("grp", "class"))
+    groups = classes.groupBy("grp").agg(
+        F.min("class").alias("head"), F.first("n_shingles").alias("n"),
+        F.first("own").alias("own"), F.first("prefix").alias("prefix"))
+    each = F.explode(F.expr("transform(sequence(0, size(prefix) div 2 - 1), "
+                            "i -> struct(prefix[2*i] as pos, prefix[2*i+1] as shingle))"))
+    entries = groups.select("grp", "n", "own", each.alias("e"))
+    entries = C.stored(entries.select("grp", "n", "own", "e.pos", "e.shingle"))
+    heads = C.stored(members.groupBy("grp").agg(F.min("class").alias("head")))
+    found = members.select(F.col("class").alias("node"), F.col("class").alias("label"))
+    tried = members.join(heads, "grp").filter("class <> head").select(
         F.col("class").alias("a"), F.col("head").alias("b"))
-    done, links, found = None, None, None
-    for candidates in (of_heads(best).unionByName(inside), of_heads(partners), None):
-        if candidates is None:
-            candidates = every_pair(entries, members, found)
-        tried = checkpoint(unverified(candidates, found, done))
-        good = checkpoint(verify(tried, sets))
-        done = tried if done is None else done.unionByName(tried)
-        links = good if links is None else links.unionByName(good)
-        found = labels(nodes, links)
-    return found.select(F.col("node").alias("class"), "label")
+    for _ in range(ROUNDS):
+        tried = tried.unionByName(partners(entries, heads, found))
+        links = C.stored(verify(ordered(tried), sets))
+        if not links.limit(1).count():
+            break
+        found = merged(found, links)
+        tried = tried.limit(0)
+    links = verify(ordered(every_pair(entries, members, found)), sets)
+    return merged(found, C.stored(links))
 
 
 def every_pair(entries, members, found):
     """Class pairs of all group pairs that pass the filters and are not in one component yet."""
-    label = found.withColumnRenamed("node", "class")
-    of_group = members.join(label, "class").groupBy("grp").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"))
+    of_class = members.join(found.withColumnRenamed("node", "class"), "class")
+    of_group = of_class.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     e = entries.join(of_group, "grp")
-    # A bucket within one component holds nothing to verify.
+    # A shingle within one component leads to nothing to verify.
     mixed = e.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h"))
     e = e.join(mixed.filter("l <> h").select("shingle"), "shingle")
     x, y = (e.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in
                                   ("grp", "n", "pos", "low", "high")]) for s in "xy")
     need = F.ceil(F.lit(PERCENT / (100 + PERCENT)) * (F.col("n_x") + F.col("n_y")) - 1e-6)
-    most = F.lit(1) + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
+    most = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    one = (F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (
+        F.col("low_x") == F.col("low_y"))
     pairs = x.join(y, "shingle").filter(
-        (F.col("grp_x") < F.col("grp_y"))
-        & ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y"))
-            & (F.col("low_x") == F.col("low_y")))
+        (F.col("grp_x") < F.col("grp_y")) & ~one
         & (100 * F.col("n_x") >= PERCENT * F.col("n_y"))
         & (100 * F.col("n_y") >= PERCENT * F.col("n_x")) & (most >= need))
     pairs = pairs.select("grp_x", "grp_y").distinct()
-    a = members.select(F.col("grp").alias("grp_x"), F.col("class").alias("a"))
-    b = members.select(F.col("grp").alias("grp_y"), F.col("class").alias("b"))
-    across = pairs.join(a, "grp_x").join(b, "grp_y").select("a", "b")
-    torn = of_group.filter("low <> high").select("grp")
-    own = members.join(torn, "grp")
-    within = own.withColumnRenamed("class", "a").join(
-        own.withColumnRenamed("class", "b"), "grp").filter("a < b").select("a", "b")
-    return across.unionByName(within)
+    a, b = (of_class.select(F.col("grp").alias(f"grp_{s}"), F.col("class").alias(c),
+                            F.col("label").alias(f"label_{c}")) for s, c in ("xa", "yb"))
+    across = pairs.join(a, "grp_x").join(b, "grp_y")
+    torn = of_class.join(of_group.filter("low <> high").select("grp"), "grp")
+    within = torn.select("grp", F.col("class").alias("a"), F.col("label").alias("label_a")).join(
+        torn.select("grp", F.col("class").alias("b"), F.col("label").alias("label_b")), "grp")
+    pick = ["a", "b", "label_a", "label_b"]
+    every = across.select(*pick).unionByName(within.select(*pick))
+    return every.filter("label_a <> label_b").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    plain = docs.select("doc_id", C.text_bytes().alias("text"))
-    n = C.block_count(docs)
-    blocks = C.blocked(plain, "doc_id", "text", n=n)
-    rows = checkpoint(C.dialogue(blocks, lambda b: ask(b, n), answer,
-                                 lambda b, a: finish(b, a, n), SET_SCHEMA))
-    found = components(rows)
+    blocks = C.blocked(docs.select("doc_id", C.text_bytes().alias("text")))
+    n, bits = C.bucket_count(docs), key_bits(docs.count())
+    rows = C.stored(C.dialogue(blocks, lambda b: ask(b, n, bits), answer,
+                               lambda b, a: finish(b, a, n, bits), SET_SCHEMA))
+    found = components(rows).withColumnRenamed("node", "class")
     least = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
-    named = least.join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = least.join(found, "class")
     low = named.groupBy("label").agg(F.min("low").alias("component_id"))
     of_class = named.join(low, "label").select("class", "component_id")
     return rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left").select(

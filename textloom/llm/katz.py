@@ -336,7 +336,7 @@ SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def train_and_score(docs: DataFrame, held=None):
     """(scores of all rows, folder of the model's tables); `held` marks rows to leave out."""
     spark, n = docs.sparkSession, C.partitions(docs.sparkSession)
-    buckets = C.BLOCKS_PER_PARTITION * n
+    buckets = C.BUCKETS_PER_PARTITION * n
     held = C.held_out(HELD_MOD, HELD_REST) if held is None else held
     plain = docs.select("doc_id", C.text_bytes().alias("text"), held.alias("held"))
     blocks = plain.mapInArrow(encode, ENCODED).repartition(n, "_block")

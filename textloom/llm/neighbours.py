@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.session import checkpoint
 
 TOP = 10
 EVERY = 100
@@ -216,11 +215,11 @@ def graph(nodes: DataFrame, n):
 
     total = nodes.count()
     first, width = start(nodes, n, total)
-    halves = checkpoint(nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(
+    halves = C.stored(nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(
         to_half, "node long, half binary"))
-    edges = checkpoint(lists(first, n))
+    edges = C.stored(lists(first, n))
     for _ in range(DESCENTS):
-        edges = checkpoint(descend(edges, halves, n))
+        edges = C.stored(descend(edges, halves, n))
     return edges, halves, width
 
 
@@ -246,9 +245,9 @@ def search(edges: DataFrame, halves: DataFrame, starts: DataFrame, n) -> DataFra
     turn = F.row_number().over(Window.partitionBy("node").orderBy(
         F.xxhash64("node", "next"), "next"))
     back = back.withColumn("_r", turn).filter(F.col("_r") <= LIST).drop("_r")
-    ways = checkpoint(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    ways = C.stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
                       .unionByName(back).distinct())
-    queries = checkpoint(starts.join(halves, "node").select(
+    queries = C.stored(starts.join(halves, "node").select(
         F.col("node").alias("q"), F.col("half").alias("of_q")))
     pool = queries.select("q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("d"),
                           F.lit(False).alias("done"))
@@ -257,10 +256,10 @@ def search(edges: DataFrame, halves: DataFrame, starts: DataFrame, n) -> DataFra
     for _ in range(HOPS):
         asked = pool.filter(~F.col("done")).join(ways, "node").select(
             "q", F.col("next").alias("node")).distinct()
-        asked = checkpoint(asked.join(known, ["q", "node"], "left_anti"))
+        asked = C.stored(asked.join(known, ["q", "node"], "left_anti"))
         known = known.unionByName(asked)
         found = measured(asked, halves, queries, n).withColumn("done", F.lit(False))
-        pool = checkpoint(pool.withColumn("done", F.lit(True)).unionByName(found).withColumn(
+        pool = C.stored(pool.withColumn("done", F.lit(True)).unionByName(found).withColumn(
             "_r", nearest).filter(F.col("_r") <= BEAM).drop("_r"))
     return pool.select("q", "node")
 
@@ -272,12 +271,12 @@ def nearest_neighbours(vectors: DataFrame, is_query=None, top=TOP) -> DataFrame:
     is_query = F.col("vec_id") % EVERY == 0 if is_query is None else is_query
     n = C.partitions(vectors.sparkSession)
     rows = usable(vectors)
-    nodes = checkpoint(nodes_of(rows))
+    nodes = C.stored(nodes_of(rows))
     edges, halves, width = graph(nodes, n)
     asking = rows.filter(is_query).filter(F.size("v") == width).join(
         nodes.select("node", F.col("v").alias("_v")), F.col("v") == F.col("_v")).select(
         F.col("vec_id").alias("query_id"), "node", "v")
-    asking = checkpoint(asking)
+    asking = C.stored(asking)
     found = search(edges, halves, asking.select("node").distinct(), n)
     exact = nodes.select("node", "ids", F.col("v").alias("w"))
     pairs = asking.withColumnRenamed("node", "q").join(found, "q").join(exact, "node")

@@ -56,7 +56,7 @@ def pieces(block):
 
 def ask(block, buckets):
     """Each distinct super-k-mer of the block, with its least and greatest document."""
-    block = C.in_order(block)
+    block = C.rows_of(block)
     ids = [C.ordered_id(i) for i in block["doc_id"].to_pylist()]
     known, least, greatest, bucket = {}, [], [], []
     for row, _, found in pieces(block):
@@ -170,12 +170,11 @@ def cut(text: bytes, mask) -> bytes:
 
 def substring_dedup(docs: DataFrame, *carried) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, the shortened text, and the carried columns."""
-    kept_columns = docs.select("doc_id", C.text_bytes().alias("text"), *carried)
-    blocks = C.blocked(kept_columns, "doc_id", "text", *carried, n=C.block_count(docs))
-    buckets = C.block_count(docs)
+    blocks = C.blocked(docs.select("doc_id", C.text_bytes().alias("text"), *carried), *carried)
+    buckets = C.bucket_count(docs)
 
     def finish(block, answers):
-        block = C.in_order(block)
+        block = C.rows_of(block)
         n_words, n_removed, digests, texts = [], [], [], []
         whole = block["text"]
         for row, words, mask in removed(block, answers):
