@@ -240,7 +240,10 @@ def components(rows: DataFrame) -> DataFrame:
     each = F.explode(F.expr("transform(sequence(0, size(prefix) div 2 - 1), "
                             "i -> struct(prefix[2*i] as pos, prefix[2*i+1] as shingle))"))
     entries = groups.select("grp", "n", "own", each.alias("e"))
-    entries = C.stored(entries.select("grp", "n", "own", "e.pos", "e.shingle"))
+    entries = entries.select("grp", "n", "own", "e.pos", "e.shingle")
+    # Shingles of one group alone, mostly of sets of equal copies, lead to no other group.
+    shared = entries.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    entries = C.stored(entries.join(shared.select("shingle"), "shingle"))
     heads = C.stored(members.groupBy("grp").agg(F.min("class").alias("head")))
     found = members.select(F.col("class").alias("node"), F.col("class").alias("label"))
     tried = members.join(heads, "grp").filter("class <> head").select(
