@@ -85,6 +85,13 @@ def test_contractions_longest_first(spark, text, want):
     assert one(spark, text, clean.expand_contractions) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("'cause it", "because it"), ("He'll've gone", "He will have gone"),
+])
+def test_contractions_without_first_letter_or_doubled_words(spark, text, want):
+    assert one(spark, text, clean.expand_contractions) == want
+
+
 def test_contraction_keys_are_lower_case():
     assert all(k == k.lower() for k in K.CONTRACTIONS)
 

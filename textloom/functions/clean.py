@@ -56,13 +56,18 @@ def remove_stopwords(text: Column, lang: Column | None = None, stopwords=None) -
 
 
 def expand_contractions(text: Column) -> Column:
-    """Expand listed contractions, longest first, keeping the first letter's case; then drop "'"."""
+    """Expand listed contractions, longest first, keeping the first letter's case; then drop "'".
+
+    One that begins with the apostrophe has no first letter to keep and is replaced whole.
+    """
     table = literal_map(K.CONTRACTIONS.items())
     found = F.regexp_extract_all(text, F.lit(K.CONTRACTION_PATTERN), F.lit(0))
     between = F.split(text, K.CONTRACTION_PATTERN)
 
     def expand(match):
-        return F.concat(F.substring(match, 1, 1), F.substring(table[F.lower(match)], 2, 100))
+        full = table[F.lower(match)]
+        first = F.substring(match, 1, 1)
+        return F.when(first == "'", full).otherwise(F.concat(first, F.substr(full, F.lit(2))))
 
     pieces = F.zip_with(
         between, found, lambda gap, m: F.concat(gap, F.coalesce(expand(m), F.lit("")))

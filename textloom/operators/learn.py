@@ -161,8 +161,9 @@ def polynomial(df: DataFrame, features: str, degree=2, out="expanded") -> DataFr
     return PolynomialExpansion(degree=degree, inputCol=features, outputCol=out).transform(df)
 
 
-def train_word_vectors(df: DataFrame, dim=100, window=5, min_count=5, epochs=1, partitions=1):
+def train_word_vectors(df: DataFrame, dim=100, window=5, min_count=5, epochs=1, partitions=None):
     """Skip-gram word vectors; the vocabulary that passes `min_count` must fit on the driver."""
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return Word2Vec(
         vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=1,
         numPartitions=partitions, inputCol="tokens", outputCol="vec").fit(df)
@@ -182,15 +183,17 @@ def topics(df: DataFrame, k: int, top=10, vocab_size=5000, min_df=2.0, iteration
 
 
 def coefficients(df: DataFrame, label="y", vocab_size=5000, min_df=2.0) -> DataFrame:
-    """(term, coefficient) of a logistic model on word counts."""
+    """(term, idf, coefficient) of a logistic model on word counts times idf."""
     model = Pipeline(stages=[
         CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocab_size, minDF=min_df),
         IDF(inputCol="counts", outputCol="features"),
         LogisticRegression(labelCol=label, regParam=0.1, maxIter=10),
     ]).fit(df)
-    fitted = zip(model.stages[0].vocabulary, model.stages[2].coefficients.toArray())
+    fitted = zip(model.stages[0].vocabulary, model.stages[1].idf.toArray(),
+                 model.stages[2].coefficients.toArray())
     return df.sparkSession.createDataFrame(
-        [(t, float(c)) for t, c in fitted], "term string, coefficient double")
+        [(t, float(i), float(c)) for t, i, c in fitted],
+        "term string, idf double, coefficient double")
 
 
 def product_codes(df: DataFrame, vec: str, dim: int, sub: int, k=256, key="vec_id") -> DataFrame:

@@ -60,7 +60,8 @@ CONTRACTED = [(r"\bis\b", "It's"), (r"\bnot\b", "don't"), (r"\bthat\b", "CAN'T'v
 _MAP = ("map(" + sql_list(K.CONTRACTIONS) + ", " + sql_list(K.CONTRACTIONS.values()) + ")")
 EXPANDED = f"""replace(list_reduce(list_transform(
     range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(
-      found[i][1:1] || substr({_MAP}[lower(found[i])], 2), '')), lambda a, b: a || b), '''', '')"""
+      CASE WHEN found[i][1:1] = '''' THEN {_MAP}[lower(found[i])]
+        ELSE found[i][1:1] || substr({_MAP}[lower(found[i])], 2) END, '')), lambda a, b: a || b), '''', '')"""
 CONTRACT_CTE = f"""c AS (SELECT doc_id, lang, {rewrite('text', CONTRACTED)} AS body FROM documents),
 p AS (SELECT doc_id, lang, regexp_split_to_array(body, {lit(K.CONTRACTION_PATTERN)}) AS gaps,
       regexp_extract_all(body, {lit(K.CONTRACTION_PATTERN)}) AS found FROM c),

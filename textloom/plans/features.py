@@ -1,6 +1,7 @@
 """Counting, weighting and split queries (V-*, R-*)."""
 
 from pyspark.ml.feature import StringIndexer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
@@ -333,11 +334,10 @@ PAIRS = """turns AS (SELECT conv_id, turn AS a, lead(turn) OVER (PARTITION BY co
 
 
 def adjacent_pairs(spark, sf):
-    """Each turn with the next turn of its conversation, by an equi-join on the turn number."""
-    c = table(spark, sf, "conversations")
-    a = c.select("conv_id", F.col("turn").alias("a"))
-    b = c.select("conv_id", F.col("turn").alias("b"))
-    return a.join(b.withColumn("a", F.col("b") - 1), ["conv_id", "a"])
+    """Each turn with the next turn of its conversation, over any gap in the turn numbers."""
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("a"))
+    following = F.lead("a").over(Window.partitionBy("conv_id").orderBy("a"))
+    return c.withColumn("b", following).filter("b IS NOT NULL")
 
 
 @query("r8_symmetric_pairs", f"""

@@ -15,7 +15,8 @@ from textloom.plans.registry import query, table
 from textloom.plans.tokenizing import DIM, docs, term_counts, word_vectors
 from textloom.session import checkpoint
 
-SIZE = 4096
+SIZE = 1 << 15
+TERMS = 50_000
 
 
 def labelled_docs(spark, sf, n=1):
@@ -124,22 +125,22 @@ def m14(spark, sf):
 @query("m16_topics")
 def m16(spark, sf):
     d = learn.with_tokens(docs(spark, sf).select("doc_id", "text")).drop("text")
-    return learn.topics(d, 5, 10, vocab_size=2000, min_df=5.0, iterations=5)
+    return learn.topics(d, 5, 10, vocab_size=TERMS, min_df=2.0, iterations=5)
 
 
 @query("m19_informative_features")
 def m19(spark, sf):
-    c = learn.coefficients(labelled_docs(spark, sf), vocab_size=3000, min_df=5.0)
-    return top_and_bottom(c, "coefficient", "term", 20)
+    c = learn.coefficients(labelled_docs(spark, sf), vocab_size=TERMS, min_df=2.0)
+    return top_and_bottom(c.drop("idf"), "coefficient", "term", 20)
 
 
 @query("m19_contributions")
 def m19_contributions(spark, sf):
-    """Ten strongest terms of each labelled document: tf times coefficient."""
+    """Ten strongest terms of each labelled document: tf times idf times coefficient."""
     d = labelled_docs(spark, sf)
-    c = learn.coefficients(d, vocab_size=3000, min_df=5.0)
+    c = learn.coefficients(d, vocab_size=TERMS, min_df=2.0)
     tf = V.term_counts(d.select("doc_id", F.explode("tokens").alias("term")), ["doc_id"])
-    w = tf.join(c, "term").withColumn("weight", F.col("tf") * F.col("coefficient"))
+    w = tf.join(c, "term").withColumn("weight", F.col("tf") * F.col("idf") * F.col("coefficient"))
     best = Window.partitionBy("doc_id").orderBy(F.desc(F.abs("weight")), "term")
     return w.withColumn("rank", F.row_number().over(best)).filter("rank <= 10").select(
         "doc_id", "rank", "term", "weight")
@@ -209,14 +210,15 @@ def v24(spark, sf):
 @query("e3_train_word_vectors")
 def e3(spark, sf):
     d = learn.with_tokens(docs(spark, sf).select("text")).drop("text")
-    model = learn.train_word_vectors(d, dim=10, min_count=20, partitions=4)
-    return model.getVectors().select("word", vector_to_array("vector")[0].alias("first"))
+    model = learn.train_word_vectors(d, dim=100, min_count=5)
+    return model.getVectors().select(
+        "word", F.posexplode(vector_to_array("vector")).alias("dim", "value"))
 
 
 @query("e12_document_vectors")
 def e12(spark, sf):
     d = learn.with_tokens(docs(spark, sf).select("doc_id", "text")).drop("text")
-    model = learn.train_word_vectors(d, dim=10, min_count=20, partitions=4)
+    model = learn.train_word_vectors(d, dim=100, min_count=5)
     return model.transform(d).select(
         "doc_id", F.posexplode(vector_to_array("vec")).alias("dim", "value"))
 

@@ -256,12 +256,13 @@ WIDTH = 40
 
 @query("e14_fixed_sequence", f"""
 WITH {WV}, p AS (SELECT doc_id, w[i] AS term, i - 1 AS pos FROM (
-  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (
+  SELECT doc_id, w, unnest(range(1, least(len(w), {WIDTH}) + 1)) AS i FROM (
     SELECT doc_id, regexp_extract_all(lower(text), '{K.WORD_2PLUS}') AS w FROM documents))),
-h AS (SELECT doc_id, pos, vec FROM p JOIN wv ON word = term WHERE pos < {WIDTH})
+f AS (SELECT word, vec[1] AS f FROM wv),
+h AS (SELECT doc_id, pos, f FROM p JOIN f ON word = term)
 SELECT 'skip' AS mode, doc_id, {WIDTH} - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS slot,
-  round(vec[1], 4) + 0.0 AS first FROM h
-UNION ALL SELECT 'zero', doc_id, pos, round(vec[1], 4) + 0.0 FROM h""")
+  round(f, 4) + 0.0 AS first FROM h
+UNION ALL SELECT 'zero', doc_id, pos, round(f, 4) + 0.0 FROM h""")
 def e14(spark, sf):
     from textloom.plans.tokenizing import corpus_tokens
 
