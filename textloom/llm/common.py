@@ -23,6 +23,7 @@ ROWS_PER_BLOCK = 4096
 BUCKETS_PER_PARTITION = 2
 BLOCK_BYTES = 8 << 20
 SPACE = "[^\\x20\\x09-\\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 U64 = np.uint64
 
 
@@ -91,11 +92,18 @@ def stored(df):
     """The rows as a written table in the shared folder, with a plan that begins there.
 
     Loops need this rather than checkpoints, whose plans keep what is known of the columns: that
-    grows with every round.
+    grows with every round. Once the table is written nothing reads the write's shuffles again, so
+    Spark may remove their files then; the session's own choice is put back.
     """
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(mod, rest, column="doc_id"):
