@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from textloom.functions import tokens as T
 from textloom.operators.joins import hot_lookup, hottest, hottest_in, keep_top
 
-BROADCAST_WORDS = 500000
 
 
 def sentences(df: DataFrame, keys, text="text") -> DataFrame:
@@ -102,13 +101,9 @@ def index_vocabulary(vocab: DataFrame, num_words: int, term="term", count="n") -
 def to_sequences(tokens: DataFrame, index: DataFrame, keys, num_words, pos="pos", term="term"):
     """Ids of the known tokens of each document in order; documents without any get none.
 
-    The index has at most `num_words` rows. Up to BROADCAST_WORDS it is broadcast; a larger one is
-    joined by shuffle with its most frequent words broadcast.
+    The most frequent words of the index are met by broadcast, the rest by the usual join.
     """
-    if num_words <= BROADCAST_WORDS:
-        hits = tokens.join(F.broadcast(index.select(term, "idx")), term)
-    else:
-        hits = hot_lookup(tokens, index, term, ["idx"], hottest(index, term, "n"), [*keys, pos])
+    hits = hot_lookup(tokens, index, term, ["idx"], hottest(index, term, "n"), [*keys, pos])
     seq = hits.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(pos, "idx"))), lambda s: s["idx"])
         .alias("ids"))

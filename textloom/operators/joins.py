@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1000
-BROADCAST_BYTES = 32 << 20
 
 
 def hottest(table: DataFrame, on: str, count: str, rows=HOT_ROWS) -> DataFrame:
@@ -18,29 +17,19 @@ def hottest_in(facts: DataFrame, on: str, rows=HOT_ROWS) -> DataFrame:
     return hottest(facts.groupBy(on).agg(F.count(measure).alias("_n")), on, "_n", rows)
 
 
-def fits_broadcast(table: DataFrame, on: str) -> bool:
-    """Whether a stored table is small: its keys' bytes and 64 bytes a row stay under the bound."""
-    size = table.agg(F.count("*").alias("n"),
-                     F.sum(F.octet_length(F.col(on).cast("string"))).alias("b")).first()
-    return (size.b or 0) + 64 * size.n <= BROADCAST_BYTES
-
-
 def hot_lookup(facts: DataFrame, table: DataFrame, on: str, values, hot: DataFrame, spread_by,
-               how="inner", stored=False) -> DataFrame:
+               how="inner") -> DataFrame:
     """Equi-join facts to a table with one row per key, with the hot keys taken out of the shuffle.
 
     `hot` names at most HOT_ROWS keys. Their rows of the table are broadcast (a fixed bound) and
     met map-side. Their facts then enter the shuffle under the key and a random salt that matches
     nothing, so a key that holds a third of all facts is spread over every task. All other keys
-    are joined as usual; no row is dropped. `values` are the table's columns to add. A `stored` table, such as a fitted
-    model, is measured first and broadcast whole when it is small.
+    are joined as usual, by the join that Spark picks for their size; no row is dropped. `values`
+    are the table's columns to add.
     """
     values, spread_by = list(values), list(spread_by)
     packed = F.struct(*values)
     table = table.filter(F.col(on).isNotNull())
-    if stored and fits_broadcast(table, on):
-        joined = facts.join(F.broadcast(table.select(on, *values)), on, how)
-        return joined.select(*facts.columns, *values)
     few = table.join(F.broadcast(hot), on, "left_semi").select(
         F.col(on).alias("_hot_key"), packed.alias("_hot"))
     met = facts.join(F.broadcast(few), F.col(on) == F.col("_hot_key"), "left")

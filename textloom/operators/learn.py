@@ -3,16 +3,19 @@
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF, PCA, CountVectorizer, HashingTF, Normalizer, PolynomialExpansion, StringIndexer,
     UnivariateFeatureSelector, VectorAssembler, Word2Vec)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.mllib.classification import LogisticRegressionWithSGD, SVMWithSGD
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.regression import LabeledPoint
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,9 +118,6 @@ def learning_curve(df: DataFrame, stages_for: dict, sizes, repeats, key="doc_id"
     return each.groupBy("model", "train_size").agg(F.avg("accuracy").alias("accuracy"))
 
 
-GRAM_COLS = 4096  # the driver holds cols^2 numbers up to here
-
-
 def truncated_svd(vectors: DataFrame, k: int, key="doc_id", features="features") -> DataFrame:
     """Project rows on the top k right singular vectors, without centring.
 
@@ -127,13 +127,7 @@ def truncated_svd(vectors: DataFrame, k: int, key="doc_id", features="features")
     spark = vectors.sparkSession
     vectors = checkpoint(vectors.select(key, features))  # the solver reads the rows many times
     rows = MLUtils.convertVectorColumnsFromML(vectors.select(features), features)
-    matrix = RowMatrix(rows)
-    if matrix.numCols() <= GRAM_COLS:
-        # One pass sums the small feature-by-feature product; its eigenvectors are the answer.
-        _, vectors_up = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-        v = vectors_up[:, ::-1][:, :k]
-    else:
-        v = matrix.computeSVD(k).V.toArray()
+    v = RowMatrix(rows).computeSVD(k).V.toArray()
     basis = spark.createDataFrame(
         [(i, [float(x) for x in v[i]]) for i in range(v.shape[0])], "i int, axis array<double>")
     cells = vectors.select(key, F.posexplode(vector_to_array(features)).alias("i", "x"))
@@ -196,18 +190,85 @@ def coefficients(df: DataFrame, label="y", vocab_size=5000, min_df=2.0) -> DataF
         "term string, idf double, coefficient double")
 
 
-def product_codes(df: DataFrame, vec: str, dim: int, sub: int, k=256, key="vec_id") -> DataFrame:
-    """Code of each sub-vector: its k-means centre among `k`, one model per slice of `sub` dims."""
-    out = df
-    names = []
-    for start in range(0, dim, sub):
-        name = f"c{start // sub}"
-        piece = F.transform(F.slice(vec, start + 1, sub), lambda x: x.cast("double"))
-        out = out.withColumn("_s", array_to_vector(piece))
-        model = KMeans(k=k, maxIter=5, seed=1, initSteps=1, featuresCol="_s", predictionCol=name)
-        out = model.fit(out.select("_s")).transform(out).drop("_s")
-        names.append(name)
-    return out.select(key, F.array(*names).alias("codes"))
+def slice_codes(x, centres, rows=512):
+    """Nearest centre of every row's slices: x is (rows, slices, sub), centres (slices, k, sub)."""
+    norms = (centres ** 2).sum(2)
+    codes = [(norms - 2 * np.einsum("nsd,skd->nsk", x[a:a + rows], centres)).argmin(2)
+             for a in range(0, len(x), rows)]
+    return np.concatenate(codes) if codes else np.zeros((0, len(centres)), int)
+
+
+def product_codes(df: DataFrame, vec: str, dim: int, sub: int, k=256, iterations=25,
+                  key="vec_id") -> DataFrame:
+    """Code of each slice of `sub` dimensions: its nearest among the slice's `k` k-means centres.
+
+    All slices are fitted together: a step is one job that sums, by slice and centre, the rows
+    nearest to it. Centres (dim * k numbers) start from the k rows of least key hash; only they
+    and their sums pass through the driver. A centre that no row is nearest to stays.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows = checkpoint(df.select(key, F.transform(vec, lambda x: x.cast("double")).alias("v")))
+    first = rows.orderBy(F.xxhash64(key), key).limit(k).collect()
+    shape = (-1, dim // sub, sub)
+    centres = np.array([r.v for r in first]).reshape(shape).transpose(1, 0, 2).copy()
+
+    def slices(pdf):
+        return np.array(pdf["v"].tolist()).reshape(shape)
+
+    def summing(now):
+        def run(batches):
+            total, n = np.zeros_like(now), np.zeros(now.shape[:2], np.int64)
+            for pdf in batches:
+                x = slices(pdf)
+                codes = slice_codes(x, now)
+                for s in range(len(now)):
+                    np.add.at(total[s], codes[:, s], x[:, s])
+                    np.add.at(n[s], codes[:, s], 1)
+            s, c = np.nonzero(n)
+            yield pd.DataFrame({"slice": s, "centre": c, "n": n[s, c], "total": list(total[s, c])})
+        return run
+
+    sums = [F.sum(F.col("total")[j]).alias(f"t{j}") for j in range(sub)]
+    for _ in range(iterations if first else 0):
+        parts = rows.select("v").mapInPandas(
+            summing(centres), "slice int, centre int, n long, total array<double>")
+        moved = centres.copy()
+        for r in parts.groupBy("slice", "centre").agg(F.sum("n").alias("n"), *sums).collect():
+            moved[r.slice, r.centre] = [r[f"t{j}"] / r.n for j in range(sub)]
+        if np.allclose(moved, centres, rtol=0, atol=1e-12):
+            break
+        centres = moved
+
+    def coded(batches):
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "codes": list(slice_codes(slices(pdf), centres))})
+
+    return rows.mapInPandas(coded, f"`{key}` {kind}, codes array<int>")
+
+
+def sgd(train: DataFrame, test: DataFrame, loss: str, label="y", key="doc_id",
+        features="features", steps=100, share=0.1, l2=0.01) -> DataFrame:
+    """(key, pred) of a linear model fitted by mini-batch gradient steps on log or hinge loss."""
+    trainer = {"log": LogisticRegressionWithSGD, "hinge": SVMWithSGD}[loss]
+    points = MLUtils.convertVectorColumnsFromML(train.select(label, features), features)
+    model = trainer.train(
+        points.rdd.map(lambda r: LabeledPoint(r[0], r[1])), iterations=steps,
+        miniBatchFraction=share, regParam=l2, regType="l2", intercept=True)
+    rows = MLUtils.convertVectorColumnsFromML(test.select(key, features), features)
+    kind = test.schema[key].dataType.simpleString()
+    found = rows.rdd.map(lambda r: (r[0], int(model.predict(r[1]))))
+    return test.sparkSession.createDataFrame(found, f"`{key}` {kind}, pred int")
+
+
+def top_labels(predicted: DataFrame, names, k: int, key="doc_id", probability="probability"):
+    """The k likeliest labels of each row with their probabilities; ties in the order of `names`."""
+    each = F.transform(vector_to_array(probability), lambda p, i: F.struct(
+        (-p).alias("below"), i.alias("i")))
+    best = predicted.select(key, F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("r", "b"))
+    return best.select(
+        key, (F.col("r") + 1).alias("rank"),
+        F.get(F.array(*map(F.lit, names)), F.col("b.i")).alias("label"),
+        (-F.col("b.below")).alias("probability"))
 
 
 CLASSIFIERS = {

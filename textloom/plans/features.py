@@ -198,6 +198,20 @@ def v14(spark, sf):
     return V.drop_zero_columns(document_features(spark, sf), [f"share_{u}" for u in UPOS])
 
 
+CUSTOM = ["n_words", "share_number", "share_dictionary", *[f"share_{u}" for u in UPOS]]
+
+
+@query("v15_concatenate_features", f"""
+WITH {IDF}, custom AS ({_FEATURES})
+SELECT doc_id, 'word:' || term AS feature, round(weight, 6) AS value FROM tfidf
+""" + "".join(f"UNION ALL SELECT doc_id, '{c}', {c}::DOUBLE FROM custom\n" for c in CUSTOM))
+def v15(spark, sf):
+    words = _rounded(tfidf(spark, sf)).select(
+        "doc_id", F.concat(F.lit("word:"), "term").alias("feature"), F.col("weight").alias("value"))
+    custom = document_features(spark, sf).withColumn("n_words", F.col("n_words").cast("double"))
+    return words.unionByName(custom.unpivot("doc_id", CUSTOM, "feature", "value"))
+
+
 @query("v16_style_features", f"""
 WITH {ANN}, x AS (SELECT doc_id, unnest(toks) AS t FROM toks),
 {IDF}, s AS (SELECT doc_id, round(min(idf), 6) AS min_idf, round(sum(idf * tf) / sum(tf), 6)

@@ -1,5 +1,6 @@
 """Queries over pyspark.ml estimators; their results are checked by invariants, not by SQL."""
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
     RandomForestClassifier)
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import embed, evaluate, learn, split
 from textloom.operators import weights as V
-from textloom.plans.features import document_features, n_docs
+from textloom.plans.features import n_docs
 from textloom.plans.ranking import top_and_bottom
 from textloom.plans.registry import query, table
 from textloom.plans.tokenizing import DIM, docs, term_counts, word_vectors
@@ -57,11 +58,16 @@ def m7(spark, sf):
 
 @query("m8_sgd_losses")
 def m8(spark, sf):
-    """Log and hinge loss with an L2 penalty, side by side."""
-    log = _predict(spark, sf, learn.CLASSIFIERS["logistic"]("y"))
-    hinge = _predict(spark, sf, learn.CLASSIFIERS["svm"]("y"))
-    return log.withColumnRenamed("pred", "pred_log").join(
-        hinge.select("doc_id", F.col("pred").alias("pred_hinge")), "doc_id")
+    """Mini-batch gradient steps on log and hinge loss with an L2 penalty, side by side."""
+    train, test = _parts(labelled_docs(spark, sf))
+    model = Pipeline(stages=learn.text_stages(SIZE)).fit(train)
+    train, test = (checkpoint(model.transform(p).select("doc_id", "y", "features"))
+                   for p in (train, test))
+    out = test.select("doc_id", F.col("y").cast("int").alias("y"))
+    for loss in ("log", "hinge"):
+        found = learn.sgd(train, test, loss)
+        out = out.join(found.withColumnRenamed("pred", f"pred_{loss}"), "doc_id")
+    return out
 
 
 def _small():
@@ -122,6 +128,17 @@ def m14(spark, sf):
                     F.avg("hit").alias("r_at_1"))
 
 
+@query("m23_top_labels")
+def m23(spark, sf):
+    """The three likeliest languages of each test document with their probabilities."""
+    train, test = _parts(labelled_docs(spark, sf).drop("y"))
+    model = Pipeline(stages=[
+        learn.label_indexer("lang"), *learn.text_stages(SIZE, idf=False),
+        LogisticRegression(labelCol="y", family="multinomial", regParam=0.001, maxIter=10),
+    ]).fit(train)
+    return learn.top_labels(model.transform(test), model.stages[0].labels, 3)
+
+
 @query("m16_topics")
 def m16(spark, sf):
     d = learn.with_tokens(docs(spark, sf).select("doc_id", "text")).drop("text")
@@ -163,23 +180,10 @@ def r7(spark, sf):
 
 
 def _weighted(spark, sf, size=SIZE):
-    from pyspark.ml import Pipeline
-
     d = labelled_docs(spark, sf)
     return Pipeline(stages=learn.text_stages(size)).fit(d).transform(d)
 
 
-@query("v15_concatenate_features")
-def v15(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
-
-    names = ["n_words", "share_number", "share_dictionary"]
-    w = _weighted(spark, sf, 64).join(document_features(spark, sf), "doc_id")
-    a = VectorAssembler(inputCols=["features", *names], outputCol="all").transform(w)
-    return a.select("doc_id", F.size(vector_to_array("all")).alias("n_features"),
-                    F.element_at(vector_to_array("all"), -3).alias("n_words"))
-
-
 @query("v20_truncated_svd")
 def v20(spark, sf):
     s = learn.truncated_svd(_weighted(spark, sf, 1024), 20)
@@ -194,17 +198,17 @@ def v21(spark, sf):
 
 @query("v23_select_fpr")
 def v23(spark, sf):
-    model = learn.select_fpr(_weighted(spark, sf, 1024))
-    kept = model.transform(_weighted(spark, sf, 1024))
-    return kept.select("doc_id", F.size(vector_to_array("selected")).alias("n_selected"))
+    w = checkpoint(_weighted(spark, sf, 1024).select("doc_id", "y", "features"))
+    kept = learn.select_fpr(w).transform(w)
+    return kept.select("doc_id", F.posexplode(vector_to_array("selected")).alias(
+        "selected", "value")).filter("value <> 0")
 
 
 @query("v24_polynomial")
 def v24(spark, sf):
-    p = learn.pca(table(spark, sf, "embeddings"), "embedding", 3).withColumn(
-        "v", array_to_vector("components"))
-    out = learn.polynomial(p, "v").withColumn("x", vector_to_array("expanded"))
-    return out.select("vec_id", F.posexplode("x").alias("term", "value"))
+    p = table(spark, sf, "embeddings").withColumn(
+        "v", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+    return learn.polynomial(p, "v").select("vec_id", vector_to_array("expanded").alias("expanded"))
 
 
 @query("e3_train_word_vectors")
@@ -226,7 +230,7 @@ def e12(spark, sf):
 @query("e17_product_codes")
 def e17(spark, sf):
     c = learn.product_codes(table(spark, sf, "embeddings").select("vec_id", "embedding"),
-                            "embedding", DIM, 16, 32)
+                            "embedding", DIM, 2)
     return c.select("vec_id", F.posexplode("codes").alias("slice", "code"))
 
 
