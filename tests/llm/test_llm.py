@@ -148,6 +148,15 @@ def test_quality_model_is_normalised():
         assert p.sum() == pytest.approx(1)
 
 
+def test_bigrams_of_frequent_words_are_dealt_over_all_buckets():
+    size, buckets = 5000, 50
+    every, one = np.arange(size), np.full(size, 3)
+    for h, w in ((one, every), (every, one)):
+        keys, bucket, place = quality.dealt(h, w, size, buckets)
+        assert (keys[place] == h * size + w).all() and (np.diff(bucket) >= 0).all()
+        assert np.bincount(bucket).max() == size // buckets
+
+
 def test_quality_keeps_prose_and_rejects_symbols(spark):
     ship(spark)
     rng = random.Random(5)
