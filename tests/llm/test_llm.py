@@ -171,6 +171,31 @@ def test_quality_keeps_prose_and_rejects_symbols(spark):
     assert quality.keep_good(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_quality_cuts_by_language(spark):
+    """Cuts of seen languages are their own; null and unseen languages share the overall one."""
+    ship(spark)
+    rng = random.Random(6)
+    lang = {0: "en", 1: "fr", 2: None, 3: "xx"}
+    rows = [(i, prose(rng, 40), lang[i % 4], "s", 1) for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(240) if i % 4 != 3],
+                                   "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = quality.classify(docs, labels).toPandas()
+    assert sorted(found.doc_id) == list(range(240))
+    fair = {r.doc_id for r in quality.trusted(docs, labels, 1).collect()}
+    marked = found[found.doc_id.isin(fair)]
+    means = -marked.groupby("lang").log_prob.sum() / marked.groupby("lang").n_tokens.sum()
+    overall = -marked.log_prob.sum() / marked.n_tokens.sum()
+    centre = found.lang.map(means).fillna(overall)
+    surprise = (quality.PRIOR * centre - found.log_prob) / (found.n_tokens + quality.PRIOR)
+    assert np.allclose(surprise, found.surprise)
+    for name in ("en", "fr"):
+        of = marked[marked.lang == name].surprise
+        assert (found[found.lang == name].cut == of.max()).all()
+    other = found[~found.lang.isin(["en", "fr"])]
+    assert (other.cut == marked.surprise.max()).all()
+
+
 def test_forward_backward_by_enumeration(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 4)
     rng = np.random.default_rng(1)
