@@ -260,6 +260,39 @@ def test_neighbours_against_brute_force(spark):
     assert found >= 0.95 * 200
 
 
+def answers_of(vectors, queries):
+    """vec_ids by rank of every asked id."""
+    out = neighbours.nearest_neighbours(vectors, F.col("vec_id").isin(queries)).collect()
+    return {q: [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
+            for q in queries}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_among_near_copies_and_at_any_scale(spark, kind):
+    """More near copies than the beam holds, and components that half floats turn to inf or 0."""
+    ship(spark)
+    rng = np.random.default_rng(4)
+    copies = 0.2 + 1e-6 * rng.normal(size=(700, 8))
+    huge, tiny = 1e6 * rng.normal(size=(40, 8)), 1e-9 * rng.normal(size=(40, 8))
+    x = np.concatenate([copies, huge, tiny])
+    if kind == "double":
+        x = np.concatenate([x, 1e300 * rng.normal(size=(40, 8)), 1e-200 * rng.normal(size=(40, 8))])
+    else:
+        x = x.astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    queries = [*range(0, 700, 50), 705, 730, 745, 770, *([785, 805, 825, 850] if kind == "double" else [])]
+    got, hits = answers_of(vectors, queries), []
+    for q in queries:
+        diff = x - x[q]
+        top = np.abs(diff).max(1)
+        d = np.sqrt(((diff / np.where(top > 0, top, 1)[:, None]) ** 2).sum(1)) * top
+        want = [int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        assert len(got[q]) == 10
+        hits.append(len(set(want) & set(got[q])))
+    assert min(hits) >= 8 and sum(hits) >= 9.5 * len(hits)
+
+
 def test_substring_matches_brute_force(docs):
     want = brute.repeats(pairs(docs))
     for r in substring.substring_dedup(docs, "lang").collect():

@@ -10,8 +10,9 @@ order; the search is approximate by contract, and every vector is in the graph.
 
 Queries start from their own node's list. Each round expands the BEAM nearest nodes found so far that
 were not expanded, asks the buckets that own their neighbours for distances, and keeps the nearest.
-Vectors travel as half floats; the last BEAM candidates are measured on the vectors as given, in
-double precision.
+Vectors travel as given (single floats, or doubles), and every distance that a list, a beam or an
+answer keeps is that of `apart`: the vectors' own difference, in double precision, at any scale.
+Products only rule out pairs that are further off by more than their rounding error.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; neither do null ids,
 nor vectors of another length than most of the sample. Repeated ids are rows of their own; a query is
@@ -33,7 +34,9 @@ TREES, LEAF, SAMPLE = 4, 128, 20_000
 DESCENTS = 4
 BEAM, HOPS = 300, 4
 SEED = 7
-EDGE = "src long, dst long, d float"
+ROUNDING = 1e-9
+PIECE = 16_384
+EDGE = "src long, dst long, d double"
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -53,8 +56,52 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return grouped.select(F.col("ids")[0].alias("node"), "ids", "v")
 
 
-def as_half(column):
-    return np.array(column.to_pylist(), np.float64).astype(np.float16)
+def kind_of(vectors: DataFrame):
+    """Type that holds the table's components without loss."""
+    return np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+
+
+def vectors_of(column, kind):
+    """Matrix of packed vectors, in doubles."""
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
+
+
+def apart(a, b):
+    """Distance of every row of a to the same row of b; neither overflow nor underflow spoils it."""
+    with np.errstate(over="ignore", under="ignore"):
+        diff = a - b
+        d = np.sqrt((diff * diff).sum(1))
+        odd = np.flatnonzero(~((d > 1e-140) & (d < 1e140)))
+        if len(odd):
+            half = np.where(np.isinf(diff[odd]).any(1), 2.0, 1.0)
+            diff = a[odd] / half[:, None] - b[odd] / half[:, None]
+            top = np.abs(diff).max(1)
+            diff /= np.where(top > 0, top, 1)[:, None]
+            d[odd] = np.sqrt((diff * diff).sum(1)) * top * half
+    return d
+
+
+def products(x):
+    """Squared distances of all pairs by one product, and a bound of their rounding error."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        y = x - x.mean(0)
+        square = (y * y).sum(1)
+        both = square[:, None] + square
+        return both - 2 * y @ y.T, ROUNDING * both + 1e-280
+
+
+def closer(x, limit):
+    """(i, j, distance) of the ordered pairs of rows with a distance below row i's limit."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        square, error = products(x)
+        off = square - error >= (limit * limit * (1 + ROUNDING))[:, None]
+        off &= np.isfinite(square)
+    np.fill_diagonal(off, True)
+    i, j = np.nonzero(~off)
+    d = apart(x[i], x[j])
+    below = d < limit[i]
+    return i[below], j[below], d[below]
 
 
 def trees(sample):
@@ -75,6 +122,12 @@ def trees(sample):
     return [grow(sample) for _ in range(TREES)]
 
 
+def level(x, scale):
+    """Components by the sample's usual size, within what a projection can add up."""
+    with np.errstate(over="ignore"):
+        return np.clip(x / scale, -1e100, 1e100)
+
+
 def leaves(tree, x):
     """Leaf number of every row, as the bits of its path."""
     out = np.ones(len(x), np.int64)
@@ -92,15 +145,18 @@ def leaves(tree, x):
 
 def nearest_in(ids, x, count=LIST):
     """Edges from every row to its nearest others among the same rows."""
-    x = x.astype(np.float32)
-    square = (x * x).sum(1)
-    d = np.maximum(square[:, None] + square - 2 * x @ x.T, 0)
-    np.fill_diagonal(d, np.inf)
     k = min(count, len(ids) - 1)
     if k <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return (np.repeat(ids, k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel())
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    square, error = products(x)
+    known = np.isfinite(square)
+    np.fill_diagonal(known, False)
+    with np.errstate(over="ignore", invalid="ignore"):
+        upto = np.partition(np.where(known, square + error, np.inf), k - 1, axis=1)[:, k - 1]
+        near = ~known | (square - error <= upto[:, None])
+    np.fill_diagonal(near, False)
+    i, j = np.nonzero(near)
+    return best_edges(ids[i], ids[j], apart(x[i], x[j]), count)
 
 
 def best_edges(src, dst, d, count=LIST):
@@ -117,7 +173,7 @@ def best_edges(src, dst, d, count=LIST):
 
 def edge_table(src, dst, d):
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()),
-                     "d": pa.array(d, pa.float32())})
+                     "d": pa.array(d, pa.float64())})
 
 
 def lists(edges: DataFrame, n) -> DataFrame:
@@ -129,12 +185,14 @@ def lists(edges: DataFrame, n) -> DataFrame:
     return edges.withColumn("_b", bucket).groupBy("_b").applyInArrow(keep, EDGE)
 
 
-def start(nodes: DataFrame, n, total) -> DataFrame:
+def start(nodes: DataFrame, kind, n) -> DataFrame:
     """Edges between the vectors of every leaf part."""
     few = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect()
     sizes = [len(r.v) for r in few]
     width = max(set(sizes), key=sizes.count) if sizes else 0
-    grown = trees(np.array([r.v for r in few if len(r.v) == width]).reshape(-1, max(width, 1)))
+    sample = np.array([r.v for r in few if len(r.v) == width]).reshape(-1, max(width, 1))
+    scale = np.median(np.abs(sample).max(1)) if len(sample) else 1.0
+    grown = trees(level(sample, scale))
     grown = nodes.sparkSession.sparkContext.broadcast(grown)
 
     def dealt(batches):
@@ -142,12 +200,12 @@ def start(nodes: DataFrame, n, total) -> DataFrame:
             x = np.array(b["v"].to_pylist(), np.float64).reshape(b.num_rows, -1)
             for k, tree in enumerate(grown.value):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), k), pa.int32()), pa.array(leaves(tree, x), pa.int64()),
-                     b["node"], pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())],
-                    names=["tree", "leaf", "node", "half"])
+                    [pa.array(np.full(len(x), k), pa.int32()), pa.array(leaves(tree, level(x, scale)), pa.int64()),
+                     b["node"], pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())],
+                    names=["tree", "leaf", "node", "vec"])
 
     placed = nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(
-        dealt, "tree int, leaf long, node long, half binary")
+        dealt, "tree int, leaf long, node long, vec binary")
     sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("c"))
     parts = F.ceil(F.col("c") / (2 * LEAF))
     # A bucket holds whole leaf parts, as many as fit a bounded task.
@@ -158,98 +216,92 @@ def start(nodes: DataFrame, n, total) -> DataFrame:
     def joined(table):
         key = np.stack([table[c].to_numpy() for c in ("tree", "leaf", "part")])
         ids = table["node"].to_numpy()
-        x = np.frombuffer(b"".join(table["half"].to_pylist()), np.float16).reshape(len(ids), -1)
+        x = vectors_of(table["vec"], kind)
         order = np.lexsort(key)
         key = key[:, order]
         cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
         found = [nearest_in(ids[rows], x[rows]) for rows in np.split(order, cut)]
         return edge_table(*best_edges(*map(np.concatenate, zip(*found))))
 
-    return placed.select("tree", "leaf", "part", "node", "half", "_b").groupBy("_b").applyInArrow(
+    return placed.select("tree", "leaf", "part", "node", "vec", "_b").groupBy("_b").applyInArrow(
         joined, EDGE), width
 
 
-def descend(edges: DataFrame, halves: DataFrame, n) -> DataFrame:
+def descend(edges: DataFrame, packed: DataFrame, kind, n) -> DataFrame:
     """One round: candidates from pairs of a node's neighbours, merged into all lists."""
     radius = edges.groupBy("src").agg(F.max("d").alias("radius"), F.count("*").alias("c"))
     radius = radius.select(F.col("src").alias("member"), F.when(
-        F.col("c") < LIST, F.lit(float("inf")).cast("float")).otherwise(F.col("radius")).alias("radius"))
+        F.col("c") < LIST, F.lit(float("inf"))).otherwise(F.col("radius")).alias("radius"))
     back = edges.select(F.col("dst").alias("centre"), F.col("src").alias("member"))
     turn = F.row_number().over(Window.partitionBy("centre").orderBy(
         F.xxhash64("centre", "member"), "member"))
     back = back.withColumn("_r", turn).filter(F.col("_r") <= LIST).drop("_r")
     own = edges.select(F.col("src").alias("centre"), F.col("dst").alias("member"))
-    members = halves.withColumnRenamed("node", "member").join(radius, "member")
+    members = packed.withColumnRenamed("node", "member").join(radius, "member")
     met = own.unionByName(back).distinct().join(members, "member").withColumn(
         "_b", F.pmod(F.xxhash64("centre"), F.lit(4 * n)).cast("int"))
 
     def joined(table):
         centre, member = table["centre"].to_numpy(), table["member"].to_numpy()
         limit = table["radius"].to_numpy()
-        x = np.frombuffer(b"".join(table["half"].to_pylist()), np.float16).reshape(len(member), -1)
-        x = x.astype(np.float32)
-        square = (x * x).sum(1)
+        x = vectors_of(table["vec"], kind)
         order = np.argsort(centre, kind="stable")
         found = [[], [], []]
         for rows in np.split(order, C.group_starts(centre[order])[1:]):
-            y = x[rows]
-            d = np.maximum(square[rows][:, None] + square[rows] - 2 * y @ y.T, 0)
-            np.fill_diagonal(d, np.inf)
-            i, j = np.nonzero(d < limit[rows][:, None])
-            for out, v in zip(found, (member[rows[i]], member[rows[j]], d[i, j])):
+            i, j, d = closer(x[rows], limit[rows])
+            for out, v in zip(found, (member[rows[i]], member[rows[j]], d)):
                 out.append(v)
         return edge_table(*best_edges(*map(np.concatenate, found)))
 
-    made = met.select("centre", "member", "half", "radius", "_b").groupBy("_b").applyInArrow(
+    made = met.select("centre", "member", "vec", "radius", "_b").groupBy("_b").applyInArrow(
         joined, EDGE)
     return lists(edges.unionByName(made), n)
 
 
-def graph(nodes: DataFrame, n):
-    """(edges of the finished graph, half-float vectors) of the nodes."""
-    def to_half(batches):
+def graph(nodes: DataFrame, kind, n):
+    """(edges of the finished graph, packed vectors of the nodes, their length)."""
+    def pack(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b["node"], pa.array([r.tobytes() for r in as_half(b["v"])], pa.binary())],
-                names=["node", "half"])
-
-    total = nodes.count()
-    first, width = start(nodes, n, total)
-    halves = C.stored(nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(
-        to_half, "node long, half binary"))
+            x = [np.array(v, kind).tobytes() for v in b["v"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(x, pa.binary())],
+                                             names=["node", "vec"])
+
+    first, width = start(nodes, kind, n)
+    packed = C.stored(nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(
+        pack, "node long, vec binary"))
     edges = C.stored(lists(first, n))
     for _ in range(DESCENTS):
-        edges = C.stored(descend(edges, halves, n))
-    return edges, halves, width
+        edges = C.stored(descend(edges, packed, kind, n))
+    return edges, packed, width
 
 
-def measured(asked: DataFrame, halves: DataFrame, queries: DataFrame, n) -> DataFrame:
+def measured(asked: DataFrame, packed: DataFrame, queries: DataFrame, kind, n) -> DataFrame:
     """(q, node, d): each bucket's nearest BEAM of the nodes that a query asks for."""
     def near(table):
         q, node = table["q"].to_numpy(), table["node"].to_numpy()
-        halves_of = [np.frombuffer(b"".join(table[c].to_pylist()), np.float16).reshape(len(q), -1)
-                     for c in ("half", "of_q")]
-        d = ((halves_of[0].astype(np.float32) - halves_of[1]) ** 2).sum(1)
+        steps = range(0, len(q), PIECE)
+        d = np.concatenate([apart(vectors_of(table["vec"].slice(k, PIECE), kind),
+                                  vectors_of(table["of_q"].slice(k, PIECE), kind)) for k in steps])
         q, node, d = best_edges(q, node, d, BEAM)
-        return pa.table({"q": q, "node": node, "d": pa.array(d, pa.float32())})
+        return pa.table({"q": q, "node": node, "d": pa.array(d, pa.float64())})
 
-    both = asked.join(halves, "node").join(queries, "q").withColumn(
+    both = asked.join(packed, "node").join(queries, "q").withColumn(
         "_b", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
-    return both.select("q", "node", "half", "of_q", "_b").groupBy("_b").applyInArrow(
-        near, "q long, node long, d float")
+    return both.select("q", "node", "vec", "of_q", "_b").groupBy("_b").applyInArrow(
+        near, "q long, node long, d double")
 
 
-def search(edges: DataFrame, halves: DataFrame, starts: DataFrame, n) -> DataFrame:
-    """(q, node) of the BEAM nearest nodes found for each starting node, itself included."""
+def search(edges: DataFrame, packed: DataFrame, starts: DataFrame, kind, n) -> DataFrame:
+    """(q, node, d) of the BEAM nearest nodes found for each starting node, itself included."""
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     turn = F.row_number().over(Window.partitionBy("node").orderBy(
         F.xxhash64("node", "next"), "next"))
     back = back.withColumn("_r", turn).filter(F.col("_r") <= LIST).drop("_r")
     ways = C.stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
                       .unionByName(back).distinct())
-    queries = C.stored(starts.join(halves, "node").select(
-        F.col("node").alias("q"), F.col("half").alias("of_q")))
-    pool = queries.select("q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("d"),
+    queries = C.stored(starts.join(packed, "node").select(
+        F.col("node").alias("q"), F.col("vec").alias("of_q")))
+    pool = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"),
                           F.lit(False).alias("done"))
     known = pool.select("q", "node")
     nearest = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
@@ -258,10 +310,10 @@ def search(edges: DataFrame, halves: DataFrame, starts: DataFrame, n) -> DataFra
             "q", F.col("next").alias("node")).distinct()
         asked = C.stored(asked.join(known, ["q", "node"], "left_anti"))
         known = known.unionByName(asked)
-        found = measured(asked, halves, queries, n).withColumn("done", F.lit(False))
+        found = measured(asked, packed, queries, kind, n).withColumn("done", F.lit(False))
         pool = C.stored(pool.withColumn("done", F.lit(True)).unionByName(found).withColumn(
             "_r", nearest).filter(F.col("_r") <= BEAM).drop("_r"))
-    return pool.select("q", "node")
+    return pool.select("q", "node", "d")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query=None, top=TOP) -> DataFrame:
@@ -272,17 +324,16 @@ def nearest_neighbours(vectors: DataFrame, is_query=None, top=TOP) -> DataFrame:
     n = C.partitions(vectors.sparkSession)
     rows = usable(vectors)
     nodes = C.stored(nodes_of(rows))
-    edges, halves, width = graph(nodes, n)
+    kind = kind_of(vectors)
+    edges, packed, width = graph(nodes, kind, n)
     asking = rows.filter(is_query).filter(F.size("v") == width).join(
         nodes.select("node", F.col("v").alias("_v")), F.col("v") == F.col("_v")).select(
-        F.col("vec_id").alias("query_id"), "node", "v")
+        F.col("vec_id").alias("query_id"), "node")
     asking = C.stored(asking)
-    found = search(edges, halves, asking.select("node").distinct(), n)
-    exact = nodes.select("node", "ids", F.col("v").alias("w"))
-    pairs = asking.withColumnRenamed("node", "q").join(found, "q").join(exact, "node")
-    square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                         lambda s, x: s + x)
-    pairs = pairs.select("query_id", F.sqrt(square).alias("score"), F.explode("ids").alias("vec_id"))
+    found = search(edges, packed, asking.select("node").distinct(), kind, n)
+    pairs = asking.withColumnRenamed("node", "q").join(found, "q").join(
+        nodes.select("node", "ids"), "node")
+    pairs = pairs.select("query_id", F.col("d").alias("score"), F.explode("ids").alias("vec_id"))
     pairs = pairs.filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= top).select(
