@@ -293,6 +293,28 @@ def test_neighbours_among_near_copies_and_at_any_scale(spark, kind):
     assert min(hits) >= 8 and sum(hits) >= 9.5 * len(hits)
 
 
+def test_trees_follow_the_row_count(spark, monkeypatch):
+    """Leaves far above the sample are cut by their own vectors, not dealt at random."""
+    ship(spark)
+    monkeypatch.setattr(neighbours, "SAMPLE", 256)
+    monkeypatch.setattr(neighbours, "LEAF", 16)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(1000, 8)), 8, 0) + 0.001 * rng.normal(size=(8000, 8))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
+    edges, _ = neighbours.start(nodes, np.float64, 4)
+    pairs = edges.select("src", "dst").distinct().filter("src div 8 = dst div 8").count()
+    assert pairs >= 0.8 * 8000 * 7
+
+
+def test_reverse_neighbours_change_with_the_round(spark):
+    """A hub's other reverse links come up in other rounds, new and older ones alike."""
+    edges = spark.createDataFrame([(i, 0, float(i), i % 2 == 0) for i in range(1, 2001)],
+                                  neighbours.LISTED)
+    rounds = [{r.member for r in neighbours.drawn(edges, k).collect()} for k in range(6)]
+    assert all(20 <= len(r) <= 90 for r in rounds)
+    assert len(set.union(*rounds)) >= 4 * len(rounds[0])
+
+
 def test_substring_matches_brute_force(docs):
     want = brute.repeats(pairs(docs))
     for r in substring.substring_dedup(docs, "lang").collect():

@@ -1,15 +1,19 @@
 """Approximate nearest neighbours: NN-descent builds the graph, queries search it greedily.
 
 Equal vectors are one node; its SPARE smallest ids are kept, more than any answer can use. The graph
-starts from the leaves of TREES random-projection trees, whose cuts are fitted on at most SAMPLE
-vectors; a leaf that outgrows LEAF is dealt into parts. Then neighbours of neighbours are joined: a
-node's list and the nodes that list it meet in one place, every pair of them is a candidate for each
-other's list, and a list keeps its LIST nearest. Candidates travel only if they beat the last entry
-of the list they are for. A node hands at most LIST of the nodes that list it to one round, in hash
-order; the search is approximate by contract, and every vector is in the graph.
-
-Queries start from their own node's list. Each round expands the BEAM nearest nodes found so far that
-were not expanded, asks the buckets that own their neighbours for distances, and keeps the nearest.
+starts from the leaves of TREES random-projection trees. Their depth follows the table: the first cuts
+are fitted on at most SAMPLE vectors, leaves of more than SAMPLE are cut again by trees fitted on their
+own vectors, and each last leaf is cut by its task down to 2 * LEAF. Then neighbours of neighbours are
+joined: a node's list and the nodes that list it meet in one place, every pair with a new entry is a
+candidate for each other's list, and a list keeps its LIST nearest. Candidates travel only if they beat
+the last entry of the list they are for. Of the nodes that list a node, a round draws about LIST of the
+new and LIST of the older ones, by a hash of the round. Rounds end when at most SHARE of all entries
+are new. The search is approximate by contract, and every vector is in the graph.
+
+Queries start from their own node's list. Each hop expands the BEAM nearest nodes found so far that
+were not expanded, asks the buckets that own their neighbours for distances, and keeps the nearest;
+hops end when no beam has an unexpanded node. The nodes that list a node are dealt into groups of
+about LIST; query and hop pick the group, so that a hub's links are all walked by some query.
 Vectors travel as given (single floats, or doubles), and every distance that a list, a beam or an
 answer keeps is that of `apart`: the vectors' own difference, in double precision, at any scale.
 Products only rule out pairs that are further off by more than their rounding error.
@@ -19,6 +23,9 @@ nor vectors of another length than most of the sample. Repeated ids are rows of
 never its own neighbour by id. An empty table gives no rows; other columns are ignored.
 """
 
+import itertools
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,12 +38,15 @@ EVERY = 100
 LIST = 24
 SPARE = TOP + 1
 TREES, LEAF, SAMPLE = 4, 128, 20_000
-DESCENTS = 4
-BEAM, HOPS = 300, 4
+SHARE = 0.001
+BEAM = 300
 SEED = 7
 ROUNDING = 1e-9
 PIECE = 16_384
 EDGE = "src long, dst long, d double"
+LISTED = EDGE + ", fresh boolean"
+PLACED = "tree int, leaf long, node long, vec binary"
+DEEPER = 1 << 16
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -91,12 +101,13 @@ def products(x):
         return both - 2 * y @ y.T, ROUNDING * both + 1e-280
 
 
-def closer(x, limit):
-    """(i, j, distance) of the ordered pairs of rows with a distance below row i's limit."""
+def closer(x, limit, fresh):
+    """(i, j, distance) of the ordered pairs, one of them fresh, with a distance below row i's limit."""
     with np.errstate(over="ignore", under="ignore", invalid="ignore"):
         square, error = products(x)
         off = square - error >= (limit * limit * (1 + ROUNDING))[:, None]
         off &= np.isfinite(square)
+    off |= ~(fresh[:, None] | fresh)
     np.fill_diagonal(off, True)
     i, j = np.nonzero(~off)
     d = apart(x[i], x[j])
@@ -104,22 +115,45 @@ def closer(x, limit):
     return i[below], j[below], d[below]
 
 
+def cut(x, rng):
+    """(normal, cut, rows below it) of a random projection; None if three of them part nothing."""
+    for _ in range(3):
+        a, b = x[rng.choice(len(x), 2, replace=False)]
+        side = x @ (a - b)
+        at = np.median(side)
+        low = side <= at
+        if low.any() and not low.all():
+            return a - b, at, low
+    return None
+
+
+def tree_of(x, least, rng):
+    """Nested (normal, cut, left, right) nodes down to `least` rows; a leaf is None."""
+    found = cut(x, rng) if len(x) > least else None
+    if found is None:
+        return None
+    normal, at, low = found
+    return normal, at, tree_of(x[low], least, rng), tree_of(x[~low], least, rng)
+
+
 def trees(sample):
-    """Nested (normal, cut, left, right) nodes per tree; a leaf is None."""
+    """The first cuts of every tree."""
     rng = np.random.default_rng(SEED)
+    return [tree_of(sample, max(LEAF * len(sample) / SAMPLE, 16), rng) for _ in range(TREES)]
 
-    def grow(x):
-        if len(x) <= max(LEAF * len(sample) / SAMPLE, 16):
-            return None
-        a, b = x[rng.choice(len(x), 2, replace=False)]
-        side = x @ (a - b)
-        cut = np.median(side)
-        low = side <= cut
-        if low.all() or not low.any():
-            return None
-        return a - b, cut, grow(x[low]), grow(x[~low])
 
-    return [grow(sample) for _ in range(TREES)]
+def parts_of(x, most, rng):
+    """Row numbers of the parts of at most `most` rows; rows that no cut parts are halved at random."""
+    done, stack = [], [np.arange(len(x))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        found = cut(x[rows], rng)
+        low = found[2] if found else rng.permutation(len(rows)) * 2 < len(rows)
+        stack += [rows[low], rows[~low]]
+    return done
 
 
 def level(x, scale):
@@ -159,16 +193,21 @@ def nearest_in(ids, x, count=LIST):
     return best_edges(ids[i], ids[j], apart(x[i], x[j]), count)
 
 
+def best_rows(src, dst, d, fresh, count=LIST):
+    """Row numbers of the nearest `count` distinct entries of every source, known ones before fresh."""
+    order = np.lexsort((fresh, dst, d, src))
+    a, b = src[order], dst[order]
+    same = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
+    order = order[~same]
+    begin = C.group_starts(src[order])
+    sizes = np.diff(np.append(begin, len(order)))
+    return order[np.arange(len(order)) - np.repeat(begin, sizes) < count]
+
+
 def best_edges(src, dst, d, count=LIST):
     """The nearest `count` distinct entries of every source."""
-    order = np.lexsort((dst, d, src))
-    src, dst, d = src[order], dst[order], d[order]
-    same = np.concatenate(([False], (src[1:] == src[:-1]) & (dst[1:] == dst[:-1])))
-    src, dst, d = src[~same], dst[~same], d[~same]
-    start = C.group_starts(src)
-    sizes = np.diff(np.append(start, len(src)))
-    keep = np.arange(len(src)) - np.repeat(start, sizes) < count
-    return src[keep], dst[keep], d[keep]
+    rows = best_rows(src, dst, d, np.zeros(len(src), bool), count)
+    return src[rows], dst[rows], d[rows]
 
 
 def edge_table(src, dst, d):
@@ -179,15 +218,51 @@ def edge_table(src, dst, d):
 def lists(edges: DataFrame, n) -> DataFrame:
     """The nearest LIST entries of every source, by buckets of sources."""
     def keep(table):
-        return edge_table(*best_edges(*(table[c].to_numpy() for c in ("src", "dst", "d"))))
+        rows = best_rows(*(table[c].to_numpy() for c in ("src", "dst", "d", "fresh")))
+        return table.select(["src", "dst", "d", "fresh"]).take(pa.array(rows))
 
     bucket = F.pmod(F.xxhash64("src"), F.lit(n)).cast("int")
-    return edges.withColumn("_b", bucket).groupBy("_b").applyInArrow(keep, EDGE)
+    return edges.withColumn("_b", bucket).groupBy("_b").applyInArrow(keep, LISTED)
+
+
+def deepen(placed: DataFrame, sizes: DataFrame, kind, scale, most) -> DataFrame:
+    """Leaves of more than `most` vectors, cut by trees that are fitted on about `most` of each."""
+    large = sizes.filter(F.col("c") > most)
+    rows = placed.join(large, ["tree", "leaf"], "left").withColumn(
+        "salt", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("c") / most)))
+    chosen = rows.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.col("c")) < most)
+
+    def fitted(key, table):
+        table = table.sort_by("node")
+        rng = np.random.default_rng([SEED, *(k.as_py() for k in key)])
+        grown = tree_of(level(vectors_of(table["vec"], kind), scale), max(most // 256, 16), rng)
+        return C.table(("tree", "leaf", "grown"), (pa.int32(), pa.int64(), pa.binary()),
+                       [(*(k.as_py() for k in key), pickle.dumps(grown))])
+
+    grown = chosen.select("tree", "leaf", "node", "vec").groupBy("tree", "leaf").applyInArrow(
+        fitted, "tree int, leaf long, grown binary")
+    grown = grown.join(large, ["tree", "leaf"]).select(
+        "tree", "leaf", "grown", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                      F.ceil(F.col("c") / most) - 1)).alias("salt"))
+
+    def moved(table, fit):
+        tree = pickle.loads(fit["grown"][0].as_py()) if fit.num_rows else None
+        path = 1 + table["salt"].to_numpy() % (DEEPER - 1)
+        if tree is not None and table.num_rows:
+            path = leaves(tree, level(vectors_of(table["vec"], kind), scale))
+        leaf = pa.array(table["leaf"].to_numpy() * DEEPER + path, pa.int64())
+        return pa.table({"tree": table["tree"], "leaf": leaf, "node": table["node"], "vec": table["vec"]})
+
+    key = ["tree", "leaf", "salt"]
+    cut_again = rows.filter("c IS NOT NULL").select(*key, "node", "vec").groupBy(*key).cogroup(
+        grown.groupBy(*key)).applyInArrow(moved, PLACED)
+    return rows.filter("c IS NULL").select("tree", "leaf", "node", "vec").unionByName(cut_again)
 
 
 def start(nodes: DataFrame, kind, n) -> DataFrame:
     """Edges between the vectors of every leaf part."""
-    few = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect()
+    most, small = SAMPLE, 2 * LEAF
+    few = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("v").collect()
     sizes = [len(r.v) for r in few]
     width = max(set(sizes), key=sizes.count) if sizes else 0
     sample = np.array([r.v for r in few if len(r.v) == width]).reshape(-1, max(width, 1))
@@ -198,64 +273,85 @@ def start(nodes: DataFrame, kind, n) -> DataFrame:
     def dealt(batches):
         for b in batches:
             x = np.array(b["v"].to_pylist(), np.float64).reshape(b.num_rows, -1)
+            flat = level(x, scale)
             for k, tree in enumerate(grown.value):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), k), pa.int32()), pa.array(leaves(tree, level(x, scale)), pa.int64()),
+                    [pa.array(np.full(len(x), k), pa.int32()), pa.array(leaves(tree, flat), pa.int64()),
                      b["node"], pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())],
                     names=["tree", "leaf", "node", "vec"])
 
-    placed = nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(
-        dealt, "tree int, leaf long, node long, vec binary")
-    sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("c"))
-    parts = F.ceil(F.col("c") / (2 * LEAF))
-    # A bucket holds whole leaf parts, as many as fit a bounded task.
-    placed = placed.join(sizes, ["tree", "leaf"]).withColumn(
-        "part", F.pmod(F.xxhash64("node", "tree"), parts)).withColumn(
-        "_b", F.pmod(F.xxhash64("tree", "leaf", "part"), F.lit(TREES * n)).cast("int"))
+    placed = C.stored(nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(dealt, PLACED))
+    while True:
+        sizes = placed.groupBy("tree", "leaf").agg(F.count("*").alias("c"))
+        if (sizes.agg(F.max("c")).first()[0] or 0) <= most:
+            break
+        placed = C.stored(deepen(placed, C.stored(sizes), kind, scale, most))
+    # A bucket holds whole leaves, as many as fit a bounded task.
+    placed = placed.withColumn("_b", F.pmod(F.xxhash64("tree", "leaf"), F.lit(TREES * n)).cast("int"))
 
     def joined(table):
-        key = np.stack([table[c].to_numpy() for c in ("tree", "leaf", "part")])
+        table = table.sort_by([(c, "ascending") for c in ("tree", "leaf", "node")])
+        key = np.stack([table[c].to_numpy() for c in ("tree", "leaf")])
         ids = table["node"].to_numpy()
         x = vectors_of(table["vec"], kind)
-        order = np.lexsort(key)
-        key = key[:, order]
-        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        found = [nearest_in(ids[rows], x[rows]) for rows in np.split(order, cut)]
+        bounds = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        found = []
+        for rows in np.split(np.arange(len(ids)), bounds):
+            rng = np.random.default_rng([SEED, *key[:, rows[0]].tolist()])
+            for part in parts_of(level(x[rows], scale), small, rng):
+                found.append(nearest_in(ids[rows[part]], x[rows[part]]))
         return edge_table(*best_edges(*map(np.concatenate, zip(*found))))
 
-    return placed.select("tree", "leaf", "part", "node", "vec", "_b").groupBy("_b").applyInArrow(
-        joined, EDGE), width
+    return placed.groupBy("_b").applyInArrow(joined, EDGE), width
+
+
+def crowd(edges: DataFrame, *also) -> DataFrame:
+    """How many groups of about LIST the nodes that list a node make."""
+    return edges.groupBy(F.col("dst").alias("centre"), *also).agg(
+        F.ceil(F.count("*") / LIST).alias("groups"))
+
+
+def drawn(edges: DataFrame, turn) -> DataFrame:
+    """(centre, member, fresh): about LIST new and LIST older nodes that list a centre, by the round."""
+    back = edges.select(F.col("dst").alias("centre"), F.col("src").alias("member"), "fresh")
+    return back.join(crowd(edges, "fresh"), ["centre", "fresh"]).filter(
+        F.pmod(F.xxhash64("centre", "member", F.lit(turn)), F.col("groups")) == 0).select(
+        "centre", "member", "fresh")
 
 
-def descend(edges: DataFrame, packed: DataFrame, kind, n) -> DataFrame:
+def descend(edges: DataFrame, packed: DataFrame, kind, n, turn) -> DataFrame:
     """One round: candidates from pairs of a node's neighbours, merged into all lists."""
     radius = edges.groupBy("src").agg(F.max("d").alias("radius"), F.count("*").alias("c"))
     radius = radius.select(F.col("src").alias("member"), F.when(
         F.col("c") < LIST, F.lit(float("inf"))).otherwise(F.col("radius")).alias("radius"))
-    back = edges.select(F.col("dst").alias("centre"), F.col("src").alias("member"))
-    turn = F.row_number().over(Window.partitionBy("centre").orderBy(
-        F.xxhash64("centre", "member"), "member"))
-    back = back.withColumn("_r", turn).filter(F.col("_r") <= LIST).drop("_r")
-    own = edges.select(F.col("src").alias("centre"), F.col("dst").alias("member"))
+    own = edges.select(F.col("src").alias("centre"), F.col("dst").alias("member"), "fresh")
     members = packed.withColumnRenamed("node", "member").join(radius, "member")
-    met = own.unionByName(back).distinct().join(members, "member").withColumn(
+    some = F.max("fresh").over(Window.partitionBy("centre"))
+    met = own.unionByName(drawn(edges, turn)).repartition(n, "centre").groupBy("centre", "member").agg(
+        F.max("fresh").alias("fresh")).withColumn("_some", some).filter("_some").drop("_some")
+    met = met.join(members, "member").withColumn(
         "_b", F.pmod(F.xxhash64("centre"), F.lit(4 * n)).cast("int"))
 
     def joined(table):
-        centre, member = table["centre"].to_numpy(), table["member"].to_numpy()
-        limit = table["radius"].to_numpy()
+        centre, member, limit, fresh = (
+            table[c].to_numpy() for c in ("centre", "member", "radius", "fresh"))
         x = vectors_of(table["vec"], kind)
         order = np.argsort(centre, kind="stable")
         found = [[], [], []]
         for rows in np.split(order, C.group_starts(centre[order])[1:]):
-            i, j, d = closer(x[rows], limit[rows])
+            if not fresh[rows].any():
+                continue
+            i, j, d = closer(x[rows], limit[rows], fresh[rows])
             for out, v in zip(found, (member[rows[i]], member[rows[j]], d)):
                 out.append(v)
+        if not found[0]:
+            return edge_table([], [], [])
         return edge_table(*best_edges(*map(np.concatenate, found)))
 
-    made = met.select("centre", "member", "vec", "radius", "_b").groupBy("_b").applyInArrow(
+    made = met.select("centre", "member", "fresh", "vec", "radius", "_b").groupBy("_b").applyInArrow(
         joined, EDGE)
-    return lists(edges.unionByName(made), n)
+    return lists(edges.withColumn("fresh", F.lit(False)).unionByName(
+        made.withColumn("fresh", F.lit(True))), n)
 
 
 def graph(nodes: DataFrame, kind, n):
@@ -269,51 +365,70 @@ def graph(nodes: DataFrame, kind, n):
     first, width = start(nodes, kind, n)
     packed = C.stored(nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(
         pack, "node long, vec binary"))
-    edges = C.stored(lists(first, n))
-    for _ in range(DESCENTS):
-        edges = C.stored(descend(edges, packed, kind, n))
-    return edges, packed, width
+    edges = C.stored(lists(first.withColumn("fresh", F.lit(True)), n))
+    for turn in itertools.count():
+        new, entries = edges.agg(F.count_if("fresh"), F.count("*")).first()
+        if new <= SHARE * entries:
+            return edges, packed, width
+        edges = C.stored(descend(edges, packed, kind, n, turn))
 
 
 def measured(asked: DataFrame, packed: DataFrame, queries: DataFrame, kind, n) -> DataFrame:
-    """(q, node, d): each bucket's nearest BEAM of the nodes that a query asks for."""
-    def near(table):
-        q, node = table["q"].to_numpy(), table["node"].to_numpy()
-        steps = range(0, len(q), PIECE)
-        d = np.concatenate([apart(vectors_of(table["vec"].slice(k, PIECE), kind),
-                                  vectors_of(table["of_q"].slice(k, PIECE), kind)) for k in steps])
+    """(q, node, d): each bucket's nearest BEAM of the nodes that a query asks for.
+
+    A vector reaches a bucket once, a query's vector only the buckets it asks.
+    """
+    def near(pairs, held):
+        if not pairs.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "node": pa.array([], pa.int64()),
+                             "d": pa.array([], pa.float64())})
+        q, node = pairs["q"].to_numpy(), pairs["node"].to_numpy()
+        asks, ids = held["asks"].to_numpy(zero_copy_only=False), held["id"].to_numpy()
+        x = vectors_of(held["vec"], kind)
+        at = []
+        for rows, wanted in ((np.flatnonzero(asks), q), (np.flatnonzero(~asks), node)):
+            rows = rows[np.argsort(ids[rows])]
+            at.append(rows[np.searchsorted(ids[rows], wanted)])
+        d = np.concatenate([apart(x[at[1][k:k + PIECE]], x[at[0][k:k + PIECE]])
+                            for k in range(0, len(q), PIECE)])
         q, node, d = best_edges(q, node, d, BEAM)
         return pa.table({"q": q, "node": node, "d": pa.array(d, pa.float64())})
 
-    both = asked.join(packed, "node").join(queries, "q").withColumn(
-        "_b", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
-    return both.select("q", "node", "vec", "of_q", "_b").groupBy("_b").applyInArrow(
+    bucket = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    pairs = asked.withColumn("_b", bucket)
+    asking = pairs.select("q", "_b").distinct().join(queries, "q").select(
+        "_b", F.col("q").alias("id"), F.lit(True).alias("asks"), F.col("of_q").alias("vec"))
+    held = packed.select(bucket.alias("_b"), F.col("node").alias("id"), F.lit(False).alias("asks"), "vec")
+    return pairs.groupBy("_b").cogroup(held.unionByName(asking).groupBy("_b")).applyInArrow(
         near, "q long, node long, d double")
 
 
 def search(edges: DataFrame, packed: DataFrame, starts: DataFrame, kind, n) -> DataFrame:
     """(q, node, d) of the BEAM nearest nodes found for each starting node, itself included."""
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    turn = F.row_number().over(Window.partitionBy("node").orderBy(
-        F.xxhash64("node", "next"), "next"))
-    back = back.withColumn("_r", turn).filter(F.col("_r") <= LIST).drop("_r")
-    ways = C.stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-                      .unionByName(back).distinct())
+    groups = C.stored(crowd(edges).withColumnRenamed("centre", "node"))
+    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).join(groups, "node")
+    back = back.withColumn("part", F.pmod(F.xxhash64("node", "next"), F.col("groups"))).drop("groups")
+    ways = C.stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"),
+                                 F.lit(-1).cast("long").alias("part")).unionByName(back))
     queries = C.stored(starts.join(packed, "node").select(
         F.col("node").alias("q"), F.col("vec").alias("of_q")))
     pool = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"),
                           F.lit(False).alias("done"))
     known = pool.select("q", "node")
     nearest = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
-    for _ in range(HOPS):
-        asked = pool.filter(~F.col("done")).join(ways, "node").select(
+    for hop in itertools.count():
+        picked = F.pmod(F.xxhash64("q", "node", F.lit(hop)), F.coalesce("groups", F.lit(1).cast("long")))
+        parts = F.array(F.lit(-1).cast("long"), picked)
+        asked = pool.filter(~F.col("done")).join(groups, "node", "left").select(
+            "q", "node", F.explode(parts).alias("part")).join(ways, ["node", "part"]).select(
             "q", F.col("next").alias("node")).distinct()
         asked = C.stored(asked.join(known, ["q", "node"], "left_anti"))
+        if asked.isEmpty():
+            return pool.select("q", "node", "d")
         known = known.unionByName(asked)
         found = measured(asked, packed, queries, kind, n).withColumn("done", F.lit(False))
         pool = C.stored(pool.withColumn("done", F.lit(True)).unionByName(found).withColumn(
             "_r", nearest).filter(F.col("_r") <= BEAM).drop("_r"))
-    return pool.select("q", "node", "d")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query=None, top=TOP) -> DataFrame:
