@@ -196,6 +196,32 @@ def test_quality_cuts_by_language(spark):
     assert (other.cut == marked.surprise.max()).all()
 
 
+def test_quality_cut_of_a_language_with_few_good_rows(spark):
+    """Three fair rows of a language do not reject a quarter of its clean documents."""
+    ship(spark)
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60), "en", "s", 1) for i in range(400)]
+    rows += [(1000 + i, prose(rng, 60).replace("w", "v"), "es", "s", 1) for i in range(300)]
+    rows += [(2000 + i, " ".join(f"#{rng.random()}" for _ in range(60)), "es", "s", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    every = spark.createDataFrame([(i, 1, 0) for i in [*range(400), *range(1000, 1300)]],
+                                  "doc_id long, quality int, toxic int")
+    parts = [[r.doc_id for r in quality.trusted(docs, every.filter("doc_id >= 1000"), k).orderBy(
+        "doc_id").limit(3).collect()] for k in (0, 1)]
+    labels = every.filter(F.col("doc_id").isin(parts[0] + parts[1]) | (F.col("doc_id") < 400))
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert len(kept & set(range(1000, 1300))) >= 294
+    assert not kept & set(range(2000, 2005))
+
+
+def test_all_good_rows_that_were_not_fitted_on_are_fair(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 10)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    fitted = {r.doc_id for r in quality.fitted(labels, labels).collect()}
+    rest = [r.doc_id for r in quality.unfitted(labels, labels).collect()]
+    assert len(fitted) == 10 and sorted(rest) == sorted(set(range(200)) - fitted)
+
+
 def test_forward_backward_by_enumeration(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 4)
     rng = np.random.default_rng(1)
