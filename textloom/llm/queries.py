@@ -2,6 +2,7 @@
 
 from textloom.llm import (
     chat,
+    clustering,
     decontam,
     jaccard,
     katz,
@@ -11,6 +12,8 @@ from textloom.llm import (
     substring,
     tokencount,
     toxicity,
+    turns,
+    urlfilter,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -81,3 +84,18 @@ def jaccard_components(spark, sf_dir):
 def benchmark_decontamination(spark, sf_dir):
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"),
                                          table(spark, sf_dir, "benchmark")))
+
+
+@query("op11_url_filter", urlfilter.SQL)
+def url_filter(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages")).drop("terms")
+
+
+@query("op12_turn_repair", turns.SQL)
+def turn_repair(spark, sf_dir):
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_centroid_clustering", clustering.SQL)
+def centroid_clustering(spark, sf_dir):
+    return clustering.summary(*clustering.cluster(table(spark, sf_dir, "embeddings")))
