@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import snowball
+from textloom.operators.joins import hot_lookup, hottest_in
+
 # Consonant and vowel runs of the published algorithm; "y" is a vowel after a consonant.
 _MARK = "\x02"
 _V = "[aeiouy]"
@@ -125,5 +128,22 @@ def stems(words: DataFrame, word="term", out="stem") -> DataFrame:
     return words.select(word).distinct().withColumn(out, porter(F.lower(F.col(word))))
 
 
-def stem_tokens(tokens: DataFrame, term="term", out="stem") -> DataFrame:
-    return tokens.join(stems(tokens, term, out), term)
+def stem_tokens(tokens: DataFrame, term="term", out="stem", spread_by=("doc_id",)) -> DataFrame:
+    """Tokens with their stems; the words with most rows are met by broadcast."""
+    return hot_lookup(tokens, stems(tokens, term, out), term, [out], hottest_in(tokens, term), spread_by)
+
+
+def snowball_stems(words: DataFrame, term="term", lang="lang", out="stem") -> DataFrame:
+    """Distinct words of each language with their stems, by the language's own algorithm."""
+    words = words.select(lang, term).distinct()
+    return words.withColumn("_lower", F.lower(F.col(term))).withColumn(
+        out, snowball.stem("_lower", lang)).drop("_lower")
+
+
+def snowball_tokens(tokens: DataFrame, term="term", lang="lang", out="stem", spread_by=("doc_id",)):
+    """Tokens with the stems of their language. Every distinct word is stemmed once; the words with
+    most rows are met by broadcast, so none of them fills a task."""
+    word = F.concat_ws(" ", F.coalesce(lang, F.lit("")), term)
+    named = tokens.withColumn("_word", word)
+    found = snowball_stems(tokens, term, lang, out).select(word.alias("_word"), out)
+    return hot_lookup(named, found, "_word", [out], hottest_in(named, "_word"), spread_by).drop("_word")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import clean
 from textloom.functions import constants as K
+from textloom.functions import snowball
 from textloom.functions import tokens as T
 from textloom.operators import annotate as A
 
@@ -242,6 +243,33 @@ def t8(spark, sf):
     return stem.stems(vocab_of(spark, sf))
 
 
+_BY_LANG = f"""bl AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '{K.WORD_2PLUS}')) AS term
+  FROM documents), st AS (SELECT lang, term, {snowball.text('term', 'lang', snowball.Duck())} AS stem FROM bl)"""
+
+
+def _language_terms(spark, sf):
+    return T.unnest(docs(spark, sf), ["doc_id", "lang"], T.word_tokens(F.col("text")), "term")
+
+
+@query("t8_snowball", f"WITH {_BY_LANG} SELECT lang, term, stem FROM st")
+def t8_snowball(spark, sf):
+    return stem.snowball_stems(_language_terms(spark, sf))
+
+
+@query("t6_snowball_terms", f"""
+WITH {_BY_LANG}, tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM (
+  SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '{K.WORD_2PLUS}')) AS term FROM documents)
+  WHERE NOT list_contains({STOP_CASE}, term) GROUP BY ALL)
+SELECT doc_id, stem, sum(tf)::BIGINT AS tf FROM tf JOIN st USING (lang, term)
+WHERE length(stem) >= 3 GROUP BY ALL""")
+def t6_snowball(spark, sf):
+    """Lower-case words without the language's stop words, stemmed, stems of three letters or more."""
+    t = _language_terms(spark, sf).groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf"))
+    t = t.filter(~clean.is_stopword(F.col("term"), F.col("lang")))
+    s = stem.snowball_tokens(t).filter(F.length("stem") >= 3)
+    return s.groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
+
+
 CHOSEN = LEXICON + WV[len(VOCAB):] + """, scored AS (
   SELECT form, lemma, analysis, coalesce(round(list_dot_product(a.vec, b.vec)
     / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec)), 6), 0.0) + 0.0 AS score
