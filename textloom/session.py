@@ -1,6 +1,7 @@
 """Session settings and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,6 +47,18 @@ def checkpoint(df):
     return df.checkpoint()
 
 
+def stage(df):
+    """The rows as a table written to the shared folder: a fitted model, or rows that several steps read.
+
+    A written table has a known size, so Spark can choose the join by it, which a checkpoint does not
+    allow; and it survives lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df, *keys):
     """Split an input of few files over the cluster by row key.
 
