@@ -37,6 +37,53 @@ def test_annotated_tokens(spark, tmp_path):
         (1, "Koirat", "koira", "NOUN"), (1, "juoksee", "juosta", "VERB"), (2, "Se", "se", "PRON")]
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of a few bytes, by many tasks."""
+    names = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_sentences_across_ranges_of_a_file(spark, tmp_path, small_ranges):
+    lines, want = [], []
+    for name, n in (("text1.txt", 90), ("text2.txt", 40), ("text3.txt", 0)):
+        sentence, pos, lines = 1, 0, []
+        for i in range(n):
+            if i % 7 == 3 or i in (10, 11, 12):
+                lines.append("" if i % 2 else "end")
+                sentence += 1
+            else:
+                lines.append(f"{i}\tW{i}\tw{i}\tX")
+                want.append((name, pos, sentence, f"W{i}", f"w{i}", "X"))
+                pos += 1
+        (tmp_path / name).write_text("\n".join(lines))
+    read = readers.read_annotated(spark, str(tmp_path))
+    assert readers.read_lines(spark, str(tmp_path)).select("block").distinct().count() > 5
+    got = sorted((r.path.rsplit("/", 1)[1], *r[1:]) for r in read.collect())
+    assert got == sorted(want)
+
+
+def test_targets_across_lines_and_ranges(spark, tmp_path, small_ranges):
+    (tmp_path / "y").write_text("\n".join(" ".join(str(i * 10 + k) for k in range(i % 4)) for i in range(60)))
+    got = [(r.position, r.target) for r in readers.read_targets(spark, str(tmp_path / "y")).orderBy("position").collect()]
+    want = [float(i * 10 + k) for i in range(60) for k in range(i % 4)]
+    assert got == list(enumerate(want, 1))
+
+
+def test_groups_are_named_after_their_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"g{i % 3}", str(i), f"t {i}", i) for i in range(20)],
+                               "grp string, id string, text string, label int").repartition(4)
+    path = str(tmp_path / "out")
+    writers.write_groups(df, "grp", path)
+    rows = readers.read_groups(spark, f"{path}/*.tsv").select("grp", "id", "text", "label").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, df.collect()))
+
+
 def test_group_files_and_vectors(spark, tmp_path):
     (tmp_path / "g").mkdir()
     (tmp_path / "g" / "Songs.tsv").write_text('1\t"quoted" text\t2\n2\tb\t0\n')

@@ -72,16 +72,74 @@ t AS (SELECT doc_id, sentence_id, unnest(list_filter(string_split(l[sentence_id]
   lambda x: x <> '')) AS raw FROM s)
 SELECT doc_id, sentence_id, lower(raw) AS lemma, count(*) AS n FROM t GROUP BY ALL""")
 def s6(spark, sf):
+    tsv = annotated_lines(F.col("text"))
+    d = docs(spark, sf).select("doc_id", tsv.alias("file"))
+    t = T.unnest(d, ["doc_id"], readers.parse_annotated(F.col("file")), "t")
+    return t.groupBy("doc_id", "t.sentence_id", "t.lemma").agg(F.count("*").alias("n"))
+
+
+# The same sources as files: written to the shared folder and read back by the readers. Where a file
+# is a document, the benchmark's items are the documents, so that there are few files.
+@query("s1_read_class_folders", r"""
+SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS label, array_to_string(list_filter(
+  list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+\z', '')), lambda x: x <> ''), ' ')
+  AS text FROM benchmark""")
+def s1_read(spark, sf):
+    path = scratch(spark, "folders")
+    kind = F.when(F.pmod("item_id", F.lit(2)) == 0, "a").otherwise("b")
+    b = table(spark, sf, "benchmark").select(
+        kind.alias("kind"), F.concat(F.lit("Title\n"), "text").alias("value"))
+    b.write.option("maxRecordsPerFile", 1).partitionBy("kind").text(path)
+    read = readers.read_class_folders(spark, path, {"kind=a": "even", "kind=b": "odd"})
+    return read.select("label", "text")
+
+
+@query("s5_read_targets", """
+SELECT item_id, text, item_id * 1.5::DOUBLE AS target FROM benchmark""")
+def s5_read(spark, sf):
+    texts, target = scratch(spark, "texts"), scratch(spark, "targets")
+    b = table(spark, sf, "benchmark").withColumn("name", F.lpad(F.col("item_id").cast("string"), 12, "0"))
+    b.select("name", F.col("text").alias("value")).write.partitionBy("name").text(texts)
+    y = b.repartitionByRange(4, "name").sortWithinPartitions("name")
+    y.select((F.col("item_id") * 1.5).cast("string").alias("value")).write.text(target)
+    read = readers.read_with_targets(spark, f"{texts}/*", target)
+    item = F.regexp_extract("path", "name=([0-9]+)/", 1).cast("long")
+    return read.select(item.alias("item_id"), F.regexp_replace("text", r"\n\z", "").alias("text"), "target")
+
+
+def annotated_lines(text):
+    """A document in the annotated form: a token a line, a blank line after every sentence (line)."""
     def sentence(line):
         toks = F.filter(F.split(line, " "), lambda t: t != "")
         return F.array_join(F.transform(toks, lambda t, i: F.concat_ws(
             "\t", (i + 1).cast("string"), t, F.lower(t), F.lit("X"))), "\n")
 
-    tsv = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(
         x.rlike("[^ ]"), F.concat(sentence(x), F.lit("\n"))).otherwise("")), "\n")
-    d = docs(spark, sf).select("doc_id", tsv.alias("file"))
-    t = T.unnest(d, ["doc_id"], readers.parse_annotated(F.col("file")), "t")
-    return t.groupBy("doc_id", "t.sentence_id", "t.lemma").agg(F.count("*").alias("n"))
+
+
+@query("s6_read_annotated", r"""
+WITH s AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM (
+  SELECT doc_id, string_split(regexp_replace(text, '[\t\r]', ' ', 'g'), chr(10)) AS l FROM documents)),
+t AS (SELECT doc_id, i, unnest(list_filter(string_split(l[i], ' '), lambda x: x <> '')) AS raw FROM s)
+SELECT lower(raw) AS lemma, count(*) AS n_tokens, count(DISTINCT (doc_id, i)) AS n_sentences FROM t GROUP BY ALL""")
+def s6_read(spark, sf):
+    path = scratch(spark, "annotated")
+    text = F.regexp_replace("text", r"[\t\r]", " ")
+    docs(spark, sf).select(annotated_lines(text).alias("value")).write.text(path)
+    t = readers.read_annotated(spark, path)
+    inside = t.groupBy("lemma", "path", "sentence_id").agg(F.count("*").alias("n"))
+    return inside.groupBy("lemma").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_sentences"))
+
+
+@query("s8_read_groups", r"""
+SELECT source AS grp, doc_id::VARCHAR AS id, regexp_replace(text, '[\t\r\n]+', ' ', 'g') AS text, quality AS label
+FROM documents JOIN labels USING (doc_id)""")
+def s8_read(spark, sf):
+    path = scratch(spark, "groups")
+    d = _flat(docs(spark, sf).join(table(spark, sf, "labels"), "doc_id"))
+    writers.write_groups(d.select("source", "doc_id", "text", "quality"), "source", path)
+    return readers.read_groups(spark, f"{path}/*.tsv").select("grp", "id", "text", "label")
 
 
 _FLAT = r"regexp_replace(text, '[\t\r\n]+', ' ', 'g')"

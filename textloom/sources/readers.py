@@ -48,18 +48,45 @@ def zip_by_position(left: DataFrame, right: DataFrame, left_order, right_order)
     return a.join(b, "position")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, at, value): every line of text files with its place in its file.
+
+    Spark deals a file in byte ranges; `block` is where a line's range begins and `at` grows inside it.
+    So lines keep their order although no file is one row or one task, on any storage Spark reads.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+
+
+def running_counts(lines: DataFrame, values: dict, by=("path",)) -> DataFrame:
+    """Running sums over the lines of each file (or, with no `by`, of all files in the order of paths)."""
+    part = F.col("block") if by else F.struct("path", "block")
+    return order.running_totals(lines, list(by), [F.col("at")], values, part=part)
+
+
 def split_targets(text: Column) -> Column:
-    """Numbers of a whitespace-separated target file."""
+    """Numbers of a whitespace-separated line of a target file."""
     return F.transform(clean.words(text), lambda t: t.cast("double"))
 
 
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """(position, target): the numbers of a target file (or of its parts in the order of their paths)."""
+    lines = read_lines(spark, path).withColumn("_y", split_targets(F.col("value")))
+    ends = running_counts(lines, {"_upto": F.size("_y").cast("long")}, by=())
+    each = ends.select("_upto", F.size("_y").alias("_n"), F.posexplode("_y").alias("_i", "target"))
+    return each.select((F.col("_upto") - F.col("_n") + F.col("_i") + 1).alias("position"), "target")
+
+
 def read_with_targets(spark: SparkSession, texts: str, target: str) -> DataFrame:
-    """Text files with the numbers of one target file, matched by sorted path."""
+    """Text files with the numbers of one target file, matched by sorted path; the counts must agree."""
     docs = spark.read.text(texts, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    y = spark.read.text(target, wholetext=True).select(
-        F.posexplode(split_targets(F.col("value"))).alias("target_pos", "target"))
-    return zip_by_position(docs, y, ["path"], ["target_pos"]).drop("position", "target_pos")
+    docs, y = number_rows(docs, ["path"]), read_targets(spark, target)
+    n, m = docs.count(), y.count()
+    if n != m:
+        raise ValueError(f"{n} rows cannot be matched with {m} rows by position")
+    return docs.join(y, "position").drop("position")
 
 
 def parse_annotated(text: Column) -> Column:
@@ -81,9 +108,15 @@ def parse_annotated(text: Column) -> Column:
 
 
 def read_annotated(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    raw = unnest(raw, ["path"], parse_annotated(F.col("value")), "t", "pos")
-    return raw.select("path", "pos", "t.*")
+    """(path, pos, sentence_id, raw, lemma, upos) of annotated files, read line by line: a line with tabs is
+    a token, any other line ends a sentence."""
+    lines = read_lines(spark, path)
+    token = F.contains("value", F.lit("\t"))
+    counted = running_counts(lines, {"_tokens": token.cast("long"), "_breaks": (~token).cast("long")})
+    f = F.split("value", "\t")
+    return counted.filter(token).select(
+        "path", (F.col("_tokens") - 1).alias("pos"), (F.col("_breaks") + 1).alias("sentence_id"),
+        F.get(f, F.lit(1)).alias("raw"), F.get(f, F.lit(2)).alias("lemma"), F.get(f, F.lit(3)).alias("upos"))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header=True, sep="\t") -> DataFrame:
@@ -92,9 +125,9 @@ def read_tsv(spark: SparkSession, path: str, schema: str, header=True, sep="\t")
 
 
 def read_groups(spark: SparkSession, path: str, schema="id string, text string, label int"):
-    """Headerless (id, text, label) files; the group is the file's stem."""
+    """Headerless (id, text, label) files; the group is the file's stem, without a part's number."""
     rows = read_tsv(spark, path, schema, header=False)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?\z", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.\d+)?(\.[^./]*)?\z", 1)
     return rows.withColumn("grp", stem)
 
 

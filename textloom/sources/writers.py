@@ -20,6 +20,27 @@ def export_lines(df: DataFrame, text: str, path: str):
         "overwrite").text(path)
 
 
+def write_groups(df: DataFrame, group: str, path: str):
+    """Headerless tab-separated files named after their group: `<group>.<part>.tsv`.
+
+    Tasks write their share of every group, so a large group has several parts; only names pass through
+    the driver. Group names should hold no characters that file names escape.
+    """
+    spark = df.sparkSession
+    df.write.partitionBy(group).csv(path, sep="\t", quote="", escapeQuotes=False)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(root):
+        name = folder.getPath().getName()
+        if folder.isDirectory() and name.startswith(f"{group}="):
+            parts = sorted(f.getPath().getName() for f in files.listStatus(folder.getPath()))
+            for k, part in enumerate(parts):
+                target = hadoop.Path(root, f"{name.split('=', 1)[1]}.{k}.tsv")
+                if not files.rename(hadoop.Path(folder.getPath(), part), target):
+                    raise OSError(f"cannot name {target}")
+
+
 def _finished(spark: SparkSession, path: str) -> bool:
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
