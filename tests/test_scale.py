@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import bayes, blocks, embed, evaluate, joins, order, pairs, split
+from textloom.operators import bayes, blocks, embed, evaluate, index, joins, order, pairs, split
 from textloom.operators import weights as V
 
 
@@ -129,6 +129,10 @@ def test_keep_top(spark):
     assert joins.keep_top(t, "n", "term", 1000).count() == 100
 
 
+def closeness(metric, x):
+    return blocks.cosines(x, x) if metric == "cosine" else -np.round(np.sqrt(blocks.squared_distances(x, x)), 6)
+
+
 def test_nearest_in_many_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 4))
@@ -136,8 +140,8 @@ def test_nearest_in_many_blocks(spark):
                                  "base_id long, vec array<double>")
     q = base.select(F.col("base_id").alias("query_id"), "vec", F.array("base_id").alias("banned"))
     for metric in ("cosine", "euclidean"):
-        got = blocks.nearest(q, base, 3, metric, block_rows=7).collect()
-        s = blocks.closeness(metric)(x, x)
+        got = index.VectorIndex(base, metric, part_rows=7).nearest(q, 3).collect()
+        s = closeness(metric, x)
         for i in range(60):
             ids = [j for j in np.lexsort((np.arange(60), -s[i])) if j != i][:3]
             assert [r.base_id for r in sorted((r for r in got if r.query_id == i),

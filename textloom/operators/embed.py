@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
-from textloom.operators import order
+from textloom.operators import index, order
 from textloom.operators.joins import hot_lookup, hottest, hottest_in
 
 
@@ -144,3 +144,27 @@ def relaxed_transport(pairs: DataFrame, a: str, b: str) -> DataFrame:
             yield out
 
     return pairs.mapInPandas(run, f"{kinds}, distance double")
+
+
+def nearest_words(vectors: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """(query_id, word, score, rank): the k words of highest cosine to each asked word, without itself.
+
+    `vectors` is (word, vec), `words` is (word); words without a vector have no row."""
+    asked = vectors.join(words.select("word").distinct(), "word", "left_semi").select(
+        F.col("word").alias("query_id"), "vec", F.array("word").alias("banned"))
+    found = index.nearest(asked, vectors.select(F.col("word").alias("base_id"), "vec"), k)
+    return found.withColumnRenamed("base_id", "word")
+
+
+def word_analogies(vectors: DataFrame, triples: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, word, score, rank): the k words nearest to a - b + c, without a, b and c themselves.
+
+    `triples` is (key, a, b, c); triples with an unknown word have no row."""
+    rows = triples.select(key, "a", "b", "c")
+    for c in "abc":
+        named = vectors.select(F.col("word").alias(c), F.transform("vec", lambda x: x.cast("double")).alias(f"v{c}"))
+        rows = rows.join(named, c)
+    vec = F.zip_with(F.zip_with("va", "vb", lambda x, y: x - y), "vc", lambda x, y: x + y)
+    asked = rows.select(F.col(key).alias("query_id"), vec.alias("vec"), F.array("a", "b", "c").alias("banned"))
+    found = index.nearest(asked, vectors.select(F.col("word").alias("base_id"), "vec"), k)
+    return found.withColumnsRenamed({"base_id": "word", "query_id": key})

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import constants as K
 from textloom.functions import tokens as T
-from textloom.operators import blocks, embed, order
+from textloom.operators import blocks, embed, index, order
 from textloom.operators import weights as V
 from textloom.operators.joins import hot_lookup, hottest
 from textloom.plans.features import IDF, PAIRS, adjacent_pairs, n_docs
@@ -170,7 +170,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ba
 def e9(spark, sf):
     q = first_vectors(spark, sf, 1).select(
         F.col("vec_id").alias("query_id"), "vec", F.array("vec_id").alias("banned"))
-    return blocks.nearest(q, base_vectors(spark, sf), 10)
+    return index.nearest(q, base_vectors(spark, sf), 10)
 
 
 @query("e10_analogies", f"""
@@ -191,7 +191,7 @@ def e10(spark, sf):
         F.col("t")[0]["vec_id"].alias("query_id"),
         F.zip_with(a_minus_b, vec(2), lambda x, y: x + y.cast("double")).alias("vec"),
         F.col("t.vec_id").alias("banned"))
-    return blocks.nearest(q, base_vectors(spark, sf), 10)
+    return index.nearest(q, base_vectors(spark, sf), 10)
 
 
 # Word pairs: neighbours in the vocabulary's order; the gold value is their shared length.
@@ -230,6 +230,46 @@ def e11(spark, sf):
     return s.select(F.round("spearman", 6).alias("spearman"), "n", share.alias("unknown"))
 
 
+# By word: every known word of the benchmark asks; its items' first three known words form analogies.
+_WORD_NEAR = f"""s AS (SELECT query_id, query, w.word, {_COS.format(q='q.v', b='w.vec')} AS score
+  FROM q, wv w WHERE NOT list_contains(banned, w.word)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, word)::INTEGER AS rank FROM s)
+SELECT query, word, score, rank FROM r WHERE rank <= 10"""
+
+
+@query("e9_nearest_words", f"""
+WITH {WV}, {BENCH}, q AS (SELECT word AS query_id, word AS query, vec AS v, [word] AS banned
+  FROM wv SEMI JOIN bterm ON word = term), {_WORD_NEAR}""")
+def e9_words(spark, sf):
+    wv = word_vectors(spark, sf)
+    asked = embed.restrict(wv, bench_words(spark, sf)).select("word")
+    return embed.nearest_words(wv, asked, 10).withColumnRenamed("query_id", "query")
+
+
+@query("e10_word_analogies", f"""
+WITH {WV}, p AS (SELECT item_id, t[i] AS term, i FROM (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS i
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '{K.WORD_2PLUS}') AS t FROM benchmark))),
+f AS (SELECT item_id, word, vec, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS k
+  FROM p JOIN wv ON word = term GROUP BY item_id, word, vec),
+q AS (SELECT a.item_id AS query_id, a.word || ' - ' || b.word || ' + ' || c.word AS query,
+    [a.word, b.word, c.word] AS banned,
+    list_transform(list_zip(a.vec, b.vec, c.vec), lambda z: z[1] - z[2] + z[3]) AS v
+  FROM f a JOIN f b USING (item_id) JOIN f c USING (item_id) WHERE a.k = 1 AND b.k = 2 AND c.k = 3),
+{_WORD_NEAR.replace('SELECT query, word', 'SELECT query_id AS item_id, query, word')}""")
+def e10_words(spark, sf):
+    wv = word_vectors(spark, sf)
+    b = table(spark, sf, "benchmark")
+    seen = T.unnest(b, ["item_id"], T.word_tokens(F.col("text")), "word", "pos").groupBy(
+        "item_id", "word").agg(F.min("pos").alias("pos"))
+    known = seen.join(wv.select("word"), "word", "left_semi")
+    at = F.row_number().over(Window.partitionBy("item_id").orderBy("pos"))
+    three = known.withColumn("k", at).filter("k <= 3").groupBy("item_id").agg(*[
+        F.max(F.when(F.col("k") == k, F.col("word"))).alias(c) for k, c in enumerate("abc", 1)])
+    found = embed.word_analogies(wv, three.filter("c IS NOT NULL"), "item_id", 10)
+    asked = F.concat("a", F.lit(" - "), "b", F.lit(" + "), "c").alias("query")
+    return found.join(three.select("item_id", asked), "item_id")
+
+
 _COARSE = "list_transform(embedding, lambda x: round(x::DOUBLE, 1))"
 
 
@@ -324,7 +364,7 @@ def neighbour_vote(spark, sf, k, metric):
     train, test = split_vectors(spark, sf)
     q = test.select(F.col("vec_id").alias("query_id"), "vec",
                     F.array().cast("array<bigint>").alias("banned"))
-    near = blocks.nearest(q, train.select(F.col("vec_id").alias("base_id"), "vec"), k, metric)
+    near = index.nearest(q, train.select(F.col("vec_id").alias("base_id"), "vec"), k, metric)
     votes = near.join(train.select(F.col("vec_id").alias("base_id"), F.col("label").alias("cls")),
                       "base_id").groupBy("query_id", "cls").agg(F.count("*").alias("n"))
     pred = votes.groupBy("query_id").agg(
