@@ -10,18 +10,17 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF, PCA, CountVectorizer, HashingTF, Normalizer, PolynomialExpansion, StringIndexer,
-    UnivariateFeatureSelector, VectorAssembler, Word2Vec)
+    VectorAssembler, Word2Vec)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.mllib.classification import LogisticRegressionWithSGD, SVMWithSGD
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.regression import LabeledPoint
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import tokens as T
-from textloom.operators import embed, split
+from textloom.operators import split
 from textloom.session import checkpoint
 
 
@@ -118,24 +117,6 @@ def learning_curve(df: DataFrame, stages_for: dict, sizes, repeats, key="doc_id"
     return each.groupBy("model", "train_size").agg(F.avg("accuracy").alias("accuracy"))
 
 
-def truncated_svd(vectors: DataFrame, k: int, key="doc_id", features="features") -> DataFrame:
-    """Project rows on the top k right singular vectors, without centring.
-
-    The singular vectors (features * k numbers) are a small table; the projection is a join on the
-    feature index and one partial sum per component.
-    """
-    spark = vectors.sparkSession
-    vectors = checkpoint(vectors.select(key, features))  # the solver reads the rows many times
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select(features), features)
-    v = RowMatrix(rows).computeSVD(k).V.toArray()
-    basis = spark.createDataFrame(
-        [(i, [float(x) for x in v[i]]) for i in range(v.shape[0])], "i int, axis array<double>")
-    cells = vectors.select(key, F.posexplode(vector_to_array(features)).alias("i", "x"))
-    cells = cells.filter(F.col("x") != 0).join(basis, "i")
-    return embed.weighted_sum(cells, key, "axis", F.col("x"), v.shape[1]).withColumnRenamed(
-        "_sum", "components")
-
-
 def pca(df: DataFrame, vec: str, k: int) -> DataFrame:
     as_vector = df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(as_vector)
@@ -143,14 +124,6 @@ def pca(df: DataFrame, vec: str, k: int) -> DataFrame:
         "_v", "_p")
 
 
-def select_fpr(df: DataFrame, features="features", label="y", threshold=0.05):
-    """Keep the features whose F-test against the classes is significant."""
-    selector = UnivariateFeatureSelector(
-        featuresCol=features, labelCol=label, outputCol="selected", selectionMode="fpr")
-    selector.setFeatureType("continuous").setLabelType("categorical")
-    return selector.setSelectionThreshold(threshold).fit(df)
-
-
 def polynomial(df: DataFrame, features: str, degree=2, out="expanded") -> DataFrame:
     return PolynomialExpansion(degree=degree, inputCol=features, outputCol=out).transform(df)
 

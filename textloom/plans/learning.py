@@ -8,11 +8,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textloom.operators import embed, evaluate, learn, split
+from textloom.operators import embed, evaluate, ftest, learn, split
 from textloom.operators import weights as V
+from textloom.operators.svd import TruncatedSVD
 from textloom.plans.features import n_docs
 from textloom.plans.ranking import top_and_bottom
-from textloom.plans.registry import query, table
+from textloom.plans.registry import TF, query, table
 from textloom.plans.tokenizing import DIM, docs, term_counts, word_vectors
 from textloom.session import checkpoint
 
@@ -179,15 +180,20 @@ def r7(spark, sf):
     return learn.learning_curve(d, models, [20, 40, 60], 3)
 
 
-def _weighted(spark, sf, size=SIZE):
-    d = labelled_docs(spark, sf)
-    return Pipeline(stages=learn.text_stages(size)).fit(d).transform(d)
+def tfidf_cells(spark, sf, rows=None):
+    """TF-IDF weights of the whole vocabulary, of all documents or those in `rows`."""
+    tf = term_counts(spark, sf)
+    n = n_docs(spark, sf)
+    if rows is not None:
+        tf, n = tf.join(rows.select("doc_id"), "doc_id", "left_semi"), F.lit(rows.count())
+    return V.weigh(tf, V.idf_table(tf, n), sublinear=False)
 
 
 @query("v20_truncated_svd")
 def v20(spark, sf):
-    s = learn.truncated_svd(_weighted(spark, sf, 1024), 20)
-    return s.select("doc_id", F.posexplode("components").alias("component", "value"))
+    """100 components of every document's TF-IDF weights over the whole vocabulary."""
+    cells = tfidf_cells(spark, sf)
+    return TruncatedSVD(cells, 100).transform(cells)
 
 
 @query("v21_pca")
@@ -196,12 +202,31 @@ def v21(spark, sf):
     return p.select("vec_id", F.posexplode("components").alias("component", "value"))
 
 
+def labelled_quality(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y"))
+
+
+@query("v23_f_values", f"""
+WITH {TF}, lab AS (SELECT doc_id, quality AS y FROM labels WHERE quality IS NOT NULL),
+size AS (SELECT y, count(*)::DOUBLE AS m FROM lab GROUP BY y),
+p AS (SELECT term, y, sum(tf)::DOUBLE AS s, sum(tf * tf)::DOUBLE AS q FROM tf JOIN lab USING (doc_id) GROUP BY ALL),
+t AS (SELECT term, sum(q) AS q, sum(s) AS s, sum(s * s / m) AS b FROM p JOIN size USING (y) GROUP BY term),
+n AS (SELECT sum(m) AS n, count(*) AS k FROM size),
+f AS (SELECT term, q, greatest(b - s * s / n, 0) AS b, greatest(q - b, 0) AS w, n, k FROM t, n)
+SELECT term, CASE WHEN w <= q * 1e-12 THEN CASE WHEN b > q * 1e-12 THEN 'Infinity'::DOUBLE END
+  ELSE round(b / (k - 1) / (w / (n - k)), 5) END AS f_value FROM f""")
+def v23_f(spark, sf):
+    lab = labelled_quality(spark, sf)
+    tf = term_counts(spark, sf).join(lab.select("doc_id"), "doc_id", "left_semi")
+    found, _ = ftest.f_values(tf, lab, "y", "tf")
+    return found.select("term", F.round("f_value", 5).alias("f_value"))
+
+
 @query("v23_select_fpr")
 def v23(spark, sf):
-    w = checkpoint(_weighted(spark, sf, 1024).select("doc_id", "y", "features"))
-    kept = learn.select_fpr(w).transform(w)
-    return kept.select("doc_id", F.posexplode(vector_to_array("selected")).alias(
-        "selected", "value")).filter("value <> 0")
+    """TF-IDF weights of the labelled documents, of terms whose F-test is below 0.05."""
+    lab = labelled_quality(spark, sf)
+    return ftest.select_terms(tfidf_cells(spark, sf, lab), lab, "y")
 
 
 @query("v24_polynomial")
