@@ -217,12 +217,19 @@ def t5(spark, sf):
         "doc_id", kept(F.lower("text"), True).alias("lowered"), kept(F.col("text")).alias("cased"))
 
 
+def _terms_by_document(spark, sf, words):
+    """(doc_id, lang, term, tf). Texts are dealt by document once; counting the words and later their
+    stems then needs no other shuffle."""
+    d = docs(spark, sf).select("doc_id", "lang", "text").repartition("doc_id")
+    return T.unnest(d, ["doc_id", "lang"], words, "term").groupBy("doc_id", "lang", "term").agg(
+        F.count("*").alias("tf"))
+
+
 @query("t6_stemmed_terms")
 def t6(spark, sf):
-    t = T.unnest(docs(spark, sf), ["doc_id"], clean.words(F.lower("text")), "term")
-    t = t.filter(~clean.is_stopword(F.col("term"))).groupBy("doc_id", "term").agg(
-        F.count("*").alias("tf"))
-    s = stem.stem_tokens(t).filter(F.col("stem").rlike("^[a-zA-Z]+") & (F.length("stem") >= 3))
+    t = _terms_by_document(spark, sf, clean.words(F.lower("text"))).filter(~clean.is_stopword(F.col("term")))
+    s = t.withColumn("stem", stem.porter(F.lower("term")))
+    s = s.filter(F.col("stem").rlike("^[a-zA-Z]+") & (F.length("stem") >= 3))
     return s.groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
 
 
@@ -247,13 +254,9 @@ _BY_LANG = f"""bl AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text
   FROM documents), st AS (SELECT lang, term, {snowball.text('term', 'lang', snowball.Duck())} AS stem FROM bl)"""
 
 
-def _language_terms(spark, sf):
-    return T.unnest(docs(spark, sf), ["doc_id", "lang"], T.word_tokens(F.col("text")), "term")
-
-
 @query("t8_snowball", f"WITH {_BY_LANG} SELECT lang, term, stem FROM st")
 def t8_snowball(spark, sf):
-    return stem.snowball_stems(_language_terms(spark, sf))
+    return stem.snowball_stems(T.unnest(docs(spark, sf), ["lang"], T.word_tokens(F.col("text")), "term"))
 
 
 @query("t6_snowball_terms", f"""
@@ -264,9 +267,9 @@ SELECT doc_id, stem, sum(tf)::BIGINT AS tf FROM tf JOIN st USING (lang, term)
 WHERE length(stem) >= 3 GROUP BY ALL""")
 def t6_snowball(spark, sf):
     """Lower-case words without the language's stop words, stemmed, stems of three letters or more."""
-    t = _language_terms(spark, sf).groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf"))
+    t = _terms_by_document(spark, sf, T.word_tokens(F.col("text")))
     t = t.filter(~clean.is_stopword(F.col("term"), F.col("lang")))
-    s = stem.snowball_tokens(t).filter(F.length("stem") >= 3)
+    s = t.withColumn("stem", snowball.stem("term", "lang")).filter(F.length("stem") >= 3)
     return s.groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
 
 
