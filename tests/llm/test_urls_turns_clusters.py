@@ -10,7 +10,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import clustering, turns, urlfilter
+from textloom.llm import clustering, neighbours, turns, urlfilter
 from textloom.llm.queries import ORACLES, QUERIES
 from textloom.session import ship
 
@@ -26,6 +26,31 @@ def test_queries_match_sql(spark, name):
     assert compare(QUERIES[name](spark, SF).toPandas(), connect(SF).sql(ORACLES[name]).df()) is None
 
 
+def test_neighbours_of_nothing_are_nothing():
+    import numpy as np
+
+    none = np.zeros(0, np.int64)
+    assert len(neighbours.best_rows(none, none, np.zeros(0), np.zeros(0, bool))) == 0
+    assert [len(x) for x in neighbours.best_edges(none, none, np.zeros(0))] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("n, parts", [(1, 8), (2, 8), (11, 60)])
+def test_neighbours_in_small_tables_and_many_partitions(spark, n, parts):
+    """All candidates come, nearest first, ties to the smaller id, however few vectors a bucket holds."""
+    ship(spark)
+    rows = [(i, [float(i // 2), 1.0], 0) for i in range(n)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        got = neighbours.nearest_neighbours(df).orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = sorted((abs(x[0]), i) for i, x, _ in rows[1:])[:10]
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [
+        (0, k, i, d) for k, (d, i) in enumerate(want, 1)]
+
+
 # Url filter
 
 def plain_verdict(url):

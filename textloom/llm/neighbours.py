@@ -197,7 +197,8 @@ def best_rows(src, dst, d, fresh, count=LIST):
     """Row numbers of the nearest `count` distinct entries of every source, known ones before fresh."""
     order = np.lexsort((fresh, dst, d, src))
     a, b = src[order], dst[order]
-    same = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
+    same = np.zeros(len(order), bool)
+    same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     order = order[~same]
     begin = C.group_starts(src[order])
     sizes = np.diff(np.append(begin, len(order)))
