@@ -144,6 +144,11 @@ def snowball_tokens(tokens: DataFrame, term="term", lang="lang", out="stem", spr
     """Tokens with the stems of their language. Every distinct word is stemmed once; the words with
     most rows are met by broadcast, so none of them fills a task."""
     word = F.concat_ws(" ", F.coalesce(lang, F.lit("")), term)
-    named = tokens.withColumn("_word", word)
+    rest = [c for c in tokens.columns if c not in (term, lang)]
+    # Language and word travel as one string and are parted again after the join.
+    named = tokens.select(*rest, word.alias("_word"))
     found = snowball_stems(tokens, term, lang, out).select(word.alias("_word"), out)
-    return hot_lookup(named, found, "_word", [out], hottest_in(named, "_word"), spread_by).drop("_word")
+    met = hot_lookup(named, found, "_word", [out], hottest_in(named, "_word"), spread_by)
+    code = F.substring_index("_word", " ", 1)
+    return met.select(*rest, F.when(code != "", code).alias(lang),
+                      F.substr("_word", F.length(code) + 2).alias(term), out)

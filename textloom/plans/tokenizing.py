@@ -218,8 +218,8 @@ def t5(spark, sf):
 
 
 def _terms_by_document(spark, sf, words):
-    """(doc_id, lang, term, tf). Texts are dealt by document once; counting the words and later their
-    stems then needs no other shuffle."""
+    """(doc_id, lang, term, tf). Texts are dealt by document, so that counting shuffles them and not
+    their words."""
     d = docs(spark, sf).select("doc_id", "lang", "text").repartition("doc_id")
     return T.unnest(d, ["doc_id", "lang"], words, "term").groupBy("doc_id", "lang", "term").agg(
         F.count("*").alias("tf"))
@@ -228,7 +228,7 @@ def _terms_by_document(spark, sf, words):
 @query("t6_stemmed_terms")
 def t6(spark, sf):
     t = _terms_by_document(spark, sf, clean.words(F.lower("text"))).filter(~clean.is_stopword(F.col("term")))
-    s = t.withColumn("stem", stem.porter(F.lower("term")))
+    s = stem.stem_tokens(t.drop("lang"))
     s = s.filter(F.col("stem").rlike("^[a-zA-Z]+") & (F.length("stem") >= 3))
     return s.groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
 
@@ -269,7 +269,7 @@ def t6_snowball(spark, sf):
     """Lower-case words without the language's stop words, stemmed, stems of three letters or more."""
     t = _terms_by_document(spark, sf, T.word_tokens(F.col("text")))
     t = t.filter(~clean.is_stopword(F.col("term"), F.col("lang")))
-    s = t.withColumn("stem", snowball.stem("term", "lang")).filter(F.length("stem") >= 3)
+    s = stem.snowball_tokens(t).filter(F.length("stem") >= 3)
     return s.groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
 
 
