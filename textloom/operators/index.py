@@ -19,6 +19,8 @@ from textloom.operators.blocks import cosines, matrix, squared_distances
 from textloom.session import stage
 
 PART_ROWS = 4096
+#: Queries that are measured against a part at a time.
+ASKED_ROWS = 256
 MOST_PIVOTS = 256
 #: Scores are rounded to six digits and ties go to the smaller id, so bounds leave room for that.
 ROOM = 2e-6
@@ -33,6 +35,13 @@ def _space(metric):
     return _unit if metric == "cosine" else lambda x: x
 
 
+def chunks(batches, rows=1024):
+    """Frames of bounded length, none empty."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at:at + rows]
+
+
 class VectorIndex:
     """Index of a table (base_id, vec) for cosine or Euclidean distance; ids have any type.
 
@@ -51,8 +60,8 @@ class VectorIndex:
         self.pivots = pivots = space(np.array([r["vec"] for r in rows])) if rows else np.zeros((0, 1))
 
         def place(batches):
-            for pdf in batches:
-                x = space(matrix(pdf["vec"])) if len(pdf) else np.zeros((0, pivots.shape[1]))
+            for pdf in chunks(batches):
+                x = space(matrix(pdf["vec"]))
                 d = np.sqrt(squared_distances(x, pivots))
                 cell = d.argmin(axis=1)
                 off = d[np.arange(len(x)), cell]
@@ -82,9 +91,7 @@ class VectorIndex:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
 
         def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            for pdf in chunks(batches):
                 q = space(matrix(pdf["vec"]))
                 d = np.sqrt(squared_distances(q, pivots))[:, at]
                 bound = np.maximum(np.maximum(d - high, low - d), 0.0)
@@ -134,7 +141,8 @@ class VectorIndex:
                     if points is None:
                         part = pd.concat(held).sort_values("base_id", kind="stable")
                         names, points = part["base_id"].to_numpy(), matrix(part["vec"])
-                    yield best(asked, names, points)
+                    for at in range(0, len(asked), ASKED_ROWS):
+                        yield best(asked.iloc[at:at + ASKED_ROWS], names, points)
 
         def best(asked, names, points):
             q = matrix(asked["vec"])

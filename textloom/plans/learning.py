@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textloom.functions import tokens as T
 from textloom.operators import embed, evaluate, ftest, learn, split
 from textloom.operators import weights as V
 from textloom.operators.svd import TruncatedSVD
@@ -15,7 +16,7 @@ from textloom.plans.features import n_docs
 from textloom.plans.ranking import top_and_bottom
 from textloom.plans.registry import TF, query, table
 from textloom.plans.tokenizing import DIM, docs, term_counts, word_vectors
-from textloom.session import checkpoint
+from textloom.session import checkpoint, stage
 
 SIZE = 1 << 15
 TERMS = 50_000
@@ -180,19 +181,17 @@ def r7(spark, sf):
     return learn.learning_curve(d, models, [20, 40, 60], 3)
 
 
-def tfidf_cells(spark, sf, rows=None):
-    """TF-IDF weights of the whole vocabulary, of all documents or those in `rows`."""
-    tf = term_counts(spark, sf)
-    n = n_docs(spark, sf)
-    if rows is not None:
-        tf, n = tf.join(rows.select("doc_id"), "doc_id", "left_semi"), F.lit(rows.count())
-    return V.weigh(tf, V.idf_table(tf, n), sublinear=False)
+def labelled_counts(spark, sf, lab):
+    """Term counts of the documents in `lab`; other texts are left out before they are tokenised."""
+    d = docs(spark, sf).select("doc_id", "text").join(lab.select("doc_id"), "doc_id", "left_semi")
+    return V.term_counts(T.unnest(d, ["doc_id"], T.word_tokens(F.col("text")), "term"), ["doc_id"])
 
 
 @query("v20_truncated_svd")
 def v20(spark, sf):
     """100 components of every document's TF-IDF weights over the whole vocabulary."""
-    cells = tfidf_cells(spark, sf)
+    tf = term_counts(spark, sf)
+    cells = V.weigh(tf, V.idf_table(tf, n_docs(spark, sf)))
     return TruncatedSVD(cells, 100).transform(cells)
 
 
@@ -217,8 +216,7 @@ SELECT term, CASE WHEN w <= q * 1e-12 THEN CASE WHEN b > q * 1e-12 THEN 'Infinit
   ELSE round(b / (k - 1) / (w / (n - k)), 5) END AS f_value FROM f""")
 def v23_f(spark, sf):
     lab = labelled_quality(spark, sf)
-    tf = term_counts(spark, sf).join(lab.select("doc_id"), "doc_id", "left_semi")
-    found, _ = ftest.f_values(tf, lab, "y", "tf")
+    found, _ = ftest.f_values(labelled_counts(spark, sf, lab), lab, "y", "tf")
     return found.select("term", F.round("f_value", 5).alias("f_value"))
 
 
@@ -226,7 +224,9 @@ def v23_f(spark, sf):
 def v23(spark, sf):
     """TF-IDF weights of the labelled documents, of terms whose F-test is below 0.05."""
     lab = labelled_quality(spark, sf)
-    return ftest.select_terms(tfidf_cells(spark, sf, lab), lab, "y")
+    tf = labelled_counts(spark, sf, lab)
+    weights = stage(V.weigh(tf, V.idf_table(tf, F.lit(lab.count()))))
+    return ftest.select_terms(weights, lab, "y")
 
 
 @query("v24_polynomial")
