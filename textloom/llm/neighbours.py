@@ -10,9 +10,10 @@ the last entry of the list they are for. Of the nodes that list a node, a round
 new and LIST of the older ones, by a hash of the round. Rounds end when at most SHARE of all entries
 are new. The search is approximate by contract, and every vector is in the graph.
 
-Queries start from their own node's list. Each hop expands the BEAM nearest nodes found so far that
-were not expanded, asks the buckets that own their neighbours for distances, and keeps the nearest;
-hops end when no beam has an unexpanded node. The nodes that list a node are dealt into groups of
+The search is best-first. Queries start from their own node; each hop expands the EXPAND nearest nodes
+that were not expanded, asks the buckets that own their neighbours for distances, and keeps the BEAM
+nearest; a query ends when all of these are expanded. A query is one row with its beam and the ids it
+has seen. Buckets follow the number of nodes (NODES each) and of queries (QUERIES each). The nodes that list a node are dealt into groups of
 about LIST; query and hop pick the group, so that a hub's links are all walked by some query.
 Vectors travel as given (single floats, or doubles), and every distance that a list, a beam or an
 answer keeps is that of `apart`: the vectors' own difference, in double precision, at any scale.
@@ -39,7 +40,8 @@ LIST = 24
 SPARE = TOP + 1
 TREES, LEAF, SAMPLE = 4, 128, 20_000
 SHARE = 0.001
-BEAM = 300
+BEAM, EXPAND = 64, 8
+NODES, QUERIES = 32_768, 1024
 SEED = 7
 ROUNDING = 1e-9
 PIECE = 16_384
@@ -47,6 +49,8 @@ EDGE = "src long, dst long, d double"
 LISTED = EDGE + ", fresh boolean"
 PLACED = "tree int, leaf long, node long, vec binary"
 DEEPER = 1 << 16
+STATES = ("q", "vec", "ids", "d", "done", "seen", "expand")
+STATE = "q long, vec binary, ids binary, d binary, done binary, seen binary, expand array<long>"
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -326,7 +330,7 @@ def descend(edges: DataFrame, packed: DataFrame, kind, n, turn) -> DataFrame:
     radius = radius.select(F.col("src").alias("member"), F.when(
         F.col("c") < LIST, F.lit(float("inf"))).otherwise(F.col("radius")).alias("radius"))
     own = edges.select(F.col("src").alias("centre"), F.col("dst").alias("member"), "fresh")
-    members = packed.withColumnRenamed("node", "member").join(radius, "member")
+    members = packed.select(F.col("node").alias("member"), "vec").join(radius, "member")
     some = F.max("fresh").over(Window.partitionBy("centre"))
     met = own.unionByName(drawn(edges, turn)).repartition(n, "centre").groupBy("centre", "member").agg(
         F.max("fresh").alias("fresh")).withColumn("_some", some).filter("_some").drop("_some")
@@ -360,12 +364,13 @@ def graph(nodes: DataFrame, kind, n):
     def pack(batches):
         for b in batches:
             x = [np.array(v, kind).tobytes() for v in b["v"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(x, pa.binary())],
-                                             names=["node", "vec"])
+            owner = pa.array(home(b["node"].to_numpy(), n), pa.int32())
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(x, pa.binary()), owner],
+                                             names=["node", "vec", "owner"])
 
     first, width = start(nodes, kind, n)
     packed = C.stored(nodes.filter(F.size("v") == width).select("node", "v").mapInArrow(
-        pack, "node long, vec binary"))
+        pack, "node long, vec binary, owner int"))
     edges = C.stored(lists(first.withColumn("fresh", F.lit(True)), n))
     for turn in itertools.count():
         new, entries = edges.agg(F.count_if("fresh"), F.count("*")).first()
@@ -374,62 +379,145 @@ def graph(nodes: DataFrame, kind, n):
         edges = C.stored(descend(edges, packed, kind, n, turn))
 
 
-def measured(asked: DataFrame, packed: DataFrame, queries: DataFrame, kind, n) -> DataFrame:
-    """(q, node, d): each bucket's nearest BEAM of the nodes that a query asks for.
+def home(node, n):
+    """The bucket that owns a node."""
+    return (C.mix(node.astype(C.U64)) % C.U64(n)).astype(np.int32)
 
-    A vector reaches a bucket once, a query's vector only the buckets it asks.
-    """
-    def near(pairs, held):
-        if not pairs.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "node": pa.array([], pa.int64()),
-                             "d": pa.array([], pa.float64())})
-        q, node = pairs["q"].to_numpy(), pairs["node"].to_numpy()
-        asks, ids = held["asks"].to_numpy(zero_copy_only=False), held["id"].to_numpy()
+
+def longs(blob):
+    return np.frombuffer(blob, np.int64)
+
+
+def joined_longs(blobs):
+    return longs(b"".join(blobs))
+
+
+def asks_of(n):
+    """(q, owner, vec, ids): the unseen nodes that a query wants measured, by owning bucket."""
+    def asks(state, ways):
+        names, kinds = ("q", "owner", "vec", "ids"), (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        wanted = {}
+        for q, blob in zip(ways["asker"].to_pylist(), ways["next"].to_pylist()):
+            wanted.setdefault(q, []).append(blob)
+        rows = []
+        for q, vec, seen in zip(*(state[c].to_pylist() for c in ("q", "vec", "seen"))):
+            fresh = np.setdiff1d(joined_longs(wanted.get(q, ())), longs(seen))
+            owner = home(fresh, n)
+            order = np.argsort(owner, kind="stable")
+            for part in np.split(order, C.group_starts(owner[order])[1:]):
+                if len(part):
+                    rows.append((q, int(owner[part[0]]), vec, fresh[part].tobytes()))
+        return C.table(names, kinds, rows)
+
+    return asks
+
+
+def near_of(kind):
+    """(q, ids, d): a bucket's distances between queries and the nodes they want."""
+    def near(asks, held):
+        ids = held["node"].to_numpy()
+        order = np.argsort(ids)
         x = vectors_of(held["vec"], kind)
-        at = []
-        for rows, wanted in ((np.flatnonzero(asks), q), (np.flatnonzero(~asks), node)):
-            rows = rows[np.argsort(ids[rows])]
-            at.append(rows[np.searchsorted(ids[rows], wanted)])
-        d = np.concatenate([apart(x[at[1][k:k + PIECE]], x[at[0][k:k + PIECE]])
-                            for k in range(0, len(q), PIECE)])
-        q, node, d = best_edges(q, node, d, BEAM)
-        return pa.table({"q": q, "node": node, "d": pa.array(d, pa.float64())})
-
-    bucket = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
-    pairs = asked.withColumn("_b", bucket)
-    asking = pairs.select("q", "_b").distinct().join(queries, "q").select(
-        "_b", F.col("q").alias("id"), F.lit(True).alias("asks"), F.col("of_q").alias("vec"))
-    held = packed.select(bucket.alias("_b"), F.col("node").alias("id"), F.lit(False).alias("asks"), "vec")
-    return pairs.groupBy("_b").cogroup(held.unionByName(asking).groupBy("_b")).applyInArrow(
-        near, "q long, node long, d double")
+        wanted = [longs(blob) for blob in asks["ids"].to_pylist()]
+        if not wanted:
+            return C.table(("q", "ids", "d"), (pa.int64(), pa.binary(), pa.binary()), [])
+        y = vectors_of(asks["vec"], kind)
+        ends = np.cumsum([len(w) for w in wanted])
+        of = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
+        at = order[np.searchsorted(ids[order], np.concatenate(wanted))]
+        d = np.concatenate([apart(x[at[k:k + PIECE]], y[of[k:k + PIECE]])
+                            for k in range(0, len(at), PIECE)])
+        return pa.table({"q": asks["q"], "ids": asks["ids"], "d": pa.array(
+            [part.tobytes() for part in np.split(d, ends[:-1])], pa.binary())})
+
+    return near
+
+
+def advance(state, answers):
+    """States with the answers put in, and the nodes that each query expands next.
+
+    Those are its EXPAND nearest unexpanded nodes among the BEAM nearest found; a query without any
+    is at its end. `seen` holds every node measured for it, ascending.
+    """
+    found = {}
+    for q, ids, d in zip(*(answers[c].to_pylist() for c in ("q", "ids", "d"))):
+        found.setdefault(q, []).append((ids, d))
+    out = []
+    for q, vec, ids, d, done, seen, _ in zip(*(state[c].to_pylist() for c in STATES)):
+        more = found.get(q, ())
+        fresh = joined_longs(i for i, _ in more)
+        ids = np.concatenate([longs(ids), fresh])
+        d = np.concatenate([np.frombuffer(d), np.frombuffer(b"".join(v for _, v in more))])
+        done = np.concatenate([np.frombuffer(done, bool), np.zeros(len(fresh), bool)])
+        keep = np.lexsort((ids, d))[:BEAM]
+        ids, d, done = ids[keep], d[keep], done[keep]
+        turn = np.flatnonzero(~done)[:EXPAND]
+        done[turn] = True
+        seen = np.sort(np.concatenate([longs(seen), fresh]))
+        out.append((q, vec, ids.tobytes(), d.tobytes(), done.tobytes(), seen.tobytes(),
+                    ids[turn].tolist()))
+    return C.table(STATES, (pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64())), out)
+
+
+def ways_of(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, part, next): a node's own list, and the nodes that list it in groups, as packed ids."""
+    def pack(batches):
+        for b in batches:
+            ids = [np.array(v, np.int64).tobytes() for v in b["next"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["node"], b["part"], pa.array(ids, pa.binary())],
+                                             names=["node", "part", "next"])
+
+    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).join(groups, "node")
+    back = back.withColumn("part", F.pmod(F.xxhash64("node", "next"), F.col("groups"))).drop("groups")
+    own = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"),
+                       F.lit(-1).cast("long").alias("part"))
+    return own.unionByName(back).groupBy("node", "part").agg(
+        F.collect_list("next").alias("next")).mapInArrow(pack, "node long, part long, next binary")
 
 
 def search(edges: DataFrame, packed: DataFrame, starts: DataFrame, kind, n) -> DataFrame:
-    """(q, node, d) of the BEAM nearest nodes found for each starting node, itself included."""
+    """(q, node, d) of the BEAM nearest nodes found for each starting node, itself included.
+
+    A query is one row that a hop rewrites; what it asks and what it learns travel as packed ids.
+    """
     groups = C.stored(crowd(edges).withColumnRenamed("centre", "node"))
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).join(groups, "node")
-    back = back.withColumn("part", F.pmod(F.xxhash64("node", "next"), F.col("groups"))).drop("groups")
-    ways = C.stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"),
-                                 F.lit(-1).cast("long").alias("part")).unionByName(back))
-    queries = C.stored(starts.join(packed, "node").select(
-        F.col("node").alias("q"), F.col("vec").alias("of_q")))
-    pool = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"),
-                          F.lit(False).alias("done"))
-    known = pool.select("q", "node")
-    nearest = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
+    ways = C.stored(ways_of(edges, groups))
+    share = F.pmod(F.xxhash64("q"), F.lit(max(n, -(-starts.count() // QUERIES)))).cast("int")
+
+    def begin(batches):
+        for b in batches:
+            ids = [np.int64(q).tobytes() for q in b["node"].to_pylist()]
+            yield C.batch(STATES, (pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64())), [
+                (int(longs(i)[0]), vec, i, np.zeros(1).tobytes(), b"\1", i, [int(longs(i)[0])])
+                for i, vec in zip(ids, b["vec"].to_pylist())])
+
+    state = C.stored(starts.join(packed, "node").select("node", "vec").mapInArrow(begin, STATE))
     for hop in itertools.count():
+        going = state.filter(F.size("expand") > 0)
+        if going.isEmpty():
+            break
         picked = F.pmod(F.xxhash64("q", "node", F.lit(hop)), F.coalesce("groups", F.lit(1).cast("long")))
         parts = F.array(F.lit(-1).cast("long"), picked)
-        asked = pool.filter(~F.col("done")).join(groups, "node", "left").select(
+        ways_on = going.select("q", F.explode("expand").alias("node")).join(groups, "node", "left").select(
             "q", "node", F.explode(parts).alias("part")).join(ways, ["node", "part"]).select(
-            "q", F.col("next").alias("node")).distinct()
-        asked = C.stored(asked.join(known, ["q", "node"], "left_anti"))
-        if asked.isEmpty():
-            return pool.select("q", "node", "d")
-        known = known.unionByName(asked)
-        found = measured(asked, packed, queries, kind, n).withColumn("done", F.lit(False))
-        pool = C.stored(pool.withColumn("done", F.lit(True)).unionByName(found).withColumn(
-            "_r", nearest).filter(F.col("_r") <= BEAM).drop("_r"))
+            share.alias("_g"), F.col("q").alias("asker"), "next")
+        asks = going.select(share.alias("_g"), "q", "vec", "seen").groupBy("_g").cogroup(
+            ways_on.groupBy("_g")).applyInArrow(asks_of(n), "q long, owner int, vec binary, ids binary")
+        answers = asks.groupBy("owner").cogroup(packed.groupBy("owner")).applyInArrow(
+            near_of(kind), "q long, ids binary, d binary")
+        state = C.stored(state.withColumn("_g", share).groupBy("_g").cogroup(
+            answers.withColumn("_g", share).groupBy("_g")).applyInArrow(advance, STATE))
+
+    def pairs(batches):
+        for b in batches:
+            ids = [longs(v) for v in b["ids"].to_pylist()]
+            d = [np.frombuffer(v) for v in b["d"].to_pylist()]
+            q = np.repeat(b["q"].to_numpy(), [len(v) for v in ids])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])),
+                 pa.array(np.concatenate([*d, np.zeros(0)]))], names=["q", "node", "d"])
+
+    return state.select("q", "ids", "d").mapInArrow(pairs, "q long, node long, d double")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query=None, top=TOP) -> DataFrame:
@@ -437,9 +525,9 @@ def nearest_neighbours(vectors: DataFrame, is_query=None, top=TOP) -> DataFrame:
     if top >= SPARE:
         raise ValueError(f"at most {SPARE - 1} neighbours are kept")
     is_query = F.col("vec_id") % EVERY == 0 if is_query is None else is_query
-    n = C.partitions(vectors.sparkSession)
     rows = usable(vectors)
     nodes = C.stored(nodes_of(rows))
+    n = max(C.partitions(vectors.sparkSession), -(-nodes.count() // NODES))
     kind = kind_of(vectors)
     edges, packed, width = graph(nodes, kind, n)
     asking = rows.filter(is_query).filter(F.size("v") == width).join(
