@@ -350,6 +350,44 @@ def test_substring_matches_brute_force(docs):
         assert brute.words(r.text) == kept.split()
 
 
+def test_heavy_minimisers_and_long_texts_change_nothing(spark, monkeypatch):
+    """Windows dealt by all their words, a common pair in every text, one very long text."""
+    ship(spark)
+    rng = random.Random(12)
+    texts = [" ".join(f"a b {rng.choice('uvwxyz')}" for _ in range(rng.randrange(3, 30))) for _ in range(60)]
+    texts += [" ".join(rng.choice("pq") for _ in range(60_000)), texts[0], texts[7] + " tail", None, ""]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.repeats(rows)
+    every = substring.read([(t or "").encode() for t in texts])
+    hashes = np.array([substring.C.word_hash(w) for w in every[0]], np.uint64)[every[1]]
+    for heavy in ([], np.unique(substring.windows(hashes))):
+        monkeypatch.setattr(substring, "heavy_places", lambda docs, buckets: np.array(heavy, np.uint64))
+        for r in substring.substring_dedup(docs).collect():
+            n, gone, kept = want[r.doc_id]
+            assert (r.n_words, r.n_removed) == (n, gone)
+            assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_heavy_minimisers_are_found(spark):
+    ship(spark)
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(400)]
+    rows += [(1000 + i, " ".join(f"{'a b c' if k % 3 else rng.randrange(9**9)}" for k in range(60)))
+             for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring.heavy_places(docs, 64)
+    assert 0 < len(found) <= 16 and (np.diff(found.astype(object)) > 0).all()
+
+
+def test_strings_with_equal_sums_stay_apart(monkeypatch):
+    ids = np.array([*range(20), *range(20), *range(1, 21)], np.int32)
+    starts, lengths = np.array([0, 20, 40, 5]), np.array([20, 20, 20, 13])
+    assert substring.numbered(ids, starts, lengths).tolist() == [0, 0, 1, 2]
+    monkeypatch.setattr(substring.C, "mix", lambda a: np.zeros_like(a))
+    assert substring.numbered(ids, starts, lengths).tolist() == [0, 0, 1, 2]
+
+
 def test_windows_with_equal_hashes_stay_apart(monkeypatch):
     monkeypatch.setattr(substring.C, "rolling", lambda h, n: np.zeros(max(len(h) - n + 1, 0), np.uint64))
     ids = np.arange(40, dtype=np.int32) % 20
