@@ -40,7 +40,7 @@ LIST = 24
 SPARE = TOP + 1
 TREES, LEAF, SAMPLE = 4, 128, 20_000
 SHARE = 0.001
-BEAM, EXPAND = 64, 8
+BEAM, EXPAND = 128, 16
 NODES, QUERIES = 32_768, 1024
 SEED = 7
 ROUNDING = 1e-9
