@@ -94,6 +94,31 @@ def test_packing_fills_and_balances():
     assert sum(b - a for _, a, b, _, _ in parts) == sum(lengths)
 
 
+def test_packing_pads_alike_at_any_partition_count(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before, fills = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            fills.append(packing.pack(docs).agg(
+                F.sum("length") / (F.count_distinct("sequence_id") * packing.CAPACITY)).first()[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert fills[0] == fills[1] > 0.95
+
+
+def test_packing_cuts_a_long_text_over_many_sequences(spark):
+    ship(spark)
+    text = prose(random.Random(4), 9000)
+    docs = spark.createDataFrame([(1, text), (2, "short one"), (3, "")], "doc_id long, text string")
+    rows = packing.pack(docs, with_ids=True).collect()
+    whole = sorted((r.start, r.ids) for r in rows if r.doc_id == 1)
+    want = packing.Encoder().whole.encode(text, add_special_tokens=False).ids + [packing.END]
+    assert b"".join(ids for _, ids in whole) == np.array(want, "<u4").tobytes()
+    assert len(want) > 3 * packing.CAPACITY
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // packing.CAPACITY)
+
+
 def test_special_token_text_is_read_like_the_tokenizer():
     enc = packing.Encoder()
     for t in ("a<|endoftext|> b", " lead", "tail ", "a  b", "x\n\n y", "it's 5 o'clock", "  a"):
@@ -439,6 +464,39 @@ def test_decontamination_matches_plain_search(spark, docs):
             assert decontam.words(r.cleaned.encode()) == left
 
 
+def test_decontamination_in_passes_is_the_same(spark, monkeypatch):
+    ship(spark)
+    rng = random.Random(12)
+    long_text, texts = prose(rng, 700), [prose(rng, 60) for _ in range(12)]
+    docs = spark.createDataFrame(
+        [(k % 9, f"{t} {long_text[k * 50:k * 50 + 400]} {texts[-1]}", k) for k, t in enumerate(texts)]
+        + [(None, None, 1), (3, "", 2)], "doc_id long, text string, text2 int")
+    docs = docs.withColumns({"row": F.lit(1), "_text": F.lit("x"), "a b": F.col("text2")})
+    items = [(1, long_text), (2, long_text), (3, texts[-1]), (3, texts[-1]), (4, "be"), (5, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    carried = ("row", "_text", "a b", "text2")
+
+    def found(**options):
+        out = decontam.scan(docs, bench, *carried, **options)
+        return sorted(map(repr, out.collect()))
+
+    want = found()
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 40)
+    assert found() == want
+    assert decontam.benchmark_passes(bench, 3000)[1] > 2
+    assert found(pass_bytes=3000) == want
+    assert sum("Row(start" in r for r in want) == 12
+
+
+def test_packed_bits_rank_like_plain_sums():
+    rng = np.random.default_rng(2)
+    for n in (1, 63, 64, 65, 1000):
+        ones = rng.random(n) < 0.4
+        bits, at = decontam.Bits(ones), np.arange(n + 1)
+        assert (bits.rank(at) == np.concatenate(([0], np.cumsum(ones)))).all()
+        assert (bits.at(at[:-1]) == ones).all()
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -6,10 +6,14 @@ out, since no phrase can occur there. The string's Burrows-Wheeler transform is
 matrix whose ranks drive backward search for all phrases at once; sampled suffix positions locate
 the occurrences, and their spans are merged per document. Shards need no shuffle.
 
-Phrases are the only thing broadcast, in passes of at most PHRASE_WORDS words each.
+Phrases are the only thing broadcast. The benchmark is cut into pieces that overlap by a window less
+one word, repeated pieces are dropped and the rest dealt by hash into passes of about PASS_BYTES, so a
+benchmark of any size is scanned, one pass after the other. Every pass adds its spans and items to
+those found before; the rows are written between passes, since ids need not be unique.
 
 Nulls: a null text has no words; a null item text has no phrases; a null id is passed on. Empty
-benchmark: no document is hit. Repeated rows are judged one by one; other columns are ignored.
+benchmark: no document is hit. Repeated rows are judged one by one; other columns are ignored. Carried
+columns may have any name but those of the result.
 """
 
 import re
@@ -18,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom.llm import common as C
 
 WINDOW = 10
-PHRASE_WORDS = 5_000_000
-SHARD_BYTES = 16 << 20
+PASS_BYTES = 4 << 20
+PIECE_WORDS = 2000
+SHARD_BYTES = 8 << 20
 SAMPLE = 16
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes outside the word pattern become spaces; A-Z have been lower-cased before.
@@ -35,36 +41,54 @@ def words(text: bytes):
     return text.lower().translate(TABLE).split()
 
 
+class Bits:
+    """Packed bits with the count of ones before each 64 of them."""
+
+    def __init__(self, ones):
+        packed = np.packbits(ones, bitorder="little")
+        self.words = np.zeros(len(ones) // 64 + 1, "<u8")
+        self.words.view(np.uint8)[:len(packed)] = packed
+        counts = np.cumsum(np.bitwise_count(self.words), dtype=np.int64)
+        self.before = np.concatenate(([0], counts[:-1])).astype(np.int32)
+
+    def rank(self, upto):
+        """Ones before each position."""
+        at, inside = upto >> 6, (upto & 63).astype(C.U64)
+        mask = (C.U64(1) << inside) - C.U64(1)
+        return self.before[at] + np.bitwise_count(self.words[at] & mask).astype(np.int64)
+
+    def at(self, position):
+        return ((self.words[position >> 6] >> (position & 63).astype(C.U64)) & C.U64(1)).astype(np.int64)
+
+
 class WaveletMatrix:
     """Ranks and symbols of an integer string, one bit level at a time."""
 
     def __init__(self, symbols, sigma):
         self.levels = max(1, int(sigma - 1).bit_length())
-        self.ranks, self.zeros = [], []
+        self.bits, self.zeros = [], []
         s = symbols
         for level in range(self.levels - 1, -1, -1):
-            one = (s >> level) & 1
-            self.ranks.append(np.concatenate(([0], np.cumsum(one))))
+            one = (s >> level) & 1 == 1
+            self.bits.append(Bits(one))
             self.zeros.append(len(s) - int(one.sum()))
-            s = np.concatenate((s[one == 0], s[one == 1]))
+            s = np.concatenate((s[~one], s[one]))
 
     def rank(self, symbol, upto):
         """Occurrences of each symbol before each position."""
         start = np.zeros_like(upto)
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            ones, zeros, bit = self.ranks[k], self.zeros[k], (symbol >> level) & 1
-            upto = np.where(bit, zeros + ones[upto], upto - ones[upto])
-            start = np.where(bit, zeros + ones[start], start - ones[start])
+            bits, zeros, bit = self.bits[k], self.zeros[k], (symbol >> level) & 1
+            upto, start = (np.where(bit, zeros + bits.rank(x), x - bits.rank(x)) for x in (upto, start))
         return upto - start
 
     def at(self, position):
         """Symbol at each position and its rank there."""
         symbol, p = np.zeros_like(position), position
-        for k in range(self.levels):
-            ones, zeros = self.ranks[k], self.zeros[k]
-            bit = ones[p + 1] - ones[p]
+        for bits, zeros in zip(self.bits, self.zeros):
+            bit, ones = bits.at(p), bits.rank(p)
             symbol = symbol * 2 + bit
-            p = np.where(bit, zeros + ones[p], p - ones[p])
+            p = np.where(bit, zeros + ones, p - ones)
         return symbol, self.rank(symbol, position)
 
 
@@ -83,13 +107,18 @@ class FMIndex:
 
     def search(self, phrases):
         """Row ranges of the suffixes that start with each phrase (a matrix, one phrase a row)."""
-        last = phrases[:, -1]
-        low, high = self.first[last], self.first[last + 1]
-        for j in range(phrases.shape[1] - 2, -1, -1):
-            c = phrases[:, j]
-            low = self.first[c] + self.bwt.rank(c, low)
-            high = self.first[c] + self.bwt.rank(c, high)
-        return low, np.maximum(low, high)
+        low, high = (np.zeros(len(phrases), np.int64) for _ in range(2))
+        left = np.arange(len(phrases))
+        for j in range(phrases.shape[1] - 1, -1, -1):
+            c = phrases[left, j].astype(np.int64)
+            if j == phrases.shape[1] - 1:
+                a, b = self.first[c], self.first[c + 1]
+            else:
+                a = self.first[c] + self.bwt.rank(c, low[left])
+                b = self.first[c] + self.bwt.rank(c, high[left])
+            low[left], high[left] = a, np.maximum(a, b)
+            left = left[a < b]
+        return low, high
 
     def locate(self, rows):
         """Text positions of suffix rows: walk back to a sampled one."""
@@ -122,24 +151,32 @@ def suffix_order(text):
 
 
 class Phrases:
-    """Test phrases of one length with the items that hold them."""
+    """Test phrases of one length, as rows of word numbers, with the items that hold them."""
 
     def __init__(self, length, items):
-        self.length, self.vocab, seen = length, {}, {}
+        self.length, self.vocab = length, C.Numbering()
+        self.names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.names)}
+        rows, owners = [], []
         for item, ws in items:
-            for k in range(len(ws) - length + 1):
-                ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 2) for w in ws[k:k + length])
-                seen.setdefault(ids, set()).add(item)
-        self.matrix = np.array(list(seen), np.int64).reshape(-1, length)
-        self.items = [sorted(x) for x in seen.values()]
+            ids = (self.vocab.of(ws) + 2).astype(np.int32)
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, length))
+            owners.append(np.full(len(rows[-1]), number[item]))
+        self.matrix, phrase = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack((phrase.ravel(), np.concatenate(owners)), axis=1), axis=0)
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.matrix) + 1))
+        self.owners = pairs[:, 1].astype(np.int32)
         self.sigma = len(self.vocab) + 2
 
+    def items(self, phrase):
+        return [self.names[k] for k in self.owners[self.starts[phrase]:self.starts[phrase + 1]]]
+
     def occurrences(self, numbered):
         """(document, first word, phrase) of every occurrence in documents given as word lists."""
         symbols, docs, places = [], [], []
         look = self.vocab.get
         for doc, ws in numbered:
-            s = np.fromiter((look(w, 0) for w in ws), np.int64, len(ws))
+            s = np.fromiter((look(w, -2) for w in ws), np.int64, len(ws)) + 2
             for a, b in zip(*C.runs(s > 0)):
                 if b - a >= self.length:
                     symbols += [s[a:b], [GAP]]
@@ -166,15 +203,16 @@ def phrase_sets(items):
     return [Phrases(n, group) for n, group in sorted(by_length.items())]
 
 
-def judge(texts, sets):
-    """(words, merged spans, items) of each text of one shard."""
+def judge(texts, sets, before=None):
+    """(words, merged spans, items) of each text of one shard, with the spans and items `before`."""
     split = [words(t) for t in texts]
-    spans, items = [[] for _ in texts], [set() for _ in texts]
+    spans, items = zip(*before) if before else ([[] for _ in texts], [set() for _ in texts])
     for s in sets:
         hits = s.occurrences(enumerate(split))
-        for doc, place, phrase in hits.T.tolist():
+        for doc, place in hits[:2].T.tolist():
             spans[doc].append((place, place + s.length))
-            items[doc].update(s.items[phrase])
+        for doc, phrase in np.unique(hits[[0, 2]], axis=1).T.tolist():
+            items[doc].update(s.items(phrase))
     out = []
     for ws, found, held in zip(split, spans, items):
         merged = []
@@ -199,53 +237,81 @@ def without(text: bytes, spans) -> bytes:
 
 RESULT = [("n_words", "long"), ("spans", "array<struct<start:int,end:int>>"),
           ("items", "array<string>"), ("cleaned", "string")]
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *carried) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *carried, pass_bytes=PASS_BYTES) -> DataFrame:
     """doc_id, the carried columns, words, merged spans (in words, end exclusive), items and the
     text without the spans; `cleaned` is null where nothing was hit, so unhit texts are not copied.
     """
-    plain = docs.select("doc_id", C.text_bytes().alias("_text"), *carried)
-    sets = phrase_sets(collect_items(benchmark))
-    shared = docs.sparkSession.sparkContext.broadcast(sets)
+    pieces, passes = benchmark_passes(benchmark, pass_bytes)
+    found = docs.select(F.struct("doc_id", *carried).alias("row"), C.text_bytes().alias("text"))
+    for k in range(passes):
+        part = pieces.filter(F.col("pass") == k).select("item", "piece")
+        sets = phrase_sets([(i, bytes(p).split(b" ")) for i, p in part.toLocalIterator()])
+        found = scan_once(found, sets)
+        if k + 1 < passes:
+            found = C.stored(found.drop("n_words", "cleaned"))
+    return found.select("row.*", *[name for name, _ in RESULT])
+
+
+def scan_once(rows: DataFrame, sets) -> DataFrame:
+    """Rows (row, text and, after the first pass, spans and items) with what this pass adds."""
+    shared = rows.sparkSession.sparkContext.broadcast(sets)
 
     def shards(batches):
         held, size = [], 0
         for b in batches:
             held.append(b)
-            size += b["_text"].nbytes
+            size += b["text"].nbytes
             if size >= SHARD_BYTES:
                 yield result(held)
                 held, size = [], 0
-        if size:
+        if held:
             yield result(held)
 
     def result(held):
         t = pa.Table.from_batches(held).combine_chunks()
-        texts = t["_text"].to_pylist()
-        rows = judge(texts, shared.value)
-        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        texts, before = t["text"].to_pylist(), None
+        if "spans" in t.column_names:
+            before = [([(s["start"], s["end"]) for s in spans], set(items))
+                      for spans, items in zip(t["spans"].to_pylist(), t["items"].to_pylist())]
+        found = judge(texts, shared.value, before)
         return pa.RecordBatch.from_arrays([
-            *(t[c].combine_chunks() for c in ("doc_id", *carried)),
-            pa.array([r[0] for r in rows], pa.int64()),
-            pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], spans),
-            pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
-            pa.array([without(t, r[1]).decode() if r[1] else None for t, r in zip(texts, rows)],
+            *(t[c].combine_chunks() for c in ("row", "text")),
+            pa.array([r[0] for r in found], pa.int64()),
+            pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in found], SPANS),
+            pa.array([sorted(r[2]) for r in found], pa.list_(pa.string())),
+            pa.array([without(t, r[1]).decode() if r[1] else None for t, r in zip(texts, found)],
                      pa.string()),
-        ], names=["doc_id", *carried, *(name for name, _ in RESULT)])
+        ], names=["row", "text", *(name for name, _ in RESULT)])
 
-    kinds = dict(docs.dtypes)
-    schema = [(c, kinds[c]) for c in ("doc_id", *carried)] + RESULT
-    return plain.mapInArrow(shards, ", ".join(f"`{c}` {kind}" for c, kind in schema))
+    result_fields = StructType.fromDDL(", ".join(map(" ".join, RESULT))).fields
+    return rows.mapInArrow(shards, StructType([rows.schema["row"], rows.schema["text"], *result_fields]))
 
 
-def collect_items(benchmark):
-    """The benchmark's word lists; its size is checked before anything reaches the driver."""
-    plain = benchmark.select(F.col("item_id").cast("string"), C.text_bytes())
-    size = benchmark.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
-    if size > 8 * PHRASE_WORDS:
-        raise ValueError(f"benchmark text of {size} bytes; scan it in parts of {8 * PHRASE_WORDS}")
-    return [(i if i is not None else "", words(bytes(t))) for i, t in plain.toLocalIterator()]
+def benchmark_passes(benchmark: DataFrame, pass_bytes):
+    """Distinct pieces (item, piece, pass) of the items' words, and the number of passes, at least 1.
+
+    Pieces are far smaller than a pass and distinct, so a hash deals them evenly.
+    """
+    def cut(batches):
+        for b in batches:
+            items, pieces = [], []
+            for i, t in zip(*(c.to_pylist() for c in b.columns)):
+                ws = words(t)
+                for at in range(0, max(len(ws) - WINDOW + 1, min(len(ws), 1)), PIECE_WORDS):
+                    items.append(i)
+                    pieces.append(b" ".join(ws[at:at + PIECE_WORDS + WINDOW - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(pieces, pa.binary())],
+                                             names=["item", "piece"])
+
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")
+    pieces = C.stored(benchmark.select(item, C.text_bytes().alias("text")).mapInArrow(
+        cut, "item string, piece binary").distinct())
+    size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    return pieces.withColumn("pass", F.pmod(F.xxhash64("item", "piece"), F.lit(passes))), passes
 
 
 def digest(found: DataFrame) -> DataFrame:

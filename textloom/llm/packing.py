@@ -5,7 +5,7 @@ bounded groups by a hash of document and piece, so that no task grows with the i
 very long document. In a group, attention cost (linear plus quadratic in the piece's length) decides:
 descending pieces go to the open sequence of lowest cost that still has room, and what fits nowhere
 whole is cut to fill the remaining room. A group opens just as many sequences as its tokens need, so
-it pads less than one sequence in all.
+it pads less than one sequence in all; the number of groups follows the bytes of text alone.
 
 Nulls: a null text counts as empty and gives one piece, the end mark; a null id is passed on.
 Repeated rows are packed one by one. An empty table gives no rows; other columns are ignored.
@@ -23,10 +23,11 @@ from textloom.llm import common as C
 
 CAPACITY = 2048
 END = 1
-DOCS_PER_GROUP = 1024
+GROUP_BYTES = 2 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SEQUENCES_PER_GROUP = 1 << 32
-CACHED = 1_000_000
+CACHED_BYTES = 32 << 20
+ENTRY_BYTES = 200
 SPECIAL = "<|endoftext|>"
 
 
@@ -57,7 +58,7 @@ class Encoder:
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks,
                                        special_tokens={})
         self.whole = Tokenizer.from_file(file)
-        self.known = {}
+        self.known, self.held = {}, 0
 
     def ids(self, text: str) -> bytes:
         if SPECIAL in text:
@@ -65,9 +66,9 @@ class Encoder:
         chunks = text.split(" ")
         if not all(chunks) or any(c[0].isspace() or c[-1].isspace() for c in chunks):
             return np.array(self.ranks.encode_ordinary(text), "<u2").tobytes()
-        known, out = self.known, [self.chunk(chunks[0])]
+        out = [self.chunk(chunks[0])]
         for c in chunks[1:]:
-            b = known.get(c)
+            b = self.known.get(c)
             out.append(b if b is not None else self.learn(c))
         return b"".join(out)
 
@@ -75,9 +76,11 @@ class Encoder:
         return np.array(self.ranks.encode_ordinary(c), "<u2").tobytes()
 
     def learn(self, c):
-        if len(self.known) >= CACHED:
-            self.known.clear()
-        self.known[c] = b = self.chunk(" " + c)
+        b = self.chunk(" " + c)
+        self.held += ENTRY_BYTES + 4 * len(c) + len(b)
+        if self.held > CACHED_BYTES:
+            self.known, self.held = {}, ENTRY_BYTES + 4 * len(c) + len(b)
+        self.known[c] = b
         return b
 
 
@@ -170,7 +173,8 @@ def pack(docs: DataFrame, with_ids=False) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     pieces = docs.select("doc_id", text).mapInArrow(
         cut, "doc_id long, start long, doc_tokens long, ids binary")
-    groups = max(C.partitions(docs.sparkSession), -(-docs.count() // DOCS_PER_GROUP))
+    size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    groups = max(1, -(-(size[0] + (size[1] or 0)) // GROUP_BYTES))
     key = F.xxhash64("doc_id", "start", F.crc32("ids"))
     dealt = pieces.withColumn("_group", F.pmod(key, F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(
