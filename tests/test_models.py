@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import embed, ftest, index, kernel
 from textloom.operators.svd import TruncatedSVD
+from textloom.operators.topics import LabelTopics
 from textloom.session import ship
 
 
@@ -201,3 +202,64 @@ def test_words_and_analogies(spark):
     assert [(r.query_id, r.word) for r in near] == [("king", "man")] or near[0].word == "queen"
     t = spark.createDataFrame([(1, "king", "man", "woman"), (2, "king", "x", "man")], "id long, a string, b string, c string")
     assert [(r.id, r.word, r["rank"]) for r in embed.word_analogies(wv, t, "id", 1).collect()] == [(1, "queen", 1)]
+
+
+def plain_topics(tf, labels, rounds):
+    """Nested loops over documents, terms and labels."""
+    own = {d: sorted({c for k, c in labels if k == d and c}) for d, _, _ in tf}
+    w = {(d, t, c): n / len(own[d]) for d, t, n in tf for c in own[d]}
+    trace = []
+
+    def model():
+        words, shares, labels_n, docs_n = {}, {}, {}, {}
+        for (d, t, c), x in w.items():
+            words[c, t] = words.get((c, t), 0) + x
+            shares[d, c] = shares.get((d, c), 0) + x
+            labels_n[c] = labels_n.get(c, 0) + x
+            docs_n[d] = docs_n.get(d, 0) + x
+        return ({k: x / labels_n[k[0]] for k, x in words.items()},
+                {k: x / docs_n[k[0]] for k, x in shares.items()})
+
+    for _ in range(rounds):
+        words, shares = model()
+        logs = count = 0
+        for d, t, n in tf:
+            parts = {c: words[c, t] * shares[d, c] for c in own[d]}
+            if parts:
+                whole = sum(parts.values())
+                logs, count = logs + n * math.log(whole), count + n
+                w.update({(d, t, c): n * x / whole for c, x in parts.items()})
+        trace.append(math.exp(-logs / count))
+    return *model(), trace
+
+
+def test_label_topics_match_plain_rounds(spark):
+    rows = corpus(seed=4)
+    rng = random.Random(5)
+    labels = [(d, c) for d in range(36) for c in rng.sample("abcd", rng.randint(1, 3))]
+    # Repeated and null labels, a document without labels and one without words.
+    labels += [(0, labels[0][1]), (1, None), (38, None), (99, "a")]
+    words, shares, trace = plain_topics(rows, labels, 6)
+    tf = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    got = LabelTopics(tf, spark.createDataFrame(labels, "doc_id long, label string"), rounds=6)
+    assert got.perplexity == pytest.approx(trace, rel=1e-9)
+    assert all(b <= a for a, b in zip(trace, trace[1:])) and trace[-1] < trace[0]
+    assert {(r.label, r.term): r.p for r in got.words.collect()} == pytest.approx(words, abs=1e-9)
+    assert {(r.doc_id, r.label): r.share for r in got.shares.collect()} == pytest.approx(shares, abs=1e-9)
+    best = [r for r in got.top_words(3).collect() if r.label == "a"]
+    assert [r["rank"] for r in sorted(best, key=lambda r: -r.p)] == [1, 2, 3]
+
+
+def test_label_topics_of_empty_tables_and_separable_labels(spark):
+    docs = [(d, t, 1) for d in range(30) for t in ("all", "ab"[d % 2])]
+    labels = [(d, c) for d in range(30) for c in ("common", "ab"[d % 2])]
+    tf = spark.createDataFrame(docs, "doc_id long, term string, tf long")
+    pairs = spark.createDataFrame(labels, "doc_id long, label string")
+    got = LabelTopics(tf, pairs, rounds=4)
+    # Shares are free along a ridge of equal maxima; supports and the perplexity of the maximum are not.
+    assert not got.words.filter("label = 'a' AND term = 'b' OR label = 'b' AND term = 'a'").count()
+    p = {(r.label, r.term): r.p for r in got.words.collect()}
+    assert p["common", "all"] > 0.75 and p["a", "a"] == pytest.approx(p["b", "b"])
+    assert got.perplexity[-1] == pytest.approx(2, abs=0.2)
+    none = LabelTopics(tf.limit(0), pairs, rounds=2)
+    assert none.words.count() == none.shares.count() == 0 and none.perplexity == [None, None]
