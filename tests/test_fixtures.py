@@ -1,6 +1,7 @@
 """Small inputs with exact answers."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,16 @@ def test_annotation_flags(spark):
 def test_ngrams_and_subwords(spark):
     assert one(spark, "abc", lambda t: T.char_ngrams(t, 1, 3)) == ["a", "b", "c", "ab", "bc", "abc"]
     assert one(spark, "", lambda t: T.char_ngrams(t, 2, 3)) == []
+    assert one(spark, "abcd", lambda t: T.char_windows(t, 3)) == ["abc", "bcd", "cd", "d"]
+    assert one(spark, "", lambda t: T.char_windows(t, 3)) == []
+
+
+def test_prefixes_of_windows_count_like_ngrams(spark):
+    texts = ["abcabcab", "a", "", "é a b", "aaaaaaa", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    w = T.unnest(df, [], T.char_windows(F.col("text"), 5), "window")
+    want = Counter(t[i:i + n] for t in texts if t for n in range(2, 6) for i in range(len(t) - n + 1))
+    assert {r.gram: r.n for r in V.prefix_counts(w, "window", 2, "gram").collect()} == dict(want)
     assert one(spark, "ab", lambda t: T.subwords(t, 3, 6)) == ["<ab", "ab>", "<ab>"]
     split = lambda t: T.ngrams(F.split(t, " "), 1, 2)
     assert one(spark, "x y z", split) == ["x", "y", "z", "x y", "y z"]

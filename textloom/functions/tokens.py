@@ -96,6 +96,12 @@ def char_ngrams(word: Column, low: int, high: int) -> Column:
     return ngrams(F.filter(F.split(word, ""), lambda c: c != ""), low, high, sep="")
 
 
+def char_windows(text: Column, size: int) -> Column:
+    """The `size` characters from every position on, fewer near the end."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return ngrams(F.concat(chars, F.array_repeat(F.lit(""), size - 1)), size, size, sep="")
+
+
 def subwords(word: Column, low=3, high=6) -> Column:
     """N-grams of <word>, by length then position. Words are short, so each n-gram is cut straight
     from the word; for whole texts see `char_ngrams`."""

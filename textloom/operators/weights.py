@@ -61,11 +61,23 @@ def weigh(tf: DataFrame, idf: DataFrame, key="doc_id", term="term", sublinear=Fa
     return w.select(key, term, "tf", out)
 
 
-def order_weights(docs: DataFrame, key, tokens, alpha=0.99) -> DataFrame:
+def prefix_counts(windows: DataFrame, window, low: int, name, count="n") -> DataFrame:
+    """Counts of all prefixes of at least `low` characters, from the counts of the distinct windows.
+
+    With the windows of a text at every position these are its character n-grams, at one row a character.
+    """
+    n = windows.groupBy(window).agg(F.count("*").alias("_n")).filter(F.length(window) >= low)
+    prefixes = F.transform(F.sequence(F.lit(low), F.length(window)), lambda k: F.substr(window, F.lit(1), k))
+    return T.unnest(n, ["_n"], prefixes, name).groupBy(name).agg(F.sum("_n").alias(count))
+
+
+def order_weights(docs: DataFrame, key, tokens, alpha=0.99, vocab=None) -> DataFrame:
     """Fixed-size order encoding: a term weighs the sum of alpha^(words that follow it). Words
-    outside a vocabulary still hold their place, so restrict the result afterwards."""
+    outside the table `vocab` still hold their place but leave the rows before they are summed."""
     sized = docs.select(key, F.col(tokens), F.size(tokens).alias("_n"))
     t = T.unnest(sized, [key, "_n"], F.col(tokens), "term", "_i")
+    if vocab is not None:
+        t = t.join(vocab, "term", "left_semi")
     return t.groupBy(key, "term").agg(
         F.sum(F.pow(F.lit(float(alpha)), F.col("_n") - F.col("_i") - 1)).alias("weight"))
 

@@ -9,6 +9,7 @@ from textloom.functions import tokens as T
 from textloom.operators import annotate as A
 from textloom.operators import split as R
 from textloom.operators import weights as V
+from textloom.operators.joins import hot_lookup, hottest_in
 from textloom.plans.registry import TF, TOK, query, sql_list, table
 from textloom.plans.tokenizing import (
     ANN, DIM, IS_PUNCT, LEXICON, POS, SENT, docs, lexicon, term_counts,
@@ -95,8 +96,8 @@ g AS (SELECT doc_id, unnest([z[1] || z[2], z[1] || z[2] || z[3], z[1] || z[2] ||
 SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram
 ORDER BY n DESC, gram LIMIT 3000""")
 def v7(spark, sf):
-    g = T.unnest(docs(spark, sf), [], T.char_ngrams(F.lower("text"), 2, 5), "gram")
-    return A.vocabulary(g, "gram").orderBy(F.desc("n"), "gram").limit(3000)
+    w = T.unnest(docs(spark, sf), [], T.char_windows(F.lower("text"), 5), "window")
+    return V.prefix_counts(w, "window", 2, "gram").orderBy(F.desc("n"), "gram").limit(3000)
 
 
 IDF = TF + f""", idf AS (SELECT term, count(*) AS df,
@@ -158,8 +159,7 @@ FROM t SEMI JOIN pruned USING (term) GROUP BY ALL""")
 def v12(spark, sf):
     d = docs(spark, sf).select("doc_id", T.word_tokens(F.col("text")).alias("tokens"))
     vocab = pruned_vocabulary(spark, sf, term_counts(spark, sf))
-    w = V.order_weights(d, "doc_id", "tokens").join(
-        F.broadcast(vocab), "term", "left_semi")  # the vocabulary has at most 5000 rows
+    w = V.order_weights(d, "doc_id", "tokens", vocab=F.broadcast(vocab))  # at most 5000 rows
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -231,7 +231,8 @@ def v16(spark, sf):
         F.count(F.when(F.col("raw").contains(","), 1)).alias("n_comma"))
     tf = term_counts(spark, sf)
     idf = V.idf_table(tf, n_docs(spark, sf))
-    s = tf.join(idf, "term").groupBy("doc_id").agg(
+    met = hot_lookup(tf, idf, "term", ["idf"], hottest_in(tf, "term"), ["doc_id"])
+    s = met.groupBy("doc_id").agg(
         F.round(F.min("idf"), 6).alias("min_idf"),
         F.round(F.sum(F.col("idf") * F.col("tf")) / F.sum("tf"), 6).alias("mean_idf"),
         F.round(F.max("idf"), 6).alias("max_idf"))

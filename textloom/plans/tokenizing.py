@@ -10,6 +10,7 @@ from textloom.operators import annotate as A
 
 from textloom.operators import order
 from textloom.operators import stem
+from textloom.operators.joins import hot_lookup, hottest
 from textloom.plans.registry import STOP_CASE, TF, TOK, lit, query, sql_list, table, words
 
 DIM = 64
@@ -468,7 +469,8 @@ def t21(spark, sf):
     v = tf.groupBy("term").agg(F.sum("tf").cast("double").alias("n"))
     total = v.agg(F.sum("n")).scalar()
     p = v.select("term", A.keep_probability(F.col("n"), total, F.lit(THRESHOLD)).alias("keep"))
-    u = tf.join(p, "term").withColumn("u", order.uniform("doc_id", "term", seed=0))
+    met = hot_lookup(tf, p, "term", ["keep"], hottest(v, "term", "n"), ["doc_id"])
+    u = met.withColumn("u", order.uniform("doc_id", "term", seed=0))
     return u.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.count(F.when(F.col("u") <= F.col("keep"), 1))
         .alias("n_kept"),
