@@ -26,3 +26,24 @@ def test_mean_vectors_feed_a_classifier(spark):
     p = Pipeline(stages=[stages.TextStage(), stages.MeanVectors(wv, 2), LogisticRegression()])
     out = p.fit(df).transform(df).collect()
     assert len(out) == 8 and all(r.prediction == r.label for r in out)
+
+
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    from textloom.plans import registry
+
+    docs = [(i, f"alpha beta w{i % 3} again w{i % 3}") for i in range(12)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(
+        "*", "'en' AS lang", "'a' AS source", "length(text) AS n_chars")
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    x1 = registry.load()[0]["x1_stream_scoring"]
+    found = []
+    for files in (1, 3):
+        sf = tmp_path / f"t{files}"
+        lab.write.parquet(f"{sf}/labels.parquet")
+        if files > 1:
+            d.repartition(files).write.parquet(f"{sf}/documents.parquet")
+        else:
+            d.coalesce(1).write.parquet(f"{sf}/parts")
+            next((sf / "parts").glob("*.parquet")).rename(sf / "documents.parquet")
+        found.append(sorted(map(tuple, x1(spark, str(sf)).collect())))
+    assert len(found[0]) == 12 and found[0] == found[1]

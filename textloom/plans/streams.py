@@ -23,7 +23,8 @@ FROM s GROUP BY doc_id""")
 def x1(spark, sf):
     model, _, _ = count_model(spark, sf)
     schema = table(spark, sf, "documents").schema
-    stream = score.read_documents(spark, sf, schema, "documents.parquet")
+    # A pattern meets the table as one file and as a folder of files.
+    stream = score.read_documents(spark, f"{sf}/[d]ocuments.parquet", schema)
     out = scratch(spark, "scored")
     running = score.score_stream(stream, model, out, scratch(spark, "progress"))
     running.awaitTermination()
