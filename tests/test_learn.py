@@ -41,3 +41,17 @@ def test_gradient_steps_separate_two_clear_classes(spark):
     for loss in ("log", "hinge"):
         got = learn.sgd(df, df, loss, share=0.5).collect()
         assert len(got) == 40 and all(r.pred == r.doc_id % 2 for r in got)
+
+
+def test_product_codes_leave_odd_vectors_out(spark):
+    rows = [(i, [float(i % 5), float(i % 3), 1.0, 2.0]) for i in range(20)]
+    odd = [(90, None), (91, []), (92, [1.0]), (93, [1.0, None, 0.0, 0.0]), (94, [1.0, float("nan"), 0.0, 0.0]),
+           (95, [float("inf"), 0.0, 0.0, 0.0]), (96, [0.0] * 5)]
+    code = lambda r: sorted((x.vec_id, x.codes) for x in learn.product_codes(
+        spark.createDataFrame(r, "vec_id long, v array<double>"), "v", 4, 2, 8).collect())
+    assert len(code(rows)) == 20 and code(rows + odd) == code(rows)
+
+
+def test_product_codes_with_empty_partitions(spark):
+    rows = spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(9)], "vec_id long, v array<double>")
+    assert learn.product_codes(rows.repartition(30), "v", 2, 2, 4).count() == 9

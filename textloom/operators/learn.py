@@ -177,10 +177,13 @@ def product_codes(df: DataFrame, vec: str, dim: int, sub: int, k=256, iterations
 
     All slices are fitted together: a step is one job that sums, by slice and centre, the rows
     nearest to it. Centres (dim * k numbers) start from the k rows of least key hash; only they
-    and their sums pass through the driver. A centre that no row is nearest to stays.
+    and their sums pass through the driver. A centre that no row is nearest to stays. Vectors that
+    are null, of another length or hold null or non-finite components have no code.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = checkpoint(df.select(key, F.transform(vec, lambda x: x.cast("double")).alias("v")))
+    rows = df.select(key, F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    bad = F.exists("v", lambda x: x.isNull() | x.isNaN() | (F.abs(x) == float("inf")))
+    rows = checkpoint(rows.filter((F.size("v") == dim) & ~bad))
     first = rows.orderBy(F.xxhash64(key), key).limit(k).collect()
     shape = (-1, dim // sub, sub)
     centres = np.array([r.v for r in first]).reshape(shape).transpose(1, 0, 2).copy()
@@ -198,7 +201,8 @@ def product_codes(df: DataFrame, vec: str, dim: int, sub: int, k=256, iterations
                     np.add.at(total[s], codes[:, s], x[:, s])
                     np.add.at(n[s], codes[:, s], 1)
             s, c = np.nonzero(n)
-            yield pd.DataFrame({"slice": s, "centre": c, "n": n[s, c], "total": list(total[s, c])})
+            if len(s):  # a part of the table may have no rows
+                yield pd.DataFrame({"slice": s, "centre": c, "n": n[s, c], "total": list(total[s, c])})
         return run
 
     sums = [F.sum(F.col("total")[j]).alias(f"t{j}") for j in range(sub)]
