@@ -188,3 +188,26 @@ def test_listed_pairs_count_once(spark):
                                ("g", "b", "c", 1)], "grp string, a string, b string, label int")
     r = pairs.score_predicted_pairs(p, gold, ["grp"]).first()
     assert (r.correct, r.total) == (2, 2)
+
+
+def test_mean_vectors_ship_no_vector_per_fact(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(embed, "BLOCK_FACTS", 40)
+    vec = {f"w{j}": rng.normal(size=3) for j in range(30)}
+    rows = [(None if i == 7 else i, f"w{j}", int(rng.integers(1, 5)))
+            for i in range(50) for j in rng.choice(40, 12, replace=False)]
+    wv = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()] + [("w1", [1.0, 2.0, 3.0])] +
+                               [("w39", [None, 1.0, None])], "word string, vec array<double>")
+    tf = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    many = embed.mean_vectors(tf, wv, 3)
+    joined = tf.join(wv, F.col("term") == F.col("word"), "left")
+    want = embed.weighted_sum(joined.filter("vec IS NOT NULL"), "doc_id", "vec", F.col("tf"), 3,
+                              [F.sum("tf").alias("_by")])
+    want = {r.doc_id: [None if x is None else x / r._by for x in r._sum] for r in want.collect()}
+    got = {r.doc_id: r.vec for r in many.collect()}
+    assert len(got) == 50 and want.keys() <= got.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+    # Vectors meet distinct (block, word) pairs; no join or sum has one row of vectors per fact.
+    plan = many._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "sum(" not in plan

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from textloom.functions import clean
 from textloom.functions import tokens as T
 from textloom.operators import embed, weights
-from textloom.operators.joins import hottest
 
 # Column functions a stage can name; user functions are added with `register`.
 FUNCTIONS = {
@@ -67,7 +66,7 @@ class MeanVectorModel(Model, HasInputCol, HasOutputCol):
             T.unnest(dataset, [self.key], F.col(self.getInputCol()), "term"), [self.key])
         weighted = weights.weigh(tf, self.idf, key=self.key)
         means = embed.mean_vectors(weighted, self.vectors, self.dim, key=self.key,
-                                   weight=F.col("weight"), hot=hottest(self.idf, "term", "df"))
+                                   weight=F.col("weight"))
         means = means.withColumnRenamed("vec", "_vec")
         zeros = F.array_repeat(F.lit(0.0), self.dim)
         out = dataset.join(means, self.key, "left")

@@ -82,8 +82,7 @@ def e5(spark, sf):
     tf = term_counts(spark, sf)
     idf = V.idf_table(tf, n_docs(spark, sf))
     return long_form(embed.mean_vectors(
-        V.weigh(tf, idf), word_vectors(spark, sf), DIM, weight=F.col("weight"),
-        hot=hottest(idf, "term", "df")), "doc_id")
+        V.weigh(tf, idf), word_vectors(spark, sf), DIM, weight=F.col("weight")), "doc_id")
 
 
 @query("e6_idf_mean", f"""
@@ -97,7 +96,7 @@ def e6(spark, sf):
     w = hot_lookup(tf, idf, "term", ["idf"], hot, ["doc_id"], "left").withColumn(
         "idf", F.coalesce("idf", highest))
     return long_form(embed.mean_vectors(w, word_vectors(spark, sf), DIM, weight=F.col("idf"),
-                                        by_count=True, hot=hot), "doc_id")
+                                        by_count=True), "doc_id")
 
 
 _UNIT = """uv AS (SELECT word, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec
