@@ -22,6 +22,8 @@ PART_ROWS = 4096
 #: Queries that are measured against a part at a time.
 ASKED_ROWS = 256
 MOST_PIVOTS = 256
+#: Rows of queries sent to parts that a task holds at a time.
+ROUTED_ROWS = 1 << 14
 #: Scores are rounded to six digits and ties go to the smaller id, so bounds leave room for that.
 ROOM = 2e-6
 
@@ -81,17 +83,22 @@ class VectorIndex:
         part = F.pmod(F.xxhash64("base_id"), many).cast("int")
         self.table = stage(placed.withColumn("part", part))
 
-    def _route(self, queries, first, k):
-        """(query columns, cell, part) rows: the cells a query searches in the first or second phase."""
+    def _router(self, first, k):
+        """Frames of queries to frames of at most ROUTED_ROWS rows (query columns, cell, part)."""
         cells, pivots, metric, space = self.cells, self.pivots, self.metric, _space(self.metric)
         number, count = cells["cell"].to_numpy(), cells["n"].to_numpy()
         low, high, parts = (cells[c].to_numpy() for c in ("low", "high", "parts"))
         zero = number == len(pivots)
         at = np.where(zero, 0, number)
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
+        most = ROUTED_ROWS
+        # The cell and number of every part, and as many queries at a time as such a frame holds.
+        cell_of = np.repeat(number, parts).astype(np.int32)
+        part_of = (np.concatenate([np.arange(p) for p in parts]) if len(parts) else np.zeros(0)).astype(np.int32)
+        begin = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)
+        asked = max(1, min(1024, most // max(1, len(part_of))))
 
         def run(batches):
-            for pdf in chunks(batches):
+            for pdf in chunks(batches, asked):
                 q = space(matrix(pdf["vec"]))
                 d = np.sqrt(squared_distances(q, pivots))[:, at]
                 bound = np.maximum(np.maximum(d - high, low - d), 0.0)
@@ -107,13 +114,21 @@ class VectorIndex:
                     limit = pdf["limit"].to_numpy(np.float64)[:, None]
                     mine = ~mine & (np.isnan(limit) | (bound <= limit))
                 row, col = np.nonzero(mine)
-                out = pdf.iloc[np.repeat(row, parts[col])].copy()
-                out["cell"] = np.repeat(number[col], parts[col]).astype(np.int32)
-                out["part"] = (np.concatenate([np.arange(p) for p in parts[col]]) if len(col) else
-                               np.zeros(0)).astype(np.int32)
-                yield out
+                if not len(row):
+                    continue
+                part = np.concatenate([np.arange(begin[c], begin[c + 1]) for c in col])
+                row = np.repeat(row, parts[col])
+                for a in range(0, len(row), most):
+                    out = pdf.iloc[row[a:a + most]].copy()
+                    out["cell"], out["part"] = cell_of[part[a:a + most]], part_of[part[a:a + most]]
+                    yield out
 
-        return queries.mapInPandas(run, f"{kinds}, cell int, part int")
+        return run
+
+    def _route(self, queries, first, k):
+        """(query columns, cell, part) rows: the cells a query searches in the first or second phase."""
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
+        return queries.mapInPandas(self._router(first, k), f"{kinds}, cell int, part int")
 
     def _search(self, routed, k):
         """k best of every part for every query sent to it: (query_id, base_id, score)."""
