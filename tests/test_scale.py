@@ -211,3 +211,30 @@ def test_mean_vectors_ship_no_vector_per_fact(spark, monkeypatch):
     # Vectors meet distinct (block, word) pairs; no join or sum has one row of vectors per fact.
     plan = many._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "sum(" not in plan
+
+
+def test_routed_queries_come_in_bounded_frames(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(index, "ROUTED_ROWS", 20)
+    x = np.random.default_rng(2).normal(size=(60, 4))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "base_id long, vec array<double>")
+    found = index.VectorIndex(base, "euclidean", part_rows=2)
+    asked = pd.DataFrame({"query_id": range(60), "vec": list(x), "banned": [[]] * 60, "limit": np.nan})
+    sizes = [len(f) for f in found._router(False, 3)(iter([asked]))]
+    assert sum(sizes) > 100 and max(sizes) <= 20
+
+
+def test_word_vector_partitions_do_not_exceed_what_runs_at_once(spark, monkeypatch):
+    from textloom.operators import learn
+
+    asked = []
+    monkeypatch.setattr(learn, "Word2Vec", lambda **k: type("W", (), {"fit": lambda s, d: asked.append(
+        k["numPartitions"])})())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 500)
+    try:
+        learn.train_word_vectors(spark.range(1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert asked == [spark.sparkContext.defaultParallelism]
