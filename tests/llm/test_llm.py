@@ -247,6 +247,12 @@ def test_all_good_rows_that_were_not_fitted_on_are_fair(spark, monkeypatch):
     assert len(fitted) == 10 and sorted(rest) == sorted(set(range(200)) - fitted)
 
 
+def test_quality_is_fitted_on_every_row_of_its_half(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    fitted, rest = (f(labels, labels) for f in (quality.fitted, quality.unfitted))
+    assert fitted.count() > 25_000 and fitted.union(rest).distinct().count() == 60_000
+
+
 def test_forward_backward_by_enumeration(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 4)
     rng = np.random.default_rng(1)

@@ -1,9 +1,9 @@
 """Quality classifier: interpolated modified Kneser-Ney perplexity with quantile cuts by language.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. A word bigram model is trained on rows that are labelled
-as good. It is fitted on at most TRAIN_ROWS of them, taken in hash order, and on the VOCABULARY most
-frequent words that occur twice; any other word is the unknown word, spelled out at SPELLING nats a
-byte. These bounds are what lets the vocabulary and its vectors travel to every task. The bigram
+as good: on all of them that fall in one half by hash, and on the VOCABULARY most frequent of their
+words that occur twice; any other word is the unknown word, spelled out at SPELLING nats a
+byte. This bound is what lets the vocabulary and its vectors travel to every task. The bigram
 counts stay a table in shards: each block of documents asks the shards for the counts of its
 distinct bigrams, and adds up its documents' probabilities with the answers.
 
@@ -31,7 +31,8 @@ from textloom.llm import common as C
 from textloom.operators import joins
 from textloom.session import checkpoint
 
-TRAIN_ROWS = 10_000
+#: None: the model is fitted on the whole half; a number bounds it.
+TRAIN_ROWS = None
 VOCABULARY = 200_000
 LONGEST = 64
 SPELLING = 2.5
@@ -112,20 +113,24 @@ def trusted(docs: DataFrame, labels: DataFrame, part: int):
 
 def fitted(docs: DataFrame, labels: DataFrame):
     """Ids of the good rows that the model is fitted on."""
-    return trusted(docs, labels, 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(TRAIN_ROWS)
+    half = trusted(docs, labels, 0)
+    if TRAIN_ROWS is None:
+        return half
+    return half.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(TRAIN_ROWS)
 
 
 def unfitted(docs: DataFrame, labels: DataFrame):
     """Ids of all other good rows."""
-    rest = trusted(docs, labels, 0).join(F.broadcast(fitted(docs, labels)), "doc_id", "left_anti")
-    return trusted(docs, labels, 1).unionByName(rest)
+    fair = trusted(docs, labels, 1)
+    if TRAIN_ROWS is None:
+        return fair
+    return fair.unionByName(trusted(docs, labels, 0).join(fitted(docs, labels), "doc_id", "left_anti"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int):
     """(vocabulary, model, shards of bigram counts)."""
     spark = docs.sparkSession
-    sample = docs.join(F.broadcast(fitted(docs, labels)), "doc_id").select(
-        C.text_bytes().alias("text"))
+    training = docs.join(fitted(docs, labels), "doc_id").select(C.text_bytes().alias("text"))
 
     def word_counts(batches):
         for b in batches:
@@ -133,9 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int):
                         if len(w) <= LONGEST)
             yield C.batch(("word", "n"), (pa.binary(), pa.int64()), list(n.items()))
 
-    words = sample.mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(
+    words = training.mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(
         F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    vocabulary = Vocabulary([bytes(r.word) for r in words.collect()])
+    vocabulary = Vocabulary(words.toArrow()["word"].to_pylist())
     size, shared = vocabulary.size, spark.sparkContext.broadcast(vocabulary)
 
     def bigrams(batches):
@@ -146,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int):
                 n.update((ids[:-1] * size + ids[1:]).tolist())
             yield C.batch(("key", "n"), (pa.int64(), pa.int64()), list(n.items()))
 
-    counted = checkpoint(sample.mapInArrow(bigrams, "key long, n long").groupBy("key").agg(
+    counted = checkpoint(training.mapInArrow(bigrams, "key long, n long").groupBy("key").agg(
         F.sum("n").alias("n")))
     pair = counted.select(F.floor(F.col("key") / size).alias("h"),
                           (F.col("key") % size).alias("w"), "n")
@@ -161,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int):
 
 
 def rows(df):
-    return np.array([tuple(r) for r in df.collect()], float).reshape(-1, len(df.columns))
+    """A small table of numbers as an array; Arrow spares the driver a Python object per cell."""
+    found = df.toArrow()
+    return np.array([c.to_numpy() for c in found.columns], float).T.reshape(-1, found.num_columns)
 
 
 ENCODED = ("_block long, doc_ids array<long>, row_keys array<long>, langs array<string>, "
