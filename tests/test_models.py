@@ -263,3 +263,20 @@ def test_label_topics_of_empty_tables_and_separable_labels(spark):
     assert got.perplexity[-1] == pytest.approx(2, abs=0.2)
     none = LabelTopics(tf.limit(0), pairs, rounds=2)
     assert none.words.count() == none.shares.count() == 0 and none.perplexity == [None, None]
+
+
+def test_label_topics_in_many_blocks_hold_one_row_per_fact(spark, monkeypatch):
+    from textloom.operators import topics
+
+    rng = np.random.default_rng(4)
+    tf = spark.createDataFrame([(d, f"w{j}", int(rng.integers(1, 4))) for d in range(40)
+                                for j in rng.choice(25, 8, replace=False)], "doc_id long, term string, tf long")
+    pairs = spark.createDataFrame([(d, f"l{j}") for d in range(40) for j in {d % 3, d % 5}],
+                                  "doc_id long, label string")
+    one = LabelTopics(tf, pairs, rounds=3)
+    monkeypatch.setattr(topics, "BLOCK_FACTS", 30)
+    many = LabelTopics(tf, pairs, rounds=3)
+    assert many._facts.count() == tf.count()  # not one row per fact and label
+    assert many.perplexity == pytest.approx(one.perplexity)
+    key = lambda m: {(r.doc_id, r.label): r.share for r in m.shares.collect()}
+    assert key(many) == pytest.approx(key(one))
