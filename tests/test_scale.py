@@ -238,3 +238,20 @@ def test_word_vector_partitions_do_not_exceed_what_runs_at_once(spark, monkeypat
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert asked == [spark.sparkContext.defaultParallelism]
+
+
+def test_hot_facts_of_a_document_meet_in_one_task(spark):
+    facts = spark.range(300).select((F.col("id") % 10).alias("doc_id"), F.concat(F.lit("w"), F.floor(
+        F.col("id") / 10)).alias("term"))
+    table = facts.groupBy("term").agg(F.count("*").alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = joins.hot_lookup(facts, table, "term", ["n"], joins.hottest(table, "term", "n"), ["doc_id"])
+        found = out.withColumn("p", F.spark_partition_id()).groupBy("doc_id").agg(
+            F.collect_set("p").alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(found) == 10 and all(len(r.p) == 1 for r in found)
