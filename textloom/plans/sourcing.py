@@ -127,9 +127,7 @@ def s6_read(spark, sf):
     path = scratch(spark, "annotated")
     text = F.regexp_replace("text", r"[\t\r]", " ")
     docs(spark, sf).select(annotated_lines(text).alias("value")).write.text(path)
-    t = readers.read_annotated(spark, path)
-    inside = t.groupBy("lemma", "path", "sentence_id").agg(F.count("*").alias("n"))
-    return inside.groupBy("lemma").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_sentences"))
+    return readers.lemma_counts(readers.annotated_ranges(spark, path))
 
 
 @query("s8_read_groups", r"""

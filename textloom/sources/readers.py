@@ -1,11 +1,14 @@
 """Readers for the corpus file shapes, and the column parsers behind them."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import clean
 from textloom.functions.tokens import unnest
 from textloom.operators import order
+from textloom.session import stage
 
 LABEL_PREFIX = "__label__"
 
@@ -60,9 +63,53 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def running_counts(lines: DataFrame, values: dict, by=("path",)) -> DataFrame:
-    """Running sums over the lines of each file (or, with no `by`, of all files in the order of paths)."""
-    part = F.col("block") if by else F.struct("path", "block")
-    return order.running_totals(lines, list(by), [F.col("at")], values, part=part)
+    """Running sums over the lines of each file (or, with no `by`, of all files in the order of paths).
+
+    A task reads a byte range's lines in their order, so it adds them up as it reads, and no line is
+    shuffled; the ranges' sums, one row each, give what stands before a range. `_range` and `_file` number
+    the ranges and files.
+    """
+    names = list(values)
+    counts = [F.col(f"_v_{n}") for n in names]
+    lines = lines.withColumns({f"_v_{n}": values[n] for n in names})
+    every = Window.orderBy("path", "block")
+    earlier = Window.partitionBy(*by).orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lines.groupBy("path", "block").agg(*[F.sum(c).alias(n) for n, c in zip(names, counts)])
+    ranges = stage(ranges.select(
+        "path", "block", F.row_number().over(every).alias("_range"),
+        F.dense_rank().over(Window.orderBy("path")).alias("_file"),
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names]))
+    rest = [c for c in lines.columns if c not in ("path", "block")]
+    rows = lines.join(F.broadcast(ranges.select("path", "block", "_range")), ["path", "block"]).select("_range", *rest)
+    summed = rows.mapInArrow(_running([f"_v_{n}" for n in names]), rows.schema)
+    found = summed.join(F.broadcast(ranges), "_range")
+    kept = [c for c in lines.columns if not c.startswith("_v_")]
+    return found.select("_range", "_file", *kept, *[
+        (c + F.col(f"_before_{n}")).alias(n) for n, c in zip(names, counts)])
+
+
+def _running(names):
+    """Running sums of columns over the rows of each `_range`, which follow one another."""
+    def run(batches):
+        last, held = None, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = b["_range"].to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
+            sizes = np.diff(starts, append=len(part))
+            for name in names:
+                v = b[name].to_numpy()
+                upto = np.cumsum(v)
+                before = (upto - v)[starts]
+                if part[0] == last:
+                    before[0] -= held[name]
+                upto -= np.repeat(before, sizes)
+                held[name] = upto[-1]
+                b = b.set_column(b.schema.get_field_index(name), name, pa.array(upto, pa.int64()))
+            last = part[-1]
+            yield b
+    return run
 
 
 def split_targets(text: Column) -> Column:
@@ -110,15 +157,56 @@ def parse_annotated(text: Column) -> Column:
 def read_annotated(spark: SparkSession, path: str) -> DataFrame:
     """(path, pos, sentence_id, raw, lemma, upos) of annotated files, read line by line: a line with tabs is
     a token, any other line ends a sentence."""
+    return annotated_ranges(spark, path).drop("_range", "_file")
+
+
+def annotated_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The same with the numbers of each row's byte range and file."""
     lines = read_lines(spark, path)
     token = F.contains("value", F.lit("\t"))
     counted = running_counts(lines, {"_tokens": token.cast("long"), "_breaks": (~token).cast("long")})
     f = F.split("value", "\t")
     return counted.filter(token).select(
-        "path", (F.col("_tokens") - 1).alias("pos"), (F.col("_breaks") + 1).alias("sentence_id"),
+        "_range", "_file", "path", (F.col("_tokens") - 1).alias("pos"), (F.col("_breaks") + 1).alias("sentence_id"),
         F.get(f, F.lit(1)).alias("raw"), F.get(f, F.lit(2)).alias("lemma"), F.get(f, F.lit(3)).alias("upos"))
 
 
+def lemma_counts(tokens: DataFrame) -> DataFrame:
+    """(lemma, n_tokens, n_sentences) of the rows of `annotated_ranges`.
+
+    Sentences that lie whole in a batch of rows are counted there. The others, at most two a batch and two
+    a range, are put together by file and sentence.
+    """
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part, sentence = b["_range"].to_numpy(), b["sentence_id"].to_numpy()
+            new = np.concatenate(([True], (part[1:] != part[:-1]) | (sentence[1:] != sentence[:-1])))
+            starts = np.flatnonzero(new)
+            other = np.concatenate(([True], np.diff(part[starts]) != 0, [True]))
+            cut = other[:-1] | other[1:]
+            t = pa.table({"lemma": b["lemma"], "at": np.cumsum(new) - 1}).group_by(["lemma", "at"]).aggregate(
+                [([], "count_all")])
+            at = t["at"].to_numpy()
+            whole = t.filter(~cut[at]).group_by("lemma").aggregate([("count_all", "sum"), ([], "count_all")])
+            none = pa.nulls(whole.num_rows)
+            yield from pa.table({
+                "lemma": whole["lemma"], "n": whole["count_all_sum"].cast(pa.int64()),
+                "sentences": whole["count_all"].cast(pa.int64()), "file": none.cast(pa.int32()),
+                "sentence": none.cast(pa.int64())}).to_batches()
+            t, row = t.filter(cut[at]), starts[at[cut[at]]]
+            yield from pa.table({
+                "lemma": t["lemma"], "n": t["count_all"].cast(pa.int64()), "sentences": np.ones(t.num_rows, np.int64),
+                "file": b["_file"].to_numpy()[row], "sentence": sentence[row]}).to_batches()
+
+    found = tokens.select("_range", "_file", "sentence_id", "lemma").mapInArrow(
+        run, "lemma string, n long, sentences long, file int, sentence long")
+    joined = found.groupBy("lemma", "file", "sentence").agg(
+        F.sum("n").alias("n"), F.when(F.col("sentence").isNull(), F.sum("sentences")).otherwise(1).alias("s"))
+    return joined.groupBy("lemma").agg(F.sum("n").alias("n_tokens"), F.sum("s").alias("n_sentences"))
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str, header=True, sep="\t") -> DataFrame:
     """Delimited text without quoting."""
     return spark.read.csv(path, schema=schema, sep=sep, header=header, quote="", escape="")
