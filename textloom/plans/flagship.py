@@ -7,8 +7,9 @@ from textloom.functions import clean
 from textloom.functions import constants as K
 from textloom.functions import tokens as T
 from textloom.operators import weights as V
+from textloom.operators.terms import TermBlocks
 from textloom.plans.cleaning import special
-from textloom.plans.registry import query, table
+from textloom.plans.registry import query
 
 
 @query("top_terms", f"""
@@ -22,11 +23,11 @@ w AS (SELECT doc_id, term, round(tf * idf / sqrt(sum(tf * idf * tf * idf)
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term)::INTEGER AS rank
   FROM w) SELECT doc_id, term, weight, rank FROM r WHERE rank <= 5""")
 def top_terms(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     cleaned = clean.remove_special_characters(F.col("text"))
-    tf = V.term_counts(T.unnest(d, ["doc_id"], T.word_tokens(cleaned), "term"), ["doc_id"])
+    t = TermBlocks(d, T.word_tokens(cleaned))
     n = d.agg(F.count("*")).scalar()
-    w = V.weigh(tf, V.idf_table(tf, n)).withColumn("weight", F.round("weight", 6))
+    w = t.weigh(V.idf_of(t.vocabulary(), n)).withColumn("weight", F.round("weight", 6))
     best = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
     ranked = w.withColumn("rank", F.row_number().over(best)).filter("rank <= 5")
     return ranked.select("doc_id", "term", "weight", "rank")
