@@ -4,7 +4,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -81,15 +81,33 @@ def one_vs_rest(stages, classifier_for, train, test, labels, key="doc_id") -> Da
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def prepared(df: DataFrame, stages, columns):
+    """(rows, the other stages): the leading stages that need no fit are applied once, and only `columns` and
+    what the other stages read are kept. Hashed counts are far smaller than their tokens."""
+    n = next((i for i, s in enumerate(stages) if not isinstance(s, Transformer)), len(stages))
+    rest = stages[n:]
+    made = PipelineModel(stages=stages[:n]).transform(df)
+    read = [s.getOrDefault(p) for s in rest for p in ("inputCol", "featuresCol") if s.hasParam(p) and (
+        s.isSet(p) or s.hasDefault(p))]
+    return checkpoint(made.select(*dict.fromkeys([*columns, *[c for c in read if c in made.columns]]))), rest
+
+
 def stack(base_models: dict, folded: DataFrame, k: int, stages, key="doc_id", label="y"):
     """Out-of-fold probabilities of the base models as features of a logistic model, with their
     degree-2 products."""
-    folded = checkpoint(folded)  # every fit below reads the tokens again
-    joined = folded.select(key, label, "fold")
-    for name, model in base_models.items():
-        oof = by_fold([*stages, model], folded, k)
-        p = oof.select(key, vector_to_array("probability")[1].alias(name))
-        joined = joined.join(p, key)
+    ready, stages = prepared(folded, [*stages, *base_models.values()], [key, label, "fold"])
+    stages = stages[:len(stages) - len(base_models)]
+    found = {name: [] for name in base_models}
+    for i in range(k):  # the models of a fold share its fitted features
+        train, test = ready.filter(F.col("fold") != i), ready.filter(F.col("fold") == i)
+        features = Pipeline(stages=stages).fit(train)
+        for name, model in base_models.items():
+            p = model.fit(features.transform(train)).transform(features.transform(test))
+            found[name].append(p.select(key, vector_to_array("probability")[1].alias(name)))
+    joined = ready.select(key, label, "fold")
+    for parts in found.values():
+        joined = joined.join(checkpoint(reduce(lambda a, b: a.unionByName(b), parts)), key)
+    joined = checkpoint(joined)  # every fit below reads the probabilities again
     features = [
         VectorAssembler(inputCols=list(base_models), outputCol="probas"),
         PolynomialExpansion(degree=2, inputCol="probas", outputCol="features"),
@@ -100,14 +118,19 @@ def stack(base_models: dict, folded: DataFrame, k: int, stages, key="doc_id", la
 
 def learning_curve(df: DataFrame, stages_for: dict, sizes, repeats, key="doc_id", label="y"):
     """Accuracy of each model when `n` labelled rows train it: mean over stratified shuffles."""
-    df = checkpoint(df)
-    n_all = df.count()
-    parts = []
-    for r in range(repeats):
-        for n in sizes:
-            s = split.stratified_split(df, label, key, n / n_all, seed=f"curve{r}")
-            for name, stages in stages_for.items():
-                p = fit_predict(stages, s.filter("split = 'train'"), s.filter("split = 'test'"))
+    n_all, parts = None, []
+    for name, stages in stages_for.items():
+        ready, rest = prepared(df.withColumn("_row", F.monotonically_increasing_id()), stages, [key, label, "_row"])
+        n_all = ready.count() if n_all is None else n_all
+        # Shuffles rank narrow rows; a document's features move once, for all of them.
+        ranks = checkpoint(ready.select("_row", key, label))
+        for r in range(repeats):
+            ranks = split.shuffled_shares(ranks, label, key, f"_rank{r}", "_n", seed=f"curve{r}")
+        placed = checkpoint(ready.join(ranks.drop(key, label), "_row"))
+        for r in range(repeats):
+            for n in sizes:
+                is_train = F.col(f"_rank{r}") <= F.floor(F.lit(n / n_all) * F.col("_n"))
+                p = fit_predict(rest, placed.filter(is_train), placed.filter(~is_train))
                 parts.append(p.select(
                     F.lit(name).alias("model"), F.lit(n).alias("train_size"),
                     F.lit(r).alias("repeat"), (F.col("pred") == F.col(label)).cast("int")

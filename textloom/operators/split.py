@@ -20,6 +20,11 @@ def stratified_split(df: DataFrame, label, ids, train=0.7, seed="") -> DataFrame
     return r.withColumn("split", F.when(is_train, "train").otherwise("test")).drop("_rank", "_n")
 
 
+def shuffled_shares(df: DataFrame, label, ids, rank, total, seed="") -> DataFrame:
+    """Add the shuffled rank of every row in its class and the class's row count (once)."""
+    return order.shuffled_rank(df, [label], ids, rank, total=None if total in df.columns else total, seed=seed)
+
+
 def stratified_folds(df: DataFrame, label, ids, k=5, seed="") -> DataFrame:
     r = order.shuffled_rank(df, [label], ids, "_rank", seed=seed)
     return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
