@@ -130,7 +130,10 @@ def unfitted(docs: DataFrame, labels: DataFrame):
 def fit(docs: DataFrame, labels: DataFrame, buckets: int):
     """(vocabulary, model, shards of bigram counts)."""
     spark = docs.sparkSession
-    training = docs.join(fitted(docs, labels), "doc_id").select(C.text_bytes().alias("text"))
+    # Two passes read the training texts: they are joined once, by shuffle at any size, and stored, and the
+    # join's files go once they are.
+    training = C.stored(docs.join(fitted(docs, labels).hint("merge"), "doc_id").select(
+        C.text_bytes().alias("text")))
 
     def word_counts(batches):
         for b in batches:
