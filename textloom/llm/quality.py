@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int):
                 n.update((ids[:-1] * size + ids[1:]).tolist())
             yield C.batch(("key", "n"), (pa.int64(), pa.int64()), list(n.items()))
 
-    counted = checkpoint(training.mapInArrow(bigrams, "key long, n long").groupBy("key").agg(
+    counted = C.stored(training.mapInArrow(bigrams, "key long, n long").groupBy("key").agg(
         F.sum("n").alias("n")))
     pair = counted.select(F.floor(F.col("key") / size).alias("h"),
                           (F.col("key") % size).alias("w"), "n")
@@ -273,7 +273,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fair = unfitted(docs, labels).withColumn("fair", F.lit(True))
     key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
     scored = score(docs, *fit(docs, labels, buckets)).withColumn("lang_key", key)
-    scored = checkpoint(scored.join(fair, "doc_id", "left"))
+    scored = C.stored(scored.join(fair, "doc_id", "left"))
     hot = checkpoint(joins.hottest_in(scored, "lang_key"))
 
     def of_fair(column):
