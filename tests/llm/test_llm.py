@@ -4,12 +4,17 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from textloom.llm import common as C
 from textloom.llm import (
     chat,
     decontam,
@@ -556,3 +561,91 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
             assert decontam.scan(docs, bench).filter("size(spans) > 0").count() <= 1
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.7 * sizes[0]
     assert docs.agg(F.max("length")).first()[0] <= packing.CAPACITY
+
+
+def files_below(folder):
+    return [p for p in folder.rglob("*") if p.is_file()]
+
+
+def columns_stored(folder):
+    """Names of all columns of the tables left below a folder."""
+    return {c for p in files_below(folder) if p.suffix == ".parquet" for c in pq.read_schema(p).names}
+
+
+@pytest.fixture
+def shared(monkeypatch, tmp_path):
+    """The folder of stored tables for one test."""
+    monkeypatch.setattr(C, "shared_dir", lambda spark: str(tmp_path))
+    return tmp_path
+
+
+def test_sets_of_the_jaccard_join_do_not_outlive_it(docs, shared):
+    want = brute.components(pairs(docs))
+    found = jaccard.jaccard_components(docs)
+    assert not columns_stored(shared) & {"hashes", "prefix", "shingle"}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == want
+
+
+def test_training_texts_and_shards_do_not_outlive_the_fit(spark, shared):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30), "en", "s", 9) for i in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    found = quality.classify(docs, labels)
+    assert not columns_stored(shared) & {"text", "key", "keys", "payload"}
+    assert found.count() == 80
+
+
+def test_packed_bigram_counts_are_plain_counts(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(0, 40)), "en", "s", 9) for i in range(90)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    vocabulary, model, shards, _ = quality.fit(docs, labels, 7)
+    ids = {r.doc_id for r in quality.fitted(docs, labels).collect()}
+    want, size = Counter(), vocabulary.value.size
+    for i, text, *_ in rows:
+        if i in ids:
+            s, _ = quality.sequence(text.encode(), vocabulary.value)
+            want.update((s[:-1] * size + s[1:]).tolist())
+    got = {}
+    for shard in shards.toArrow().to_batches():
+        for k in range(shard.num_rows):
+            keys, n = quality.counts_of(shard.slice(k, 1))
+            assert ((keys // size + keys % size) % 7 == shard["_bucket"][k].as_py()).all()
+            got.update(zip(keys.tolist(), n.tolist()))
+    assert got == dict(want)
+    total = Counter()
+    for key, n in want.items():
+        total[key // size] += n
+    assert {h: model.value.total[h] for h in total} == dict(total)
+
+
+def test_katz_keeps_no_shuffle_of_a_written_table(docs, monkeypatch):
+    cleaned, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *a, **b):
+        cleaned.append(docs.sparkSession.conf.get(C.CLEANUP, "false"))
+        return write(self, path, *a, **b)
+
+    def checkpoint(self, *a, **b):
+        raise AssertionError("a checkpoint keeps the shuffles before it")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    monkeypatch.setattr(type(docs), "checkpoint", checkpoint)
+    scores, _ = katz.train_and_score(docs)
+    assert len(cleaned) == 2 and set(cleaned) == {"true"}
+    assert scores.count() == docs.count()
+
+
+def test_distinct_is_sorted_and_whole():
+    keys = np.random.default_rng(1).integers(0, 500, 2000).astype(np.uint64)
+    for some in (keys, keys[:1], keys[:0]):
+        assert np.array_equal(C.distinct(some), np.array(sorted(set(some.tolist())), np.uint64))
+
+
+def test_long_rows_come_in_short_slices():
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(1000)), pa.array(["x" * 100] * 1000)], names=["doc_id", "text"])
+    pieces = list(packing.cut([batch]))
+    assert len(pieces) == 4 and sum(p.num_rows for p in pieces) == 1000

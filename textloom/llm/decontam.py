@@ -261,7 +261,7 @@ def scan_once(rows: DataFrame, sets) -> DataFrame:
 
     def shards(batches):
         held, size = [], 0
-        for b in batches:
+        for b in C.sliced(batches):
             held.append(b)
             size += b["text"].nbytes
             if size >= SHARD_BYTES:

@@ -43,7 +43,7 @@ def shingles(text: bytes, hashes):
         return np.zeros(0, C.U64)
     if len(words) < SIZE:
         return np.array([C.word_hash(b" ".join(words))], C.U64)
-    return np.unique(C.rolling(hashes.of(words), SIZE))
+    return C.distinct(C.rolling(hashes.of(words), SIZE))
 
 
 def linked(a, b):
@@ -86,7 +86,7 @@ def slices(sorted_keys, buckets, bits):
 
 def ask(block, buckets, bits):
     """Distinct keys of a block and in how many of its rows each stands."""
-    sets = [np.unique(k) for k in keys(block_sets(block)[1], bits)]
+    sets = [k[C.group_starts(k)] for k in keys(block_sets(block)[1], bits)]
     held, count = np.unique(np.concatenate(sets), return_counts=True)
     for bucket, a, b in slices(held, buckets, bits):
         yield bucket, C.join((C.pack_sorted(held[a:b]), C.pack(count[a:b])))
@@ -131,7 +131,7 @@ def finish(block, answers, buckets, bits):
     """
     rows, sets = block_sets(block)
     keyed = keys(sets, bits)
-    held = np.unique(np.concatenate(keyed))
+    held = C.distinct(np.concatenate(keyed))
     df = np.ones(len(held), np.int64)
     where = {bucket: a for bucket, a, _ in slices(held, buckets, bits)}
     for blob in answers["payload"].to_pylist():
@@ -174,33 +174,33 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(judged, PAIR_SCHEMA)
 
 
-def labels(links: DataFrame) -> DataFrame:
+def labels(links: DataFrame, folder=None) -> DataFrame:
     """(node, label): the least node that links reach; every round also jumps to the label's label."""
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
     ends = C.stored(ends.unionByName(links.select(
-        F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
+        F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), folder)
     found = C.stored(ends.groupBy("node").agg(F.min("other").alias("near")).select(
-        "node", F.least("node", "near").alias("label")))
+        "node", F.least("node", "near").alias("label")), folder)
     while True:
         near = ends.join(found.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
             F.min("label").alias("near"))
         above = found.select(F.col("node").alias("label"), F.col("label").alias("above"))
         step = found.join(above, "label").join(near, "node")
-        new = C.stored(step.select("node", "label", F.least("above", "near").alias("next")))
+        new = C.stored(step.select("node", "label", F.least("above", "near").alias("next")), folder)
         moved = new.filter(F.col("label") != F.col("next")).limit(1).count()
         found = new.select("node", F.col("next").alias("label"))
         if not moved:
             return found
 
 
-def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+def merged(found: DataFrame, links: DataFrame, folder=None) -> DataFrame:
     """The components (node, label) after links between nodes; only labels that links touch move."""
     a, b = (found.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
     across = links.join(a, "a").join(b, "b").filter("_a <> _b")
-    moves = labels(across.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    moves = labels(across.select(F.col("_a").alias("a"), F.col("_b").alias("b")), folder)
     moves = moves.select(F.col("node").alias("label"), F.col("label").alias("to"))
     return C.stored(found.join(moves, "label", "left").select(
-        "node", F.coalesce("to", "label").alias("label")))
+        "node", F.coalesce("to", "label").alias("label")), folder)
 
 
 def ordered(pairs):
@@ -228,12 +228,16 @@ def partners(entries, heads, found):
     return best.select(F.col("head").alias("a"), F.col("to").alias("b"))
 
 
-def components(rows: DataFrame) -> DataFrame:
-    """(node, label) of every class that has a shared prefix shingle."""
-    classes = C.stored(rows.filter("hashes IS NOT NULL").groupBy("class").agg(
-        *[F.first(c).alias(c) for c in ("grp", "n_shingles", "own", "prefix", "hashes")]))
+def one_of_each(rows: DataFrame, folder=None) -> DataFrame:
+    """The classes that have a shared prefix shingle, each with its set."""
+    return C.stored(rows.filter("hashes IS NOT NULL").groupBy("class").agg(
+        *[F.first(c).alias(c) for c in ("grp", "n_shingles", "own", "prefix", "hashes")]), folder)
+
+
+def components(classes: DataFrame, folder=None) -> DataFrame:
+    """(node, label) of every class of `one_of_each`."""
     sets = classes.select("class", "hashes")
-    members = C.stored(classes.select("grp", "class"))
+    members = C.stored(classes.select("grp", "class"), folder)
     groups = classes.groupBy("grp").agg(
         F.min("class").alias("head"), F.first("n_shingles").alias("n"),
         F.first("own").alias("own"), F.first("prefix").alias("prefix"))
@@ -243,20 +247,20 @@ def components(rows: DataFrame) -> DataFrame:
     entries = entries.select("grp", "n", "own", "e.pos", "e.shingle")
     # Shingles of one group alone, mostly of sets of equal copies, lead to no other group.
     shared = entries.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
-    entries = C.stored(entries.join(shared.select("shingle"), "shingle"))
-    heads = C.stored(members.groupBy("grp").agg(F.min("class").alias("head")))
+    entries = C.stored(entries.join(shared.select("shingle"), "shingle"), folder)
+    heads = C.stored(members.groupBy("grp").agg(F.min("class").alias("head")), folder)
     found = members.select(F.col("class").alias("node"), F.col("class").alias("label"))
     tried = members.join(heads, "grp").filter("class <> head").select(
         F.col("class").alias("a"), F.col("head").alias("b"))
     for _ in range(ROUNDS):
         tried = tried.unionByName(partners(entries, heads, found))
-        links = C.stored(verify(ordered(tried), sets))
+        links = C.stored(verify(ordered(tried), sets), folder)
         if not links.limit(1).count():
             break
-        found = merged(found, links)
+        found = merged(found, links, folder)
         tried = tried.limit(0)
     links = verify(ordered(every_pair(entries, members, found)), sets)
-    return merged(found, C.stored(links))
+    return merged(found, C.stored(links, folder), folder)
 
 
 def every_pair(entries, members, found):
@@ -293,14 +297,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     blocks = C.blocked(docs.select("doc_id", C.text_bytes().alias("text")))
     n, bits = C.bucket_count(docs), key_bits(docs.count())
-    rows = C.stored(C.dialogue(blocks, lambda b: ask(b, n, bits), answer,
-                               lambda b, a: finish(b, a, n, bits), SET_SCHEMA))
-    found = components(rows).withColumnRenamed("node", "class")
-    least = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
-    named = least.join(found, "class")
-    low = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_class = named.join(low, "label").select("class", "component_id")
-    return rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left").select(
+    # The sets are read while links are sought; only the narrow tables outlive that.
+    with C.scratch(docs.sparkSession) as folder:
+        with C.scratch(docs.sparkSession) as whole:
+            rows = C.stored(C.dialogue(blocks, lambda b: ask(b, n, bits), answer,
+                                       lambda b, a: finish(b, a, n, bits), SET_SCHEMA), whole)
+            narrow = C.stored(rows.select("doc_id", "n_shingles", "class"))
+            classes = one_of_each(rows, folder)
+        found = components(classes, folder).withColumnRenamed("node", "class")
+        least = narrow.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
+        named = least.join(found, "class")
+        low = named.groupBy("label").agg(F.min("low").alias("component_id"))
+        of_class = C.stored(named.join(low, "label").select("class", "component_id"))
+    return narrow.join(of_class, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

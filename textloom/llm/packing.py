@@ -98,7 +98,7 @@ def cut(batches):
     """Rows (doc_id, start, doc_tokens, ids) of pieces of at most one sequence."""
     enc, step = encoder(), 2 * CAPACITY
     end = np.array([END], "<u2").tobytes()
-    for b in batches:
+    for b in C.sliced(batches):
         ids, starts, totals, blobs = [], [], [], []
         for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
             blob = enc.ids(t) + end

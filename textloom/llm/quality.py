@@ -4,8 +4,9 @@ Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. A word bigram model is traine
 as good: on all of them that fall in one half by hash, and on the VOCABULARY most frequent of their
 words that occur twice; any other word is the unknown word, spelled out at SPELLING nats a
 byte. This bound is what lets the vocabulary and its vectors travel to every task. The bigram
-counts stay a table in shards: each block of documents asks the shards for the counts of its
-distinct bigrams, and adds up its documents' probabilities with the answers.
+counts stay a table of packed shards: each block of documents asks the shards for the counts of its
+distinct bigrams, and adds up its documents' probabilities with the answers. Training texts and shards
+are removed once the counts and the scores are stored.
 
 The cut is the QUANTILE of the length-adjusted negative log probability per word over all good rows
 that the model was not fitted on, by language; a language without such rows uses the cut of all.
@@ -127,47 +128,96 @@ def unfitted(docs: DataFrame, labels: DataFrame):
     return fair.unionByName(trusted(docs, labels, 0).join(fitted(docs, labels), "doc_id", "left_anti"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int):
-    """(vocabulary, model, shards of bigram counts)."""
+def fit(docs: DataFrame, labels: DataFrame, buckets: int, folder=None):
+    """(vocabulary, model, shards of bigram counts, buckets)."""
     spark = docs.sparkSession
-    # Two passes read the training texts: they are joined once, by shuffle at any size, and stored, and the
-    # join's files go once they are.
-    training = C.stored(docs.join(fitted(docs, labels).hint("merge"), "doc_id").select(
-        C.text_bytes().alias("text")))
-
-    def word_counts(batches):
-        for b in batches:
-            n = Counter(w for t in b["text"].to_pylist() for w in t.lower().split()
-                        if len(w) <= LONGEST)
-            yield C.batch(("word", "n"), (pa.binary(), pa.int64()), list(n.items()))
-
-    words = training.mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(
-        F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    vocabulary = Vocabulary(words.toArrow()["word"].to_pylist())
-    size, shared = vocabulary.size, spark.sparkContext.broadcast(vocabulary)
-
-    def bigrams(batches):
-        for b in batches:
-            n = Counter()
-            for t in b["text"].to_pylist():
-                ids, _ = sequence(t, shared.value)
-                n.update((ids[:-1] * size + ids[1:]).tolist())
-            yield C.batch(("key", "n"), (pa.int64(), pa.int64()), list(n.items()))
-
-    counted = C.stored(training.mapInArrow(bigrams, "key long, n long").groupBy("key").agg(
-        F.sum("n").alias("n")))
-    pair = counted.select(F.floor(F.col("key") / size).alias("h"),
-                          (F.col("key") % size).alias("w"), "n")
-    seen = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
-    model = Model(
-        size, rows(pair.filter("n < 5").groupBy("n").agg(F.count("*"))),
-        rows(pair.groupBy("w").agg(F.count("*"))),
-        rows(pair.groupBy("h").agg(F.sum("n"), *seen)))
-    shards = pair.select(((F.col("h") + F.col("w")) % buckets).cast("int").alias("_bucket"),
-                         (F.col("h") * size + F.col("w")).alias("key"), "n")
+    with C.scratch(spark) as texts:
+        # Two passes read the training texts: they are joined once, by shuffle at any size, and stored
+        # until the counts are.
+        training = C.stored(docs.join(fitted(docs, labels).hint("merge"), "doc_id").select(
+            C.text_bytes().alias("text")), texts)
+
+        def word_counts(batches):
+            for b in C.sized(batches):
+                n = Counter(w for t in b["text"].to_pylist() for w in t.lower().split()
+                            if len(w) <= LONGEST)
+                yield C.batch(("word", "n"), (pa.binary(), pa.int64()), list(n.items()))
+
+        words = training.mapInArrow(word_counts, "word binary, n long").groupBy("word").agg(
+            F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY)
+        vocabulary = Vocabulary(words.toArrow()["word"].to_pylist())
+        size, shared = vocabulary.size, spark.sparkContext.broadcast(vocabulary)
+        counted = training.mapInArrow(bigrams(shared, size, buckets), "_bucket int, payload binary")
+        shards = C.stored(counted.groupBy("_bucket").applyInArrow(merged, SHARDS), folder)
+    found = rows(shards.mapInArrow(tallies(size), TALLIES).groupBy("at").agg(
+        *[F.sum(c) for c in ("histories", "n", "once", "twice", "more")]))
+    of_words, small = found[found[:, 0] >= 0], found[found[:, 0] < 0]
+    model = Model(size, np.abs(small[:, :2]), of_words[of_words[:, 1] > 0, :2],
+                  of_words[of_words[:, 2] > 0][:, [0, 2, 3, 4, 5]])
     return shared, spark.sparkContext.broadcast(model), shards, buckets
 
 
+SHARDS = "_bucket int, keys binary, counts binary"
+TALLIES = "at long, histories long, n long, once long, twice long, more long"
+
+
+def bigrams(shared, size, buckets):
+    """What each block of texts has of each bucket's bigrams: packed keys and counts."""
+    def run(batches):
+        for held in C.sized(batches):
+            ids = [sequence(t, shared.value)[0] for t in held["text"].to_pylist()]
+            h, w = (np.concatenate([i[part] for i in ids]) for part in (slice(-1), slice(1, None)))
+            keys, bucket, place = dealt(h, w, size, buckets)
+            n = np.bincount(place, minlength=len(keys))
+            starts = C.group_starts(bucket)
+            yield C.batch(("_bucket", "payload"), (pa.int32(), pa.binary()), [
+                (int(bucket[a]), C.join((C.pack_sorted(keys[a:b]), C.pack(n[a:b]))))
+                for a, b in zip(starts, np.append(starts[1:], len(keys)))])
+    return run
+
+
+def merged(bucket):
+    """The bucket's bigrams with their counts over all blocks, as one row."""
+    parts = [C.split(p) for p in bucket["payload"].to_pylist()]
+    keys = np.concatenate([C.unpack_sorted(p[0]) for p in parts])
+    n = np.concatenate([C.unpack(p[1]) for p in parts])
+    order = np.argsort(keys, kind="stable")
+    starts = C.group_starts(keys[order])
+    row = (bucket["_bucket"][0].as_py(), C.pack_sorted(keys[order][starts]),
+           C.pack(np.add.reduceat(n[order], starts)))
+    return C.table(("_bucket", "keys", "counts"), (pa.int32(), pa.binary(), pa.binary()), [row])
+
+
+def counts_of(shard):
+    """(ascending keys, counts) of a table of at most one shard."""
+    if not shard.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return (C.unpack_sorted(shard["keys"][0].as_py()).astype(np.int64),
+            C.unpack(shard["counts"][0].as_py()))
+
+
+def tallies(size):
+    """Sums over a task's shards: by word its histories, its occurrences as history, and its followers
+    seen once, twice and more often; at -n the number of bigrams that occur n times, for n below 5."""
+    def run(batches):
+        found, small = np.zeros((5, size), np.int64), np.zeros(5, np.int64)
+        for shard in (b.slice(k, 1) for b in batches for k in range(b.num_rows)):
+            keys, n = counts_of(shard)
+            h, w = keys // size, keys % size
+            found[0] += np.bincount(w, minlength=size)
+            found[1] += np.bincount(h, n, minlength=size).astype(np.int64)
+            for k, some in enumerate((n == 1, n == 2, n > 2)):
+                found[2 + k] += np.bincount(h[some], minlength=size)
+            small += np.bincount(n[n < 5], minlength=5)
+        at = np.flatnonzero(found.any(0))
+        few = np.zeros((5, 4), np.int64)
+        few[0] = small[1:]
+        columns = np.concatenate((np.stack((at, *found[:, at])), np.stack((-np.arange(1, 5), *few))), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
+                                         names=["at", "histories", "n", "once", "twice", "more"])
+    return run
+
+
 def rows(df):
     """A small table of numbers as an array; Arrow spares the driver a Python object per cell."""
     found = df.toArrow()
@@ -235,9 +285,7 @@ def score(docs: DataFrame, vocabulary, model, shards, buckets) -> DataFrame:
             yield int(bucket[a]), C.pack_sorted(keys[a:b])
 
     def answer(bucket, shard):
-        keys, counts = shard["key"].to_numpy(), shard["n"].to_numpy()
-        order = np.argsort(keys)
-        keys, counts, number = keys[order], counts[order], bucket["_bucket"][0].as_py()
+        (keys, counts), number = counts_of(shard), bucket["_bucket"][0].as_py()
         for block, blob in zip(bucket["_block"].to_pylist(), bucket["payload"].to_pylist()):
             asked = C.unpack_sorted(blob).astype(np.int64)
             _, at, of = np.intersect1d(asked, keys, assume_unique=True, return_indices=True)
@@ -272,8 +320,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     buckets = C.BUCKETS_PER_PARTITION * C.partitions(docs.sparkSession)
     fair = unfitted(docs, labels).withColumn("fair", F.lit(True))
     key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
-    scored = score(docs, *fit(docs, labels, buckets)).withColumn("lang_key", key)
-    scored = C.stored(scored.join(fair, "doc_id", "left"))
+    with C.scratch(docs.sparkSession) as folder:
+        scored = score(docs, *fit(docs, labels, buckets, folder)).withColumn("lang_key", key)
+        scored = C.stored(scored.join(fair, "doc_id", "left"))
     hot = checkpoint(joins.hottest_in(scored, "lang_key"))
 
     def of_fair(column):
