@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.session import checkpoint, shared_dir
+from textloom.session import shared_dir
 
 HELD_MOD, HELD_REST = 7, 2
 CUTOFF = 5
@@ -340,7 +340,7 @@ def train_and_score(docs: DataFrame, held=None):
     held = C.held_out(HELD_MOD, HELD_REST) if held is None else held
     plain = docs.select("doc_id", C.text_bytes().alias("text"), held.alias("held"))
     blocks = plain.mapInArrow(encode, ENCODED).repartition(n, "_block")
-    numbered = checkpoint(C.dialogue(
+    numbered = C.stored(C.dialogue(
         blocks, lambda b: ask_words(b, buckets), lambda b: answer_words(b, buckets),
         number_words, NUMBERED))
     totals = numbered.filter(F.col("_block") == TOTALS).select("totals").first()
@@ -348,13 +348,15 @@ def train_and_score(docs: DataFrame, held=None):
     unigrams = Unigrams(totals[0], totals[1], totals[2:])
     starts = plain.filter(~F.col("held")).count()
     hot = max(1, unigrams.tokens // (4 * buckets))
-    ready = numbered.filter(F.col("_block") >= 0).drop("totals").repartition(n, "_block")
+    ready = numbered.filter(F.col("_block") >= 0).drop("totals")
 
-    def asked(block):
-        number = block["_block"][0].as_py()
-        rows = [(bucket, number, payload)
-                for bucket, payload in Bigrams(block, buckets, starts, hot).questions()]
-        return C.table(("_bucket", "_block", "payload"), (pa.int32(), pa.int64(), pa.binary()), rows)
+    def asked(batches):
+        # A stored row is a whole block, so blocks ask where they lie.
+        for block in (b.slice(k, 1) for b in batches for k in range(b.num_rows)):
+            number = block["_block"][0].as_py()
+            yield C.batch(("_bucket", "_block", "payload"), (pa.int32(), pa.int64(), pa.binary()),
+                          [(bucket, number, payload) for bucket, payload
+                           in Bigrams(block, buckets, starts, hot).questions()])
 
     def answered(bucket):
         number = bucket["_bucket"][0].as_py()
@@ -363,11 +365,12 @@ def train_and_score(docs: DataFrame, held=None):
 
     schema = "_bucket int, _block long, payload binary"
     folder = f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
-    questions = ready.groupBy("_block").applyInArrow(asked, schema)
+    questions = ready.mapInArrow(asked, schema)
     answers = questions.groupBy("_bucket").applyInArrow(answered, schema)
     kind = (F.when(F.col("_block") >= 0, "answers").when(F.col("_block") == TOTALS, "totals")
             .otherwise("bigrams"))
-    answers.withColumn("kind", kind).write.partitionBy("kind").parquet(folder)
+    with C.cleaned(spark):
+        answers.withColumn("kind", kind).write.partitionBy("kind").parquet(folder)
     answers = spark.read.schema(schema + ", kind string").parquet(folder)
 
     def sums(batches):
@@ -379,6 +382,6 @@ def train_and_score(docs: DataFrame, held=None):
     counts = counts.agg(*[F.sum(F.col("n")[r]) for r in range(CUTOFF + 1)]).first()
     discount = discounts([c or 0 for c in counts])
     replies = answers.filter("kind = 'answers'").drop("kind")
-    scores = ready.groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(
+    scores = ready.repartition(n, "_block").groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(
         lambda b, a: score_block(b, a, buckets, starts, hot, unigrams, discount), SCORED)
     return scores, folder
