@@ -131,6 +131,22 @@ def test_special_token_text_is_read_like_the_tokenizer():
         assert np.frombuffer(enc.ids(t), "<u2").tolist() == want
 
 
+def test_plain_texts_are_encoded_in_one_call_without_the_tokenizer():
+    enc, calls = packing.Encoder(), []
+    ranks = enc.ranks
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return ranks.encode_ordinary(text)
+
+    enc.ranks = Counted()
+    some = [prose(random.Random(2), 300, 200), "caf\u00e9 \u00a0 x", "", " \t a  b\n"]
+    got = [np.frombuffer(enc.ids(t), "<u2").tolist() for t in some]
+    assert calls == some and "whole" not in vars(enc)
+    assert got == [enc.whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_katz_matches_brute_force(docs):
     scores, folder = katz.train_and_score(docs)
     want = brute.katz_scores(pairs(docs))
