@@ -665,3 +665,29 @@ def test_long_rows_come_in_short_slices():
         [pa.array(range(1000)), pa.array(["x" * 100] * 1000)], names=["doc_id", "text"])
     pieces = list(packing.cut([batch]))
     assert len(pieces) == 4 and sum(p.num_rows for p in pieces) == 1000
+
+
+def own_mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) / 1024
+
+
+def test_free_memory_goes_back_to_the_system():
+    held = [bytes(60_000) for _ in range(4000)]  # each too small for a mapping of its own
+    pinned, held = held[::400], None
+    before = own_mb()
+    C.release()
+    assert len(pinned) == 10 and own_mb() < before - 150
+
+
+def test_blocks_release_what_they_have_read(monkeypatch):
+    calls = []
+    monkeypatch.setattr(C, "release", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(3000)), pa.array(["x" * 9000] * 3000)], names=["doc_id", "text"])
+    for read in (C.sized, lambda b: C.gathered(x.select(["doc_id", "text"]) for x in b)):
+        del calls[:]
+        assert 1 < len(list(read([batch]))) <= len(calls)
+    del calls[:]
+    list(packing.cut([batch.slice(0, 5)]))
+    assert calls

@@ -267,8 +267,10 @@ def scan_once(rows: DataFrame, sets) -> DataFrame:
             if size >= SHARD_BYTES:
                 yield result(held)
                 held, size = [], 0
+                C.release()
         if held:
             yield result(held)
+        C.release()
 
     def result(held):
         t = pa.Table.from_batches(held).combine_chunks()

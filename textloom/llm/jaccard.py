@@ -169,6 +169,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [linked(C.unpack_sorted(x), C.unpack_sorted(y))
                     for x, y in zip(t["of_a"].to_pylist(), t["of_b"].to_pylist())]
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        C.release()
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
     return both.mapInArrow(judged, PAIR_SCHEMA)

@@ -96,6 +96,7 @@ def cut(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()),
              pa.array(blobs, pa.binary())], names=["doc_id", "start", "doc_tokens", "ids"])
+    C.release()
 
 
 def cost(length):
