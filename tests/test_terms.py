@@ -1,13 +1,16 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import blocks, learn
+from textloom.operators import blocks, embed, learn, terms
+from textloom.operators import weights as V
 from textloom.operators.terms import TermBlocks
 from textloom.plans import registry
 from textloom.plans.features import v1, v3
 from textloom.plans.tokenizing import term_counts
+from textloom.session import stage
 from textloom.sources import readers
 
 ROWS = [(1, "a b a"), (2, "b c"), (1, "a d"), (None, "b"), (3, ""), (4, None)]
@@ -89,3 +92,30 @@ def test_hashed_counts_replace_the_tokens_before_fits(spark):
     df = spark.createDataFrame([(1, 0.0, ["a", "b"])], "doc_id long, y double, tokens array<string>")
     ready, rest = learn.prepared(df, [*learn.text_stages(16), learn.CLASSIFIERS["bayes"]("y")], ["doc_id", "y"])
     assert ready.columns == ["doc_id", "y", "counts"] and len(rest) == 3
+
+
+def test_vectors_reach_a_group_of_blocks_once_and_groups_go_in_waves(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(None if i == 7 else i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=rng.randint(0, 12)) * 2))
+            for i in range(60)]
+    docs = spark.createDataFrame([*rows, (1, "w0 w1")], "doc_id long, text string")
+    vectors = [(f"w{j}", [float(j), 1.0 - j]) for j in range(0, 30, 2)] + [("w2", [5.0, 5.0]), ("w4", [None, 1.0]),
+                                                                      ("w6", None), ("w8", [3.0])]
+    wv = spark.createDataFrame(vectors, "word string, vec array<double>")
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    t = TermBlocks(docs, words)
+    idf = stage(t.vocabulary().filter("term != 'w12'").withColumn("idf", 1 + F.col("df") / 10))
+    monkeypatch.setattr(terms, "GROUP_FACTS", 30)
+    monkeypatch.setattr(terms, "WAVE_GROUPS", 4)
+    met = []
+    monkeypatch.setattr(terms, "stage", lambda df: met.append(df) or stage(df))
+    tf = V.term_counts(docs.select("doc_id", F.explode(words).alias("term")), ["doc_id"])
+    plain = embed.mean_vectors(tf, wv, 2), embed.mean_vectors(
+        V.weigh(tf, idf), wv, 2, weight=F.col("weight"))
+    for want, model in zip(plain, (None, idf)):
+        t = TermBlocks(docs, words)
+        got = {r.doc_id: r.vec for r in embed.block_means(t, wv, 2, model).collect()}
+        want = {r.doc_id: r.vec for r in want.collect()}
+        assert got.keys() == want.keys() and None in got
+        assert all(got[k] == [None if x is None else pytest.approx(x) for x in v] for k, v in want.items())
+    assert t.groups > 8 and len(met) == 2 * (1 + -(-t.groups // 4))  # the blocks, then a table for each wave

@@ -12,7 +12,7 @@ from textloom.plans.features import IDF, PAIRS, adjacent_pairs, n_docs
 from textloom.plans.ranking import VEC_SPLIT, split_vectors
 from textloom.plans.registry import TF, TOK, query, table
 from textloom.plans.tokenizing import (
-    DIM, VOCAB, WV, _grams_sql, term_counts, vocab_of, word_vectors)
+    DIM, VOCAB, WV, _grams_sql, term_blocks, term_counts, vocab_of, word_vectors)
 from textloom.session import checkpoint
 
 BENCH = f"""bench AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{K.WORD_2PLUS}')) AS term
@@ -79,10 +79,9 @@ _WEIGHTED = f"""WITH {WV}, {IDF[len(TOK) + 2:]}"""
 {_WEIGHTED}, {_LONG.format(w='tf * w0', w0='weight', src='tfidf JOIN wv ON word = term')},
 m AS (SELECT doc_id, dim, sum(w * x) / sum(w) AS value FROM l GROUP BY ALL) {_ALL}""")
 def e5(spark, sf):
-    tf = term_counts(spark, sf)
-    idf = V.idf_table(tf, n_docs(spark, sf))
-    return long_form(embed.mean_vectors(
-        V.weigh(tf, idf), word_vectors(spark, sf), DIM, weight=F.col("weight")), "doc_id")
+    t = term_blocks(spark, sf)
+    idf = V.idf_of(t.vocabulary(), n_docs(spark, sf))
+    return long_form(embed.block_means(t, word_vectors(spark, sf), DIM, idf), "doc_id")
 
 
 @query("e6_idf_mean", f"""
