@@ -12,6 +12,7 @@ from textloom.functions import tokens as T
 from textloom.operators import embed, evaluate, ftest, learn, split
 from textloom.operators import weights as V
 from textloom.operators.svd import TruncatedSVD
+from textloom.operators.terms import TermBlocks
 from textloom.plans.features import n_docs
 from textloom.plans.ranking import top_and_bottom
 from textloom.plans.registry import TF, query, table
@@ -22,12 +23,16 @@ SIZE = 1 << 15
 TERMS = 50_000
 
 
-def labelled_docs(spark, sf, n=1):
-    """Labelled documents with tokens, y as a double and a 70/30 split."""
+def labelled_texts(spark, sf):
+    """Labelled documents with y as a double and a 70/30 split."""
     lab = table(spark, sf, "labels")
     d = docs(spark, sf).join(lab, "doc_id").withColumn("y", F.col("quality").cast("double"))
-    d = split.random_split(d.select("doc_id", "text", "lang", "y", "toxic"), "doc_id", 0.3, "ml")
-    return learn.with_tokens(d, n=n).drop("text")
+    return split.random_split(d.select("doc_id", "text", "lang", "y", "toxic"), "doc_id", 0.3, "ml")
+
+
+def labelled_docs(spark, sf, n=1):
+    """The same with tokens in place of texts."""
+    return learn.with_tokens(labelled_texts(spark, sf), n=n).drop("text")
 
 
 def _parts(df):
@@ -262,21 +267,25 @@ def e17(spark, sf):
 @query("model_comparison")
 def model_comparison(spark, sf):
     """The textbook comparison: two classifiers on counts, TF-IDF and averaged word vectors."""
-    d = checkpoint(labelled_docs(spark, sf))
-    tf = term_counts(spark, sf).join(d.select("doc_id"), "doc_id", "left_semi")
-    wv = word_vectors(spark, sf)
-    idf = V.idf_table(tf, n_docs(spark, sf))
+    d = stage(labelled_texts(spark, sf).drop("lang", "toxic"))
+    rows = d.drop("text")
+    mine = docs(spark, sf).select("doc_id", "text").join(rows.select("doc_id"), "doc_id", "left_semi")
+    t = TermBlocks(mine, T.word_tokens(F.col("text")))
+    wv = stage(word_vectors(spark, sf))
+    idf = V.idf_of(t.vocabulary(), n_docs(spark, sf))
     means = {
-        "mean_vectors": embed.mean_vectors(tf, wv, DIM),
-        "tfidf_vectors": embed.mean_vectors(V.weigh(tf, idf), wv, DIM, weight=F.col("weight")),
+        "mean_vectors": embed.block_means(t, wv, DIM),
+        "tfidf_vectors": embed.block_means(t, wv, DIM, idf),
     }
-    runs = []
-    for name in ("bayes", "svm"):
-        for kind, use_idf in (("counts", False), ("tfidf", True)):
-            stages = [*learn.text_stages(SIZE, use_idf), learn.CLASSIFIERS[name]("y")]
-            runs.append((name, kind, stages, d))
+    # Tokens are hashed as they are read and kept nowhere; both classifiers read the same counts.
+    tokens, names, runs = learn.with_tokens(d), ("bayes", "svm"), []
+    for kind, use_idf in (("counts", False), ("tfidf", True)):
+        models = [learn.CLASSIFIERS[name]("y") for name in names]
+        ready, stages = learn.prepared(tokens, [*learn.text_stages(SIZE, use_idf), *models], rows.columns)
+        stages = stages[:len(stages) - len(models)]
+        runs += [(name, kind, [*stages, model], ready) for name, model in zip(names, models)]
     for kind, m in means.items():
-        x = checkpoint(d.join(m, "doc_id").withColumn("features", array_to_vector("vec")))
+        x = checkpoint(rows.join(m, "doc_id").select(*rows.columns, array_to_vector("vec").alias("features")))
         runs.append(("svm", kind, [learn.CLASSIFIERS["svm"]("y")], x))
     parts = []
     for name, kind, stages, data in runs:
