@@ -1,6 +1,7 @@
 """Kernel Bayes, F-tests, decomposition and the vector index against plain versions."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.operators import embed, ftest, index, kernel
 from textloom.operators.svd import TruncatedSVD
 from textloom.operators.topics import LabelTopics
-from textloom.session import ship
+from textloom.session import ship, stage
 
 
 def corpus(seed=1, docs=40, words=60):
@@ -280,3 +281,25 @@ def test_label_topics_in_many_blocks_hold_one_row_per_fact(spark, monkeypatch):
     assert many.perplexity == pytest.approx(one.perplexity)
     key = lambda m: {(r.doc_id, r.label): r.share for r in m.shares.collect()}
     assert key(many) == pytest.approx(key(one))
+
+
+def test_label_topics_of_packed_blocks_leave_no_earlier_round(spark, monkeypatch):
+    from textloom.operators import terms, topics
+
+    rng = random.Random(8)
+    rows = [(d, [f"w{rng.randrange(25)}" for _ in range(rng.randint(0, 30))]) for d in range(50)] + [(None, ["w1"])]
+    docs = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    labels = [(d, c) for d in range(3, 60) for c in rng.sample("abcd", rng.randint(1, 3))] + [(None, "a"), (4, None)]
+    pairs = spark.createDataFrame(labels, "doc_id long, label string")
+    tf = docs.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    want = LabelTopics(tf, pairs, rounds=2)
+    monkeypatch.setattr(topics, "BLOCK_FACTS", 60)
+    monkeypatch.setattr(topics, "DENSE_CODES", 10)
+    written = []
+    monkeypatch.setattr(topics, "stage", lambda df: written.append(stage(df)) or written[-1])
+    got = LabelTopics(terms.TermBlocks(docs, F.col("words")), pairs, rounds=2)
+    assert got.perplexity == pytest.approx(want.perplexity)
+    of = lambda m: {tuple(r)[:2]: r[2] for t in (m.words, m.shares) for r in t.collect()}
+    assert of(got) == pytest.approx(of(want))
+    kept = [t for t in written if os.path.exists(t.inputFiles()[0].removeprefix("file://"))]
+    assert len(written) == 1 + 3 + 3 + 2 and len(kept) == 3  # the labels, words and shares
