@@ -140,6 +140,34 @@ def test_svd_of_low_rank(spark):
     assert model.singular_values[0] == pytest.approx(math.sqrt(91 * 55))
 
 
+def test_svd_in_slices_holds_no_whole_matrix_over_the_terms(spark, monkeypatch):
+    from textloom.operators import svd, terms
+
+    rng = random.Random(2)
+    rows = [(None if d == 5 else d, [f"w{int(rng.expovariate(0.2))}" for _ in range(12)]) for d in range(40)]
+    blocks = terms.TermBlocks(spark.createDataFrame(rows, "doc_id long, words array<string>"), F.col("words"))
+    idf = stage(blocks.vocabulary().withColumn("idf", 1 + 1 / F.col("df")))
+    whole = TruncatedSVD(blocks.weigh(idf), 2, extra=4, power=1)
+    cells = blocks.weighed(idf)
+    monkeypatch.setattr(svd, "SLICE_NUMBERS", 3 * cells.named(svd.GROUP_FACTS).count())
+    monkeypatch.setattr(svd, "SLICE_SHARE", 0)
+    widths = []
+
+    def watched(df):
+        df = stage(df)
+        if "_v" in df.columns:
+            widths.append(df.agg(F.max(F.size("_v"))).first()[0])
+        return df
+
+    monkeypatch.setattr(svd, "stage", lambda df: watched(df))
+    model = TruncatedSVD(cells, 2, extra=4, power=1)
+    assert model._columns == 3 and len(widths) == 6 and max(widths) == 3
+    assert model.singular_values == pytest.approx(whole.singular_values)
+    one, two = ({r.doc_id: np.abs(r.components).tolist() for r in rows.collect()} for rows in (
+        model.transform(cells), whole.transform(blocks.weigh(idf))))
+    assert len(one) == 40 and all(v == pytest.approx(two[k], abs=1e-9) for k, v in one.items())
+
+
 def tables(spark, q, b, banned):
     name = lambda i: f"v{i:04d}"
     base = spark.createDataFrame([(name(i), x.tolist()) for i, x in enumerate(b)], "base_id string, vec array<double>")
