@@ -70,6 +70,30 @@ def test_kernel_states_merge_alike_in_any_blocks(spark):
     assert len(one) == 60 and many == pytest.approx(one) and min(one.values()) < -800
 
 
+def test_kernel_measures_a_word_of_many_classes_once(spark, monkeypatch):
+    import types
+
+    import pandas as pd
+
+    work, sizes = [], []
+    monkeypatch.setattr(kernel, "pair_blocks", lambda words, base, run, *rest: work.append(run) or spark.createDataFrame(
+        [], "word string, y string, top double, mass double"))
+    words = spark.createDataFrame([("a", [0.0, 1.0])], "word string, vec array<double>")
+    kernel.kernel_logs(words, words.selectExpr("word", "'x' AS y", "1 AS n", "vec"), "y")
+    exp = lambda x: sizes.append(np.size(x)) or np.exp(x)
+    monkeypatch.setattr(kernel, "np", types.SimpleNamespace(**{**vars(np), "exp": exp}))
+    rng = np.random.default_rng(1)
+    v = {f"w{i}": rng.normal(size=2) for i in range(10)} | {"far": np.array([900.0, 0])}
+    base = [(w, c, i + 1) for i, w in enumerate(v) for c in "xyz" if (w == "far") == (c == "z")]
+    right = pd.DataFrame([(w, c, n, v[w]) for w, c, n in base], columns=["word", "y", "n", "vec"])
+    left = pd.DataFrame({"word": list(v)[:5], "vec": list(v.values())[:5]})
+    got = {(r.word, r.y): r.top + math.log(r.mass) for r in work[0](left, right).itertuples()}
+    assert sum(sizes) == 5 * 11 + 5  # each vector once; the far class on a scale of its own
+    for (w, c), log in got.items():
+        e = [math.log(n) - ((v[w] - v[u]) ** 2).sum() / 2 for u, k, n in base if k == c]
+        assert log == pytest.approx(max(e) + math.log(sum(math.exp(x - max(e)) for x in e)))
+
+
 def test_f_values_and_their_tails(spark):
     ship(spark)
     rows = corpus(5)
