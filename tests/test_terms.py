@@ -120,3 +120,25 @@ def test_vectors_reach_a_group_of_blocks_once_and_groups_go_in_waves(spark, monk
         assert all(got[k] == [None if x is None else pytest.approx(x) for x in v] for k, v in want.items())
     n, _ = t.group(30)
     assert n > 8 and len(met) == 2 * (1 + -(-n // 4))  # the blocks, then a table for each wave
+
+
+def test_model_comparison_keeps_no_tokens(spark, tmp_path, monkeypatch):
+    from textloom.plans import learning
+
+    spark.createDataFrame([(i, f"One two w{i}. Three", "en") for i in range(8)], "doc_id long, text string, lang string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int"
+                          ).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, [float(i)] * 64) for i in range(5)], "vec_id long, embedding array<float>"
+                          ).write.parquet(f"{tmp_path}/embeddings.parquet")
+    kept = []
+    for module in (learning, learn):
+        monkeypatch.setattr(module, "checkpoint", lambda df, put=module.checkpoint: kept.append(df.columns) or put(df))
+
+    def stop(stages, train, test):
+        raise StopIteration
+
+    monkeypatch.setattr(learn, "fit_predict", stop)
+    with pytest.raises(StopIteration):
+        learning.model_comparison(spark, str(tmp_path))
+    assert len(kept) == 4 and not any({"tokens", "text"} & set(c) for c in kept)
